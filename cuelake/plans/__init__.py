@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["matching"]
+MODULES = ["matching", "ingest"]
 
 
 def all_queries():

@@ -120,3 +120,58 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
                 ["video_id"], ["vec_id"], "pos", block_of("vec_id"))
     return e.select("video_id", ((F.col("pos") - 1) * 1000).alias("t_ms"),
                     F.transform("embedding", lambda x: F.round(x.cast("double") * 100).cast("int")).alias("px"))
+
+
+def srt_files(spark: SparkSession, sf: str, canonical: bool = False) -> DataFrame:
+    """Documents rendered as subtitle files: (video_id, content), one cue per line.
+
+    Layout by ``video_id % 6``: canonical; CRLF; no counters; bare CR and period stamps; no blank
+    lines; banner and trailing junk.  Encoding by ``video_id % 5``: UTF-8, UTF-8 with mark, UTF-16LE,
+    UTF-16BE, Latin text as Windows-1252.
+    """
+    docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("video_id"), "text"))
+    mode = F.lit(0) if canonical else F.col("video_id") % 6
+    encoding = F.lit(0) if canonical else F.col("video_id") % 5
+
+    def stamp(ms):
+        two = lambda c: F.lpad(c.cast("string"), 2, "0")
+        return F.concat(two(F.floor(ms / 3600000)), F.lit(":"), two(F.floor(ms / 60000) % 60), F.lit(":"),
+                        two(F.floor(ms / 1000) % 60), F.when(mode == 3, F.lit(".")).otherwise(F.lit(",")),
+                        F.lpad((ms % 1000).cast("string"), 3, "0"))
+
+    def cue(line, at):
+        start = at.cast("bigint") * 3000
+        return F.concat(
+            F.when(mode == 2, F.lit("")).otherwise(F.concat((at + 1).cast("string"), F.lit("\n"))),
+            stamp(start), F.lit(" --> "), stamp(start + 2500), F.when(mode == 5, F.lit(" X1:0 Y2:9")).otherwise(F.lit("")),
+            F.lit("\n"), line, F.when(mode == 4, F.lit("\n")).otherwise(F.lit("\n\n")))
+
+    text = F.concat(F.when(mode == 5, F.lit("ripped by nobody\n\n")).otherwise(F.lit("")),
+                    F.array_join(F.transform(F.split("text", "\n"), cue), ""))
+    text = F.when(mode == 1, F.replace(text, F.lit("\n"), F.lit("\r\n"))).when(
+        mode == 3, F.replace(text, F.lit("\n"), F.lit("\r"))).otherwise(text)
+    return docs.select("video_id", encode_text(text, encoding).alias("content"))
+
+
+def encode_text(text, encoding):
+    latin = text.rlike("^[\\x00-\\x7f\\xa0-\\xff]*$")
+    mark = lambda digits: F.unhex(F.lit(digits))
+    return (
+        F.when(encoding == 1, F.concat(mark("EFBBBF"), F.encode(text, "UTF-8")))
+        .when(encoding == 2, F.concat(mark("FFFE"), F.encode(text, "UTF-16LE")))
+        .when(encoding == 3, F.concat(mark("FEFF"), F.encode(text, "UTF-16BE")))
+        .when((encoding == 4) & latin, F.encode(text, "ISO-8859-1"))
+        .otherwise(F.encode(text, "UTF-8")))
+
+
+def listing(spark: SparkSession, sf: str) -> DataFrame:
+    """A directory listing: videos, subtitles under either naming, a few stray siblings."""
+    v = videos(spark, sf).select("video_id", "path")
+    stem = F.regexp_replace("path", r"\.mp4$", "")
+    k = F.col("video_id")
+    files = F.array_compact(F.array(
+        F.when(k % 13 != 0, F.col("path")),
+        F.when((k % 3 == 0) | (k % 5 == 0), F.concat("path", F.lit(".srt"))),
+        F.when((k % 3 == 1) | (k % 5 == 0), F.concat(stem, F.lit(".srt"))),
+        F.when(k % 7 == 0, F.concat(stem, F.lit(".jpg")))))
+    return v.select(F.explode(files).alias("file")).distinct()
