@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["matching", "ingest"]
+MODULES = ["matching", "ingest", "catalogue", "timeline", "exports"]
 
 
 def all_queries():

@@ -175,3 +175,49 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
         F.when((k % 3 == 1) | (k % 5 == 0), F.concat(stem, F.lit(".srt"))),
         F.when(k % 7 == 0, F.concat(stem, F.lit(".jpg")))))
     return v.select(F.explode(files).alias("file")).distinct()
+
+
+def doc_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Three words of each document's first line."""
+    words = F.regexp_extract_all(F.substring_index("text", "\n", 1), F.lit("[a-z]+"), F.lit(0))
+    pick = lambda i, other: F.coalesce(F.get(words, F.lit(i)), F.lit(other))
+    return table(spark, sf, "documents").select(
+        "doc_id", pick(0, "xx").alias("w1"), pick(1, "yy").alias("w2"), pick(2, "zz").alias("w3"))
+
+
+def doc_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """One pattern per document, in four spellings: (seq, pattern)."""
+    k, w1, w2, w3 = F.col("doc_id") % 4, F.col("w1"), F.col("w2"), F.col("w3")
+    first = F.substring("w1", 1, 1)
+    pattern = (
+        F.when(k == 0, F.concat_ws("|", w1, w2))
+        .when(k == 1, F.concat(F.lit("(?i:"), F.initcap(w1), F.lit("|"), w3, F.lit(")")))
+        .when(k == 2, F.concat(F.lit("(?:"), w2, F.lit("|"), w1, F.lit("|"), w2, F.lit(")")))
+        .otherwise(F.concat(F.lit("["), F.upper(first), first, F.lit("]"), F.expr("substring(w1, 2)"))))
+    return doc_words(spark, sf).select(F.col("doc_id").alias("seq"), pattern.alias("pattern"))
+
+
+def topic_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A topic file per document; half of them carry one of the mistakes, by ``doc_id % 16``."""
+    k = F.col("doc_id") % 16
+    n = F.col("doc_id").cast("string")
+    c = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    text = c(
+        F.when(k == 8, F.lit("  - stray\n")).otherwise(F.lit("")),
+        "# words of ", n, "\n- base", n, "\n  - (", F.col("w1"), "|", F.col("w2"), ")\n- pair\n  - \\{base", n,
+        ":}\n  - -?", F.col("w3"), "\n- file://clip", n, ".mp4\n  - file://clip", n, ".srt\n  - pair\n- file://other", n,
+        ".mp4\n",
+        F.when(k == 1, F.lit("junk line\n")).when(k == 2, F.lit("- pair\n  - again\n")).when(k == 3, F.lit("- empty\n"))
+        .when(k == 4, F.lit("- lone\n  - \\{nobody:}\n")).when(k == 5, F.lit("- a\n  - x\\{b:}\n- b\n  - \\{a:}y\n"))
+        .when(k == 6, F.lit("- bad name\n  - x\n"))
+        .when(k == 7, c("- file://clip", n, ".mp4\n  - file://x.srt\n  - file://y.srt\n  - pair\n  - pair\n"))
+        .otherwise(F.lit("")))
+    text = F.when(F.col("doc_id") % 2 == 1, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
+    return doc_words(spark, sf).select(F.col("doc_id").alias("file"), text.alias("text"))
+
+
+def gloss_files(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("\ufeff  - orphan\nnoise\n- term"), n, F.lit("\n  - about "), "w1", F.lit("\n# note\n  - and "), "w2",
+                    F.lit("\n- \n  - tail\n- none"), n, F.lit("\n"))
+    return doc_words(spark, sf).select(F.col("doc_id").alias("file"), text.alias("text"))

@@ -52,6 +52,23 @@ actions AS (
          CASE WHEN event_type = 'signup' THEN ({_SEARCHES})[event_id % {len(SEARCHES)} + 1] END AS pattern
   FROM events),
 search_log AS (SELECT event_id, ts, session, pattern FROM actions WHERE pattern IS NOT NULL),
+words AS (
+  SELECT doc_id, coalesce(w[1], 'xx') AS w1, coalesce(w[2], 'yy') AS w2, coalesce(w[3], 'zz') AS w3
+  FROM (SELECT doc_id, regexp_extract_all(split_part(text, chr(10), 1), '[a-z]+') AS w FROM documents)),
+patterns AS (
+  SELECT doc_id AS seq, w1, w2, w3, CASE doc_id % 4 WHEN 0 THEN w1 || '|' || w2
+         WHEN 1 THEN '(?i:' || upper(w1[1]) || w1[2:] || '|' || w3 || ')'
+         WHEN 2 THEN '(?:' || w2 || '|' || w1 || '|' || w2 || ')'
+         ELSE '[' || upper(w1[1]) || w1[1] || ']' || w1[2:] END AS pattern FROM words),
+branches AS (
+  SELECT seq, 0 AS branch_no, w1 AS text, w1 AS key, false AS folds FROM patterns WHERE seq % 4 = 0
+  UNION ALL SELECT seq, 1, w2, w2, false FROM patterns WHERE seq % 4 = 0
+  UNION ALL SELECT seq, 0, upper(w1[1]) || w1[2:], chr(10) || w1, true FROM patterns WHERE seq % 4 = 1
+  UNION ALL SELECT seq, 1, w3, chr(10) || w3, true FROM patterns WHERE seq % 4 = 1
+  UNION ALL SELECT seq, 0, w2, w2, false FROM patterns WHERE seq % 4 = 2
+  UNION ALL SELECT seq, 1, w1, w1, false FROM patterns WHERE seq % 4 = 2
+  UNION ALL SELECT seq, 2, w2, w2, false FROM patterns WHERE seq % 4 = 2
+  UNION ALL SELECT seq, 0, '[' || upper(w1[1]) || w1[1] || ']' || w1[2:], chr(10) || w1, false FROM patterns WHERE seq % 4 = 3),
 frames AS (
   SELECT CAST(label AS BIGINT) AS video_id,
          (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 1000 AS t_ms,
