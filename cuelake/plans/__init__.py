@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["matching", "ingest", "catalogue", "timeline", "exports"]
+MODULES = ["matching", "ingest", "catalogue", "timeline", "exports", "worklist"]
 
 
 def all_queries():

@@ -5,6 +5,8 @@ Every binding has a twin of the same name in :mod:`cuelake.plans.oracle`.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,3 +223,36 @@ def gloss_files(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("\ufeff  - orphan\nnoise\n- term"), n, F.lit("\n  - about "), "w1", F.lit("\n# note\n  - and "), "w2",
                     F.lit("\n- \n  - tail\n- none"), n, F.lit("\n"))
     return doc_words(spark, sf).select(F.col("doc_id").alias("file"), text.alias("text"))
+
+
+@cache
+def task_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(leaves, tasks, deps): a leaf per subtitle, the pyramid over them, a dive per topic.
+
+    A dive depends on the subtitles it quotes; states follow the position.
+    """
+    from cuelake.operators import chunking, match, tasks as T
+    from cuelake.plans.matching import plan
+    from cuelake.session import cut
+    leaves = cut(T.unique_sources(videos(spark, sf)))
+    nodes = T.fold_pyramid(leaves, "id", T.tree_id).where("tier > 0")
+    nodes = nodes.withColumn("spot", F.expr("j * 7 + tier"))
+    state = lambda c: F.get(F.array(*[F.lit(s) for s in ("done", "done", "pending", "done", "parked", "pending")]),
+                            (c % 6).cast("int"))
+    hits = match.scan_hits(lines(spark, sf), plan(spark))
+    quoted = cut(chunking.excerpt_sections(hits, videos(spark, sf), 3000))
+    dive = sha_head(F.concat(F.lit("dive\n"), "topic"))
+    tasks = (
+        leaves.select("id", F.lit("leaf").alias("kind"), F.lit(0).alias("tier"), F.lit(True).alias("exported"),
+                      F.col("pos").alias("seq"), state(F.col("pos")).alias("state"))
+        .unionByName(nodes.select("id", F.lit("node").alias("kind"), "tier", F.lit(True).alias("exported"),
+                                  (F.lit(1 << 40) + F.col("tier") * F.lit(1 << 32) + F.col("j")).alias("seq"),
+                                  state(F.col("spot")).alias("state")))
+        .unionByName(quoted.select("topic").distinct().select(
+            dive.alias("id"), F.lit("dive").alias("kind"), F.lit(0).alias("tier"),
+            (~F.col("topic").startswith("focus")).alias("exported"),
+            (F.lit(1 << 50) + F.octet_length("topic")).alias("seq"), F.lit("pending").alias("state"))))
+    side = lambda ord_, c: nodes.select("id", F.lit(ord_).cast("bigint").alias("ord"), F.col(c).alias("dep"))
+    deps = side(0, "left_value").unionByName(side(1, "right_value")).unionByName(
+        quoted.select(dive.alias("id"), F.col("seq").alias("ord"), F.col("srt_id").alias("dep")))
+    return leaves, cut(tasks), cut(deps)

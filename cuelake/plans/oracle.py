@@ -80,3 +80,57 @@ frames AS (
 def with_base(sql: str) -> str:
     """``sql`` behind the shared prefix; text starting with a comma adds further CTEs."""
     return BASE.rstrip() + ("" if sql.lstrip().startswith(",") else "\n") + sql
+
+
+TIERS = 17  # enough for 131,072 subtitles
+
+_FOLD_TIERS = ",\n".join(f"""ids{t} AS MATERIALIZED (SELECT * FROM ids{t - 1} UNION ALL
+  SELECT n.tier, n.j, left(sha256('tree' || l.id || r.id), 16), l.id, r.id FROM nodes n
+  JOIN ids{t - 1} l ON l.tier = n.left_tier AND l.j = n.left_j JOIN ids{t - 1} r ON r.tier = n.right_tier AND r.j = n.right_j
+  WHERE n.tier = {t})""" for t in range(1, TIERS + 1))
+
+TREE = f"""
+, leaves AS MATERIALIZED (SELECT srt_id AS id, min(seq) AS first_seq, row_number() OVER (ORDER BY min(seq)) - 1 AS pos
+                          FROM videos GROUP BY srt_id),
+mids AS (SELECT pos AS mid, CAST(bit_count(CAST((pos & -pos) - 1 AS BIGINT)) + 1 AS INTEGER) AS tier,
+                (SELECT count(*) FROM leaves) AS n FROM leaves WHERE pos > 0),
+spans AS (SELECT *, mid >> tier AS j, (mid >> tier) << tier AS first_pos, least(((mid >> tier) + 1) << tier, n) AS upto_pos FROM mids),
+nodes AS MATERIALIZED (SELECT tier, j, first_pos, upto_pos, tier - 1 AS left_tier, j * 2 AS left_j, rt AS right_tier, mid >> rt AS right_j
+  FROM (SELECT *, CAST(ceil(log2(upto_pos - mid)) AS INTEGER) AS rt FROM spans)),
+ids0 AS MATERIALIZED (SELECT 0 AS tier, pos AS j, id, CAST(NULL AS VARCHAR) AS l, CAST(NULL AS VARCHAR) AS r FROM leaves),
+{_FOLD_TIERS}
+"""
+
+EXCERPT = """
+, cum AS MATERIALIZED (SELECT topic, video_id, sum(strlen(line) + 1) OVER (PARTITION BY topic, video_id ORDER BY cue_no) AS upto FROM hits),
+per AS MATERIALIZED (SELECT c.topic, v.seq, c.video_id, v.srt_id, strlen(v.file_name) + 4 AS head, list(upto ORDER BY upto) AS upto,
+               row_number() OVER (PARTITION BY c.topic ORDER BY v.seq) AS rn
+        FROM cum c JOIN videos v ON v.video_id = c.video_id GROUP BY c.topic, v.seq, c.video_id, v.srt_id, v.file_name),
+walk AS (
+  SELECT topic, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS quoted, CAST(NULL AS BIGINT) AS video_id,
+         CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS srt_id, CAST(0 AS BIGINT) AS n_lines, CAST(0 AS BIGINT) AS n_bytes
+  FROM (SELECT DISTINCT topic FROM per)
+  UNION ALL
+  SELECT topic, rn, used + take, CASE WHEN take > 0 THEN list_append(quoted, srt_id) ELSE quoted END, video_id, seq, srt_id,
+         len(list_filter(upto, lambda x: x <= take - head)), take
+  FROM (SELECT w.topic, p.rn, w.used, w.quoted, p.video_id, p.seq, p.srt_id, p.upto, p.head,
+          CASE WHEN w.used < BUDGET AND NOT list_contains(w.quoted, p.srt_id) AND p.head < BUDGET - w.used
+                    AND p.upto[1] <= BUDGET - w.used - p.head
+               THEN CAST(p.head + list_max(list_filter(p.upto, lambda x: x <= BUDGET - w.used - p.head)) AS BIGINT) ELSE 0 END AS take
+        FROM walk w JOIN per p ON p.topic = w.topic AND p.rn = w.rn + 1))
+, sections AS (SELECT topic, seq, video_id, srt_id, n_lines, n_bytes FROM walk WHERE n_bytes > 0)
+"""
+
+_STATES = "['done', 'done', 'pending', 'done', 'parked', 'pending']"
+
+GRAPH = TREE + EXCERPT.replace("BUDGET", "3000") + f"""
+, tree AS (SELECT *, CASE WHEN tier = 0 THEN j ELSE j * 7 + tier END AS spot FROM ids{TIERS}),
+tasks AS MATERIALIZED (
+  SELECT id, CASE WHEN tier = 0 THEN 'leaf' ELSE 'node' END AS kind, tier, true AS exported,
+         CASE WHEN tier = 0 THEN j ELSE 1099511627776 + tier * 4294967296 + j END AS seq, ({_STATES})[spot % 6 + 1] AS state FROM tree
+  UNION ALL SELECT left(sha256('dive' || chr(10) || topic), 16), 'dive', 0, NOT starts_with(topic, 'focus'),
+         1125899906842624 + strlen(topic), 'pending' FROM (SELECT DISTINCT topic FROM sections)),
+deps AS MATERIALIZED (
+  SELECT id, 0 AS ord, l AS dep FROM tree WHERE tier > 0 UNION ALL SELECT id, 1, r FROM tree WHERE tier > 0
+  UNION ALL SELECT left(sha256('dive' || chr(10) || topic), 16), seq, srt_id FROM sections)
+"""

@@ -9,20 +9,21 @@ from cuelake.plans import bindings as b
 from cuelake.plans.registry import query
 
 _CUE_AT = """
-, at AS (SELECT p.event_id, p.session, p.video_id, p.ts, p.t_ms,
+
+, located AS (SELECT p.event_id, p.session, p.video_id, p.ts, p.t_ms,
            (SELECT CASE WHEN p.t_ms < arg_max(c.end_ms, c.cue_no) THEN max(c.cue_no) END FROM overlap c
             WHERE c.video_id = p.video_id AND c.start_ms <= p.t_ms) AS cue_no FROM positions p)
 """
 
 
-@query("cue_at", _CUE_AT + "SELECT event_id, video_id, t_ms, cue_no FROM at")
+@query("cue_at", _CUE_AT + "SELECT event_id, video_id, t_ms, cue_no FROM located")
 def cue_at(spark, sf):
     return tl.cue_at(b.positions(spark, sf), b.overlap(spark, sf)).select("event_id", "video_id", "t_ms", "cue_no")
 
 
 @query("cue_changes", _CUE_AT + """
 SELECT session, event_id, cue_no FROM (
-  SELECT *, lag(coalesce(cue_no, -1), 1, -1) OVER (PARTITION BY session ORDER BY ts, event_id) AS was FROM at)
+  SELECT *, lag(coalesce(cue_no, -1), 1, -1) OVER (PARTITION BY session ORDER BY ts, event_id) AS was FROM located)
 WHERE coalesce(cue_no, -1) <> was""")
 def cue_changes(spark, sf):
     at = tl.cue_at(b.positions(spark, sf), b.overlap(spark, sf))
@@ -30,9 +31,9 @@ def cue_changes(spark, sf):
 
 
 @query("stall_gaps", """
-SELECT session, event_id, epoch_ms(ts) - epoch_ms(p) AS silence_ms FROM (
+SELECT session, event_id, epoch_us(ts) // 1000 - epoch_us(p) // 1000 AS silence_ms FROM (
   SELECT session, event_id, ts, lag(ts) OVER (PARTITION BY session ORDER BY ts, event_id) AS p FROM positions)
-WHERE epoch_ms(ts) - epoch_ms(p) >= 6000""")
+WHERE epoch_us(ts) // 1000 - epoch_us(p) // 1000 >= 6000""")
 def stall_gaps(spark, sf):
     return tl.stall_gaps(b.positions(spark, sf)).select("session", "event_id", "silence_ms")
 
@@ -66,7 +67,7 @@ def drift_breadcrumbs(spark, sf):
 , o AS (SELECT user_id AS session, ts, event_id, event_type = 'error' AS r FROM events WHERE event_type <> 'click'),
 l AS (SELECT session, ts, r AND coalesce(lag(r, 1) OVER w, false) AND coalesce(lag(r, 2) OVER w, false) AS hit FROM o
       WINDOW w AS (PARTITION BY session ORDER BY ts, event_id))
-SELECT session, epoch_ms(min(ts)) AS offline_at_ms FROM l WHERE hit GROUP BY session""")
+SELECT session, epoch_us(min(ts)) // 1000 AS offline_at_ms FROM l WHERE hit GROUP BY session""")
 def failure_latch(spark, sf):
     kind = F.col("event_type")
     outcomes = b.table(spark, sf, "events").select(
@@ -77,7 +78,7 @@ def failure_latch(spark, sf):
 
 
 _BOUNDS = """
-, shots AS (SELECT video_id, t_ms AS hit_ms, px FROM frames WHERE t_ms % 3000 = 0),
+, shots AS (SELECT video_id, t_ms AS hit_ms, px FROM frames),
 pairs AS (SELECT h.video_id, h.hit_ms, f.t_ms FROM shots h JOIN frames f ON f.video_id = h.video_id
             AND f.t_ms BETWEEN h.hit_ms - 30000 AND h.hit_ms + 30000
           WHERE list_sum(list_transform(range(1, len(h.px) + 1), lambda i: abs(h.px[i] - f.px[i]))) / len(h.px) >= 13),
@@ -90,7 +91,7 @@ _SAME = 13  # test vectors are unit vectors times 100; this value splits them
 
 
 def _shots(spark, sf):
-    return b.frames(spark, sf).where("t_ms % 3000 = 0").withColumnRenamed("t_ms", "hit_ms")
+    return b.frames(spark, sf).withColumnRenamed("t_ms", "hit_ms")
 
 
 @query("content_boundaries", _BOUNDS + "SELECT * FROM bounds")
