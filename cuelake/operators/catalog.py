@@ -242,7 +242,7 @@ def adopt_novel(incoming: DataFrame, covered: DataFrame) -> DataFrame:
         fresh = cut(fresh.join(refused, "seq", "left_anti"))
 
 
-def free_numbers(adopted: DataFrame, order: str, taken: DataFrame, stem: str) -> DataFrame:
+def free_numbers(adopted: DataFrame, order: str, taken: DataFrame, stem: str, ties: list[Column] = []) -> DataFrame:
     """Names ``stem<n>`` with the lowest free numbers, in adoption order.
 
     The k-th new name takes k plus the number of taken numbers that leave fewer than k free below.
@@ -251,7 +251,8 @@ def free_numbers(adopted: DataFrame, order: str, taken: DataFrame, stem: str) ->
         F.expr(f"cast(substring(name, {len(stem) + 1}) as bigint)").alias("n")).distinct()
     used = ordinal(used, [], ["n"], "__j").select((F.col("n") - F.col("__j")).alias("__at"), F.lit(1).alias("__kind"),
                                                   F.lit(1).cast("bigint").alias("__one"))
-    ranked = ordinal(adopted, [], [order], "__k")
+    names = [f"__tie{i}" for i in range(len(ties))]
+    ranked = ordinal(adopted.withColumns(dict(zip(names, ties))) if ties else adopted, [], [order, *names], "__k").drop(*names)
     marks = ranked.select(F.col("__k").alias("__at"), F.lit(0).alias("__kind"), F.lit(0).cast("bigint").alias("__one"))
     counted = running_sum(marks.unionByName(used), [], ["__at", "__kind"], "__one", "__taken")
     numbers = counted.where("__kind = 0").select(F.col("__at").alias("__k"), "__taken")

@@ -178,3 +178,29 @@ def interval_lookup(points: DataFrame, intervals: DataFrame, keys: Sequence[str]
     cond = cond & (F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))
     return (points.withColumn("__pb", bucket(F.col(point), zero))
             .join(filed, cond, how).drop("__pb", "__kb", *renamed.values()))
+
+
+def file_intervals(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, lo: str, hi: str) -> DataFrame:
+    """Stream-static variant of :func:`interval_lookup`: a left join per tier in use.
+
+    A stream cannot be asked which buckets it fills, so the points look into every tier that the
+    static side uses (one for ordinary cues, at most seven) and the caller keeps the tier that hit.
+    """
+    length = F.col(hi) - F.col(lo)
+    tier = F.lit(len(_TIER_BITS) - 1)
+    for i in reversed(range(len(_TIER_BITS) - 1)):
+        tier = F.when(length <= F.lit(64 << _TIER_BITS[i]), F.lit(i)).otherwise(tier)
+    widths = F.array(*[F.lit(1 << b).cast("bigint") for b in _TIER_BITS])
+    tiered = intervals.where(length > 0).withColumn("__tier", tier)
+    in_use = sorted(r[0] for r in tiered.select("__tier").distinct().collect()) or [0]  # at most seven numbers
+    width = F.get(widths, F.col("__tier"))
+    filed = tiered.withColumn("__b", F.explode(F.sequence(
+        F.floor(F.col(lo) / width).cast("bigint"), F.floor((F.col(hi) - 1) / width).cast("bigint"))))
+    looked = points.withColumn("__tier", F.explode(F.array(*[F.lit(t) for t in in_use]))).withColumn(
+        "__b", F.floor(F.col(point) / width).cast("bigint"))
+    on = [*keys, "__tier", "__b"]
+    held = filed.withColumnsRenamed({c: f"__k_{c}" for c in on})
+    cond = (F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))
+    for c in on:
+        cond = cond & (F.col(c) == F.col(f"__k_{c}"))
+    return looked.join(held, cond, "left").drop("__tier", "__b", *[f"__k_{c}" for c in on], lo, hi)

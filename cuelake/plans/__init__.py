@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["matching", "ingest", "catalogue", "timeline", "exports", "worklist"]
+MODULES = ["matching", "ingest", "catalogue", "timeline", "exports", "worklist", "exchange", "streams"]
 
 
 def all_queries():

@@ -131,7 +131,10 @@ def srt_files(spark: SparkSession, sf: str, canonical: bool = False) -> DataFram
     lines; banner and trailing junk.  Encoding by ``video_id % 5``: UTF-8, UTF-8 with mark, UTF-16LE,
     UTF-16BE, Latin text as Windows-1252.
     """
-    docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("video_id"), "text"))
+    return render_srt(spread(table(spark, sf, "documents").select(F.col("doc_id").alias("video_id"), "text")), canonical)
+
+
+def render_srt(docs: DataFrame, canonical: bool = False) -> DataFrame:
     mode = F.lit(0) if canonical else F.col("video_id") % 6
     encoding = F.lit(0) if canonical else F.col("video_id") % 5
 

@@ -20,7 +20,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         @wraps(fn)
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            ship(spark)
+            ship()
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # event times are UTC
             return fn(spark, sf)
 
         QUERIES[name] = run

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import sha_head
@@ -11,6 +13,7 @@ from cuelake.plans import bindings as b
 from cuelake.plans.matching import plan
 from cuelake.plans.oracle import EXCERPT, GRAPH, TIERS, TREE
 from cuelake.plans.registry import query
+from cuelake.session import cut
 
 WINDOWS = """
 , sized AS MATERIALIZED (SELECT video_id, cue_no, '#' || cue_no || ' [' || (start_ms // 60000) || ':' || lpad((start_ms // 1000 % 60)::VARCHAR, 2, '0')
@@ -30,14 +33,16 @@ staged AS (SELECT * FROM named_win QUALIFY row_number() OVER (PARTITION BY id OR
 """
 
 
+@cache
 def windows(spark, sf):
-    return chunking.term_windows(b.lines(spark, sf), b.videos(spark, sf).select("video_id", "seq", "srt_id"), 4000)
+    """Staged windows, computed once per session for the queries that build on them."""
+    return cut(chunking.term_windows(b.lines(spark, sf), b.videos(spark, sf).select("video_id", "seq", "srt_id"), 4000))
 
 
 @query("term_windows", WINDOWS + "SELECT id, seq, video_id, window_no, first_cue, last_cue, sha256(text) AS text_sha FROM staged")
 def term_windows(spark, sf):
-    return windows(spark, sf).select("id", "seq", "video_id", "window_no", "first_cue", "last_cue",
-                                     F.sha2("text", 256).alias("text_sha"))
+    staged = chunking.term_windows(b.lines(spark, sf), b.videos(spark, sf).select("video_id", "seq", "srt_id"), 4000)
+    return staged.select("id", "seq", "video_id", "window_no", "first_cue", "last_cue", F.sha2("text", 256).alias("text_sha"))
 
 
 @query("excerpt_budget", EXCERPT.replace("BUDGET", "49152") + """
@@ -258,7 +263,6 @@ def _listing(chain):
 
 
 def _chain_and_listing(spark, sf):
-    from cuelake.session import cut
     tasks, deps, artifacts = _chain_inputs(spark, sf)
     chain = cut(T.content_chain(tasks, deps, artifacts))
     return chain, _listing(chain.join(tasks.select("id", "seq", "tier"), "id"))

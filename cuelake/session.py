@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
-import zipfile
-from functools import cache
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on; anything the cluster already sets wins at submit time.
@@ -66,12 +65,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-@cache
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per session (what ``--py-files`` would do)."""
-    package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))
+def ship() -> None:
+    """Make this package travel inside the functions sent to Python workers.
+
+    Workers then need no copy of it; a job that ships it with ``--py-files`` may skip this.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
