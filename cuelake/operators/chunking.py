@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import numbered_line, sha_head
-from cuelake.operators.ordered import interval_lookup, sorted_fold
+from cuelake.operators.ordered import interval_lookup, running_sum, sorted_fold
+from cuelake.session import cut
 
 # ---- fixed values -------------------------------------------------------------------------------
 WINDOW_BYTES = 10 * 1024   # a window closes with the line that reaches this size
@@ -88,6 +89,8 @@ def excerpt_sections(hits: DataFrame, videos: DataFrame, budget: int = EXCERPT_B
     per_video = upto.groupBy("topic", "video_id").agg(F.array_sort(F.collect_list("upto")).alias("upto"))
     head = F.octet_length(F.concat(F.lit("== "), "file_name", F.lit("\n"))).cast("bigint")
     rows = per_video.join(videos.select("video_id", "seq", "srt_id", head.alias("head")), "video_id")
+    # One row per topic and hit video: small beside the lines it came from, and read several times.
+    rows = _still_possible(cut(rows), budget)
 
     def step(state, batch: pd.DataFrame):
         used, quoted = state
@@ -111,6 +114,29 @@ def excerpt_sections(hits: DataFrame, videos: DataFrame, budget: int = EXCERPT_B
                        "topic STRING, seq BIGINT, video_id BIGINT, srt_id STRING, n_lines BIGINT, n_bytes BIGINT")
 
 
+def _still_possible(rows: DataFrame, budget: int) -> DataFrame:
+    """Drops videos that cannot get a section whatever the fold decides, so it reads few rows per topic.
+
+    As long as the sections of a topic's first videos fit together, all are quoted whole.  The video
+    that overflows takes what lines fit, and the room left behind it only shrinks: a later video
+    whose heading and first line exceed that room is out.
+    """
+    first = rows.groupBy("topic", "srt_id").agg(F.min("seq").alias("__first"))
+    sized = rows.join(first, ["topic", "srt_id"])
+    full = F.when(F.col("seq") == F.col("__first"), F.col("head") + F.element_at("upto", -1)).otherwise(F.lit(0))
+    summed = running_sum(sized.select("topic", "seq", full.cast("bigint").alias("full")), ["topic"], ["seq"], "full", "total")
+    over = summed.where(F.col("total") > budget).groupBy("topic").agg(
+        F.min(F.struct("seq", (F.lit(budget) - F.col("total") + F.col("full")).alias("room"))).alias("o"))
+    over = over.select("topic", F.col("o.seq").alias("__stop"), F.col("o.room").alias("__room"))
+    edge = rows.join(over, "topic").where(F.col("seq") == F.col("__stop"))
+    fits = F.filter("upto", lambda u: u <= F.col("__room") - F.col("head"))
+    taken = F.when(F.size(fits) > 0, F.col("head") + F.element_at(fits, F.greatest(F.size(fits), F.lit(1)))).otherwise(F.lit(0))
+    left = edge.select("topic", "__stop", (F.col("__room") - taken).alias("__left"))  # one row per topic
+    need = F.col("head") + F.get("upto", F.lit(0))
+    return rows.join(left, "topic", "left").where(
+        F.col("__stop").isNull() | (F.col("seq") <= F.col("__stop")) | (need <= F.col("__left"))).drop("__stop", "__left")
+
+
 def excerpt_text(hits: DataFrame, sections: DataFrame, videos: DataFrame) -> DataFrame:
     """The excerpt of each topic, at most the budget long: (topic, n_sections, excerpt)."""
     order = Window.partitionBy("topic", "video_id").orderBy("cue_no")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import format_time, frame_name, safe_stem
 from cuelake.operators.match import attribute_components, context_snippet, scan_hits, topic_scope, pattern_guard
+from cuelake.session import cut
 from cuelake.sources.sinks import PENDING, snippet
 
 
@@ -57,7 +58,7 @@ def digest_lines(cues: DataFrame, videos: DataFrame, plan: DataFrame, video_topi
     ``components`` is (name, pattern) of the topics that may be acknowledged.
     """
     guarded = pattern_guard(plan)
-    found = topic_scope(scan_hits(cues, plan), video_topics)
+    found = cut(topic_scope(scan_hits(cues, plan), video_topics))  # read several times below
     marks = videos.select("video_id", "seq", "file_name")
     context = context_snippet(found, cues).join(marks, "video_id")
     shots = picks.select("video_id", F.col("hit_ms").alias("start_ms"), "prev_ms", "next_ms", F.lit(True).alias("__known"))
@@ -73,6 +74,7 @@ def digest_lines(cues: DataFrame, videos: DataFrame, plan: DataFrame, video_topi
                     F.lit("\n"), frames_text, F.lit("\n"))
     body = context.select("topic", "seq", "video_id", "cue_no", "file_name", text.alias("text"))
     fired = attribute_components(found, plan)
+    body = cut(body)
     parts = body.join(fired, ["topic", "video_id", "cue_no"])
     # A component acknowledged by several groupings quotes a hit once per grouping.
     owned = body.select(F.col("topic").alias("digest"), "topic", "seq", "video_id", "cue_no", "file_name", "text")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake.operators.ordered import (
     block_of, carry_forward, interval_lookup, neighbours, ordinal, running_sum)
+from cuelake.session import cut
 
 # Catalogue size up to which each pattern becomes a constant of the scan.
 UNROLL_ROWS = 256
@@ -58,12 +59,18 @@ def match_join(cues: DataFrame, plan: DataFrame, line: str = "line") -> DataFram
         fired = F.array_compact(F.array(*[
             F.when(F.col(line).rlike(r["pattern"]), F.lit(r["name"])) for r in rows]))
         return cues.withColumn("name", F.explode(fired))
-    slices = int(size.b // SLICE_BYTES) + 1
+    return match_slices(cues, small, int(size.b), line)
+
+
+def match_slices(cues: DataFrame, plan: DataFrame, n_bytes: int, line: str = "line") -> DataFrame:
+    """Theta join on "line matches", one pass over the cues per slice of the catalogue."""
+    upto = running_sum(plan.withColumn("__b", F.octet_length("pattern").cast("bigint")), [], ["name"], "__b", "__upto",
+                       F.ascii("name").cast("bigint"))
+    sliced = cut(upto.select("name", "pattern", F.floor((F.col("__upto") - 1) / SLICE_BYTES).alias("__slice")))
     out = None
-    for i in range(slices):
-        part = small.where(F.pmod(F.xxhash64("name"), F.lit(slices)) == i)
-        held = part.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
-        part = F.broadcast(part) if held <= 4 * SLICE_BYTES else part
+    for i in range(max(n_bytes - 1, 0) // SLICE_BYTES + 1):
+        # A slice ends with the pattern that crosses the mark, so it exceeds it by one pattern at most.
+        part = F.broadcast(sliced.where(F.col("__slice") == i).drop("__slice"))
         hit = cues.join(part, F.rlike(line, F.col("pattern"))).drop("pattern")
         out = hit if out is None else out.unionByName(hit)
     return out
@@ -125,13 +132,17 @@ def evidence_cap(hits: DataFrame, cap: int = EVIDENCE_CAP) -> DataFrame:
 def context_snippet(hits: DataFrame, cues: DataFrame) -> DataFrame:
     """Hits with the lines before and after.
 
-    Neighbours are looked up by (video, cue number): the equi-join spreads one long video over all
-    tasks, and the side of the hits may be broadcast by AQE when it turns out small.
+    The wanted neighbours meet the cues once, by (video, cue number): that key spreads one long video
+    over all tasks, and AQE may broadcast the wanted side when it turns out small.
     """
-    side = lambda shift, name: cues.select(
-        "video_id", (F.col("cue_no") - shift).alias("cue_no"), F.col("line").alias(name))
-    around = ["video_id", "cue_no"]
-    return hits.join(side(-1, "prev_line"), around, "left").join(side(1, "next_line"), around, "left")
+    wanted = hits.select("topic", "video_id", F.col("cue_no").alias("__hit"),
+                         F.explode(F.array(F.lit(-1), F.lit(1))).alias("__side"))
+    wanted = wanted.withColumn("cue_no", F.col("__hit") + F.col("__side"))
+    met = wanted.join(cues.select("video_id", "cue_no", F.col("line").alias("__l")), ["video_id", "cue_no"])
+    sides = met.groupBy("topic", "video_id", F.col("__hit").alias("cue_no")).agg(
+        F.max(F.when(F.col("__side") < 0, F.col("__l"))).alias("prev_line"),
+        F.max(F.when(F.col("__side") > 0, F.col("__l"))).alias("next_line"))
+    return hits.join(sides, ["topic", "video_id", "cue_no"], "left")
 
 
 def match_ordinals(cues: DataFrame, videos: DataFrame, pattern: str) -> DataFrame:

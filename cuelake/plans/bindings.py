@@ -151,11 +151,12 @@ def render_srt(docs: DataFrame, canonical: bool = False) -> DataFrame:
             stamp(start), F.lit(" --> "), stamp(start + 2500), F.when(mode == 5, F.lit(" X1:0 Y2:9")).otherwise(F.lit("")),
             F.lit("\n"), line, F.when(mode == 4, F.lit("\n")).otherwise(F.lit("\n\n")))
 
-    text = F.concat(F.when(mode == 5, F.lit("ripped by nobody\n\n")).otherwise(F.lit("")),
-                    F.array_join(F.transform(F.split("text", "\n"), cue), ""))
-    text = F.when(mode == 1, F.replace(text, F.lit("\n"), F.lit("\r\n"))).when(
-        mode == 3, F.replace(text, F.lit("\n"), F.lit("\r"))).otherwise(text)
-    return docs.select("video_id", encode_text(text, encoding).alias("content"))
+    body = F.array_join(F.transform(F.split("text", "\n"), cue), "")
+    files = docs.select("video_id", F.concat(F.when(mode == 5, F.lit("ripped by nobody\n\n")).otherwise(F.lit("")), body).alias("srt"))
+    broken = F.when(mode == 1, F.replace("srt", F.lit("\n"), F.lit("\r\n"))).when(
+        mode == 3, F.replace("srt", F.lit("\n"), F.lit("\r"))).otherwise(F.col("srt"))
+    files = files.select("video_id", broken.alias("srt"))
+    return files.select("video_id", encode_text(F.col("srt"), encoding).alias("content"))
 
 
 def encode_text(text, encoding):

@@ -29,6 +29,14 @@ def match_join(spark, sf):
     return hits(spark, sf)
 
 
+@query("match_join_theta", "SELECT topic, video_id, cue_no, start_ms, line FROM hits")
+def match_join_theta(spark, sf):
+    """The form for catalogues too large to unroll."""
+    good = match.pattern_guard(plan(spark)).where("valid").select("name", "pattern")
+    found = match.match_slices(b.lines(spark, sf), good, n_bytes=1)
+    return found.select(F.col("name").alias("topic"), "video_id", "cue_no", "start_ms", "line")
+
+
 @query("topic_digest", """
 SELECT s.topic, s.video_id, s.cue_no, n.n_hits, s.prev_line, s.line, s.next_line, s.at FROM (
   SELECT h.topic, h.video_id, h.cue_no, h.line, p.line AS prev_line, x.line AS next_line,
@@ -43,7 +51,8 @@ WHERE s.nth <= 3""")
 def topic_digest(spark, sf):
     """Per topic and video: number of hits and the first three with context."""
     cues = b.lines(spark, sf)
-    found = match.topic_scope(match.scan_hits(cues, plan(spark)), b.video_topics(spark, sf))
+    # The hits are read twice; the scan that finds them should run once.
+    found = cut(match.topic_scope(match.scan_hits(cues, plan(spark)), b.video_topics(spark, sf)))
     top = match.evidence_cap(found, 3)
     return (match.context_snippet(top, cues).join(match.evidence_counts(found), ["topic", "video_id"])
             .select("topic", "video_id", "cue_no", "n_hits", "prev_line", "line", "next_line",

@@ -68,19 +68,18 @@ def decode_text(files: DataFrame, content: str = "content", text: str = "text",
     UTF-16 files go through an Arrow function because a stray surrogate makes the JVM decoder
     fail the job; ``strict_utf16`` keeps everything JVM-side where the input is known to be clean.
     """
-    raw = F.col(content)
-    kind = encoding_class(raw)
+    raw, kind = F.col(content), F.col("__kind")
     latin = F.translate(F.decode(raw_after_bom(raw), "ISO-8859-1"),
                         "".join(chr(c) for c in range(0x80, 0xA0)), CP1252_C1)
     utf16 = (
         F.when(kind == "utf16le", _decode_utf16(raw, True)).otherwise(_decode_utf16(raw, False))
         if strict_utf16 else _utf16_with_strays(F.when(kind.startswith("utf16"), raw))
     )
-    return files.withColumn(text, (
+    return files.withColumn("__kind", encoding_class(raw)).withColumn(text, (
         F.when(kind == "utf8", raw.cast("string"))
         .when(kind == "utf8-bom", F.substring(raw, F.lit(4), F.octet_length(raw)).cast("string"))
         .when(kind == "cp1252", latin)
-        .otherwise(utf16)))
+        .otherwise(utf16))).drop("__kind")
 
 
 def raw_after_bom(raw: Column) -> Column:
@@ -93,42 +92,39 @@ def encoding_audit(files: DataFrame, content: str = "content") -> DataFrame:
             .agg(F.count("*").alias("n_files")))
 
 
-def _stamp_ms(line: Column, first_group: int) -> Column:
-    part = lambda i: F.regexp_extract(line, f"^{TIMECODE}", first_group + i).cast("bigint")
-    millis = F.rpad(F.regexp_extract(line, f"^{TIMECODE}", first_group + 3), 3, "0").cast("bigint")
-    return ((part(0) * 60 + part(1)) * 60 + part(2)) * 1000 + millis
-
-
 def normal_breaks(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
-def cue_structs(text: Column) -> Column:
-    """Decoded file text to an array of (start_ms, end_ms, text) in file order."""
-    stretches = F.filter(F.split(normal_breaks(text), rf"(?md)^(?={TIMECODE})"),
-                         lambda s: s.rlike(f"^{TIMECODE}"))
-    last = F.size(stretches) - 1
-
-    def cue(stretch: Column, at: Column) -> Column:
-        head = F.substring_index(stretch, "\n", 1)
-        body = F.when(F.instr(stretch, "\n") == 0, F.lit("")).otherwise(
-            F.substring(stretch, F.length(head) + F.lit(2), F.length(stretch)))
-        # A digits-only line right in front of the next timecode is that block's counter.
-        body = F.when(at < last, F.regexp_replace(
-            body, rf"(?d)(^|\n){_BLANK}*[0-9]+{_BLANK}*\n$", "$1")).otherwise(body)
-        body = F.get(F.split(body, rf"(?md)^{_BLANK}*$", 2), F.lit(0))
-        lines = F.regexp_replace(body, rf"(?md)^{_BLANK}+|{_BLANK}+$", "")
-        return F.struct(_stamp_ms(head, 1).alias("start_ms"), _stamp_ms(head, 5).alias("end_ms"),
-                        F.rtrim(lines, F.lit("\n")).alias("text"))
-
-    return F.transform(stretches, cue)
+def _stamp_ms(numbers: Column, first: int) -> Column:
+    part = lambda i: F.get(numbers, F.lit(first + i))
+    whole = (part(0).cast("bigint") * 60 + part(1).cast("bigint")) * 60 + part(2).cast("bigint")
+    return whole * 1000 + F.rpad(part(3), 3, "0").cast("bigint")
 
 
 def srt_scan(files: DataFrame, key: str = "video_id", text: str = "text") -> DataFrame:
-    """Decoded files to cues: (key, cue_no, start_ms, end_ms, text, line)."""
-    cues = files.select(key, F.posexplode(cue_structs(F.col(text))).alias("cue_no", "cue"))
-    return cues.select(key, "cue_no", "cue.start_ms", "cue.end_ms", "cue.text",
-                       render_line(F.col("cue.text")).alias("line"))
+    """Decoded files to cues: (key, cue_no, start_ms, end_ms, text, line), in file order.
+
+    Each step is a column of its own, so nothing is evaluated twice and the whole parse is one
+    narrow stage.
+    """
+    cut = F.split(normal_breaks(F.col(text)), rf"(?md)^(?={TIMECODE})")
+    stretches = files.select(key, cut.alias("__all")).select(
+        key, F.filter("__all", lambda s: s.rlike(f"^{TIMECODE}")).alias("__stretches"))
+    # The outer form keeps Catalyst from pushing a second copy of the parse below as a filter.
+    rows = stretches.select(key, F.size("__stretches").alias("__n"),
+                            F.posexplode_outer("__stretches").alias("cue_no", "__s")).where("__s is not null")
+    rows = rows.withColumn("__head", F.substring_index("__s", "\n", 1))
+    rows = rows.withColumn("__t", F.split(F.btrim(F.regexp_extract("__head", f"^{TIMECODE}", 0)), "[^0-9]+"))
+    rows = rows.withColumn("__body", F.substring("__s", F.length("__head") + F.lit(2), F.length("__s")))
+    # A digits-only line right in front of the next timecode is that block's counter.
+    counter = F.regexp_replace("__body", rf"(?d)(^|\n){_BLANK}*[0-9]+{_BLANK}*\n$", "$1")
+    rows = rows.withColumn("__body", F.when(F.col("cue_no") < F.col("__n") - 1, counter).otherwise(F.col("__body")))
+    rows = rows.withColumn("__body", F.get(F.split("__body", rf"(?md)^{_BLANK}*$", 2), F.lit(0)))
+    lines = F.rtrim(F.regexp_replace("__body", rf"(?md)^{_BLANK}+|{_BLANK}+$", ""), F.lit("\n"))
+    cues = rows.select(key, "cue_no", _stamp_ms(F.col("__t"), 0).alias("start_ms"), _stamp_ms(F.col("__t"), 4).alias("end_ms"),
+                       lines.alias("text"))
+    return cues.withColumn("line", render_line(F.col("text")))
 
 
 def quarantine_split(files: DataFrame, key: str = "video_id", content: str = "content",
