@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +23,9 @@ def window_ranges(sizes: DataFrame, window_bytes: int = WINDOW_BYTES) -> DataFra
     The sum restarts at every boundary, so a boundary depends on the one before it; only numbers
     pass through the fold.
     """
-    def step(state, rows: pd.DataFrame):
+    def step(state, rows):
         window, first, used = state
-        upto = np.cumsum(rows["n_bytes"].to_numpy())
-        cues = rows["cue_no"].to_numpy()
+        upto, cues = np.cumsum(rows["n_bytes"]), rows["cue_no"]
         out, at = [], 0
         while at < len(cues):
             base = upto[at - 1] if at else 0
@@ -35,16 +33,14 @@ def window_ranges(sizes: DataFrame, window_bytes: int = WINDOW_BYTES) -> DataFra
             first = int(cues[at]) if first is None else first
             if stop >= len(cues):
                 used += int(upto[-1] - base)
-                out.append((window, first, int(cues[-1]), used))
+                out.append((window, first, int(cues[-1])))
                 break
-            out.append((window, first, int(cues[stop]), window_bytes))
+            out.append((window, first, int(cues[stop])))
             window, first, used, at = window + 1, None, 0, stop + 1
-        frame = pd.DataFrame(out, columns=["window_no", "first_cue", "last_cue", "seen"])
-        frame.insert(0, "video_id", rows["video_id"].iloc[0])
-        return (window, first, used), frame
+        return (window, first, used), out
 
     parts = sorted_fold(sizes.select("video_id", "cue_no", "n_bytes"), ["video_id"], ["cue_no"], lambda: (0, None, 0), step,
-                        "video_id BIGINT, window_no BIGINT, first_cue BIGINT, last_cue BIGINT, seen BIGINT")
+                        "video_id BIGINT, window_no BIGINT, first_cue BIGINT, last_cue BIGINT")
     # A window that spans several Arrow batches reports once per batch.
     return parts.groupBy("video_id", "window_no").agg(
         F.min("first_cue").alias("first_cue"), F.max("last_cue").alias("last_cue"))
@@ -67,10 +63,10 @@ def term_windows(cues: DataFrame, sources: DataFrame, window_bytes: int = WINDOW
     named = joined.join(sources, "video_id").withColumn("id", sha_head(F.concat(
         F.lit("terms\n"), "srt_id", F.lit("\n"), F.col("first_cue").cast("string"), F.lit("-"),
         F.col("last_cue").cast("string"), F.lit("\n"), "text")))
-    cols = ["id", "seq", "video_id", "srt_id", "window_no", "first_cue", "last_cue", "text"]
-    staged = named.groupBy("id").agg(F.min(F.struct("seq", "window_no")).alias("f"))
-    return named.join(staged, "id").where((F.col("f.seq") == F.col("seq")) & (F.col("f.window_no") == F.col("window_no"))
-                                          ).select(*cols)
+    # Equal windows keep their first place; aggregated, so copies combine before the shuffle.
+    staged = named.groupBy("id").agg(F.min(F.struct(
+        "seq", "window_no", "video_id", "srt_id", "first_cue", "last_cue", "text")).alias("w"))
+    return staged.select("id", "w.*")
 
 
 def excerpt_sections(hits: DataFrame, videos: DataFrame, budget: int = EXCERPT_BYTES) -> DataFrame:
@@ -92,22 +88,21 @@ def excerpt_sections(hits: DataFrame, videos: DataFrame, budget: int = EXCERPT_B
     # One row per topic and hit video: small beside the lines it came from, and read several times.
     rows = _still_possible(cut(rows), budget)
 
-    def step(state, batch: pd.DataFrame):
+    def step(state, batch):
         used, quoted = state
         out = []
-        for rec in batch.itertuples(index=False):
+        for seq, video, srt, head, upto in zip(*(batch[c] for c in ("seq", "video_id", "srt_id", "head", "upto"))):
             room = budget - used
-            if used >= budget or rec.srt_id in quoted or rec.head >= room:
+            if used >= budget or srt in quoted or head >= room:
                 continue
-            fit = int(np.searchsorted(np.asarray(rec.upto), room - rec.head, side="right"))
+            fit = int(np.searchsorted(np.asarray(upto), room - head, side="right"))
             if fit == 0:
                 continue
-            size = int(rec.head + rec.upto[fit - 1])
+            size = int(head + upto[fit - 1])
             used += size
-            quoted.add(rec.srt_id)
-            out.append((rec.topic, rec.seq, rec.video_id, rec.srt_id, fit, size))
-        return (used, quoted), pd.DataFrame(
-            out, columns=["topic", "seq", "video_id", "srt_id", "n_lines", "n_bytes"])
+            quoted.add(srt)
+            out.append((seq, video, srt, fit, size))
+        return (used, quoted), out
 
     return sorted_fold(rows.select("topic", "seq", "video_id", "srt_id", "head", "upto"), ["topic"], ["seq"],
                        lambda: (0, set()), step,

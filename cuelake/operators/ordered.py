@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,31 +101,38 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
 
 
 def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], object],
-                step: Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]], schema: str) -> DataFrame:
+                step: Callable[[object, dict[str, np.ndarray]], tuple[object, list[tuple]]], schema: str) -> DataFrame:
     """Fold each key's rows in order with constant memory.
 
     For folds whose every step needs the state of the row before (resetting or skipping sums).  Rows
     are hash-partitioned by key and sorted by Spark (the sort spills), then stream through in Arrow
     batches; only the running state is held, never the group.  Feed it ids and numbers, not texts.
+
+    ``step`` takes the state and a run of the key's rows as arrays, and returns the new state and
+    output rows; the key columns lead the schema and are filled in here.
     """
     keys, order = list(keys), list(order)
+    names = [part.split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
             if batch.empty:
                 continue
-            marks = batch[keys].ne(batch[keys].shift()).any(axis=1).to_numpy()
-            marks[0] = True
-            bounds = [i for i, m in enumerate(marks) if m] + [len(batch)]
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
+            changed = np.zeros(len(batch), dtype=bool)
+            changed[0] = True
+            for k in keys:
+                changed[1:] |= columns[k][1:] != columns[k][:-1]
+            bounds = [*np.flatnonzero(changed).tolist(), len(batch)]
+            rows = []
             for lo, hi in zip(bounds, bounds[1:]):
-                part = batch.iloc[lo:hi]
-                key = tuple(part[keys].iloc[0])
+                key = tuple(columns[k][lo] for k in keys)
                 if key != current:
                     current, state = key, start()
-                state, out = step(state, part)
-                if len(out):
-                    yield out
+                state, out = step(state, {c: v[lo:hi] for c, v in columns.items()})
+                rows += [key + row for row in out]
+            yield pd.DataFrame(rows, columns=names)
 
     arranged = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
     return arranged.mapInPandas(run, schema)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,12 +64,13 @@ def facet_state(actions: DataFrame, facets: list[str] = ["video_id", "cursor", "
 
 def drift_breadcrumbs(positions: DataFrame, epsilon_ms: int = DRIFT_MS) -> DataFrame:
     """Positions at least ``epsilon_ms`` away from the last kept one; a new video starts afresh."""
-    def step(state, rows: pd.DataFrame):
-        keep = np.zeros(len(rows), dtype=bool)
-        for i, (video, t) in enumerate(zip(rows["video_id"].to_numpy(), rows["t_ms"].to_numpy())):
+    def step(state, rows):
+        out = []
+        for event, video, t in zip(rows["event_id"], rows["video_id"], rows["t_ms"]):
             if state is None or state[0] != video or abs(state[1] - t) >= epsilon_ms:
-                state, keep[i] = (video, t), True
-        return state, rows.loc[keep, ["session", "event_id", "video_id", "t_ms"]]
+                state = (video, t)
+                out.append((event, video, t))
+        return state, out
 
     return sorted_fold(positions.select("session", "ts", "event_id", "video_id", "t_ms"), ["session"],
                        ["ts", "event_id"], lambda: None, step,
@@ -185,17 +184,15 @@ def session_replay(actions: DataFrame) -> DataFrame:
     branches below the node, and whether the step moved.  One session is sequential by nature; its
     rows stream through, only its tree is held.
     """
-    def step(tree: _Tree, rows: pd.DataFrame):
+    def step(tree: _Tree, rows):
         out = []
         for event, op, payload in zip(rows["event_id"], rows["op"], rows["payload"]):
             moved = tree.apply(op, payload)
-            at = tree.at
-            out.append((event, at, tree.parent[at], tree.depth[at], tree.fanout[at], moved))
-        frame = pd.DataFrame(out, columns=["event_id", "node", "parent", "depth", "branches", "moved"])
-        frame["parent"] = frame["parent"].astype("Int64")
-        frame.insert(0, "session", rows["session"].iloc[0])
-        return tree, frame
+            at, up = tree.at, tree.parent[tree.at]
+            out.append((event, at, -1 if up is None else up, tree.depth[at], tree.fanout[at], moved))
+        return tree, out
 
     return sorted_fold(actions.select("session", "ts", "event_id", "op", "payload"), ["session"], ["ts", "event_id"],
                        _Tree, step, "session BIGINT, event_id BIGINT, node BIGINT, parent BIGINT, depth BIGINT, "
-                                    "branches BIGINT, moved BOOLEAN")
+                                    "branches BIGINT, moved BOOLEAN").withColumn(
+        "parent", F.when(F.col("parent") >= 0, F.col("parent")))
