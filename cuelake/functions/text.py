@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # ---- fixed values -------------------------------------------------------------------------------
 TAG_BYTES = 96            # a tag longer than this is not a tag
@@ -119,6 +123,12 @@ def sha_head(text: Column) -> Column:
     return F.left(F.sha2(text, 256), F.lit(16))
 
 
+@F.pandas_udf(StringType())
+def blake_head(text: pd.Series) -> pd.Series:
+    """Content hash compatible with BLAKE2b-256 names, for callers who need them byte for byte."""
+    return text.map(lambda t: None if t is None else hashlib.blake2b(t.encode(), digest_size=32).hexdigest()[:16])
+
+
 def content_id(salt: str, *parts: Column, hash_fn=sha_head) -> Column:
     return hash_fn(F.concat(F.lit(salt), *parts))
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import numbered_line, sha_head
-from cuelake.operators.ordered import interval_lookup, running_sum, sorted_fold
+from cuelake.operators.ordered import interval_lookup, neighbours, ordinal, running_sum, sorted_fold
 from cuelake.session import cut
 
 # ---- fixed values -------------------------------------------------------------------------------
@@ -16,13 +17,27 @@ EXCERPT_BYTES = 48 * 1024  # per topic
 PAIR_FAN = 3               # partners a new scan may take
 # -------------------------------------------------------------------------------------------------
 
+BLOCK_BYTES = 16 << 20  # transcripts beyond this are cut into blocks of this size
 
-def window_ranges(sizes: DataFrame, window_bytes: int = WINDOW_BYTES) -> DataFrame:
+
+def window_ranges(sizes: DataFrame, window_bytes: int = WINDOW_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Greedy windows over (video_id, cue_no, n_bytes): (video_id, window_no, first_cue, last_cue).
 
-    The sum restarts at every boundary, so a boundary depends on the one before it; only numbers
-    pass through the fold.
+    The sum restarts at every boundary, so a boundary depends on the one before it.  A transcript of
+    ordinary size is folded in one go; a longer one in blocks side by side (:func:`_split_ranges`).
+    Only numbers pass through either way.
     """
+    sizes = sizes.select("video_id", F.col("cue_no").cast("bigint").alias("cue_no"), "n_bytes")
+    totals = sizes.groupBy("video_id").agg(F.sum("n_bytes").alias("t")).where(F.col("t") > block_bytes).select("video_id")
+    huge = cut(totals)  # transcripts beyond one block: few, usually none
+    if huge.isEmpty():
+        return _fold_ranges(sizes, window_bytes)
+    long = sizes.join(huge, "video_id", "left_semi")
+    return _fold_ranges(sizes.join(huge, "video_id", "left_anti"), window_bytes).unionByName(
+        _split_ranges(long, window_bytes, block_bytes))
+
+
+def _fold_ranges(sizes: DataFrame, window_bytes: int) -> DataFrame:
     def step(state, rows):
         window, first, used = state
         upto, cues = np.cumsum(rows["n_bytes"]), rows["cue_no"]
@@ -39,13 +54,83 @@ def window_ranges(sizes: DataFrame, window_bytes: int = WINDOW_BYTES) -> DataFra
             window, first, used, at = window + 1, None, 0, stop + 1
         return (window, first, used), out
 
-    parts = sorted_fold(sizes.select("video_id", "cue_no", "n_bytes"), ["video_id"], ["cue_no"], lambda: (0, None, 0), step,
+    parts = sorted_fold(sizes, ["video_id"], ["cue_no"], lambda: (0, None, 0), step,
                         "video_id BIGINT, window_no BIGINT, first_cue BIGINT, last_cue BIGINT")
     # A window that spans several Arrow batches reports once per batch.
     return parts.groupBy("video_id", "window_no").agg(
         F.min("first_cue").alias("first_cue"), F.max("last_cue").alias("last_cue"))
 
 
+def _next_start(upto: np.ndarray, window_bytes: int) -> np.ndarray:
+    """For a window starting at each row, the row after the one that closes it."""
+    before = np.concatenate(([0], upto[:-1]))
+    return np.searchsorted(upto, before + window_bytes) + 1
+
+
+def _split_ranges(sizes: DataFrame, window_bytes: int, block_bytes: int) -> DataFrame:
+    """The same windows for transcripts of any length, block by block in parallel.
+
+    What crosses a block's edge is one number, the bytes of the window still open.  It can only
+    matter within the first window's worth of rows, so a block sums up as a short table from that
+    number to the one at its other edge.  Walking the tables of one transcript is the only serial
+    part; then every block knows where its windows start.
+    """
+    placed = running_sum(sizes, ["video_id"], ["cue_no"], "n_bytes", "upto")
+    placed = cut(placed.withColumn("block", F.floor((F.col("upto") - F.col("n_bytes")) / block_bytes).cast("bigint"))
+                 .select("video_id", "block", "cue_no", "n_bytes"))
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        upto = np.cumsum(pdf.sort_values("cue_no")["n_bytes"].to_numpy())
+        nxt, n = _next_start(upto, window_bytes), len(upto)
+        # exits[i]: bytes open at the end when a window starts at i; found by doubling the jumps.
+        jump = np.append(np.where(nxt > n, np.arange(n), nxt), n)
+        while True:
+            further = jump[jump]
+            if (further == jump).all():
+                break
+            jump = further
+        open_bytes = np.where(jump < n, upto[-1] - np.concatenate(([0], upto))[np.minimum(jump, n)], 0)
+        reach = min(int(np.searchsorted(upto, window_bytes)) + 1, n)
+        return pd.DataFrame({"video_id": pdf["video_id"].iloc[:1], "block": pdf["block"].iloc[:1], "total": int(upto[-1]),
+                             "head": [upto[:reach].tolist()], "exits": [open_bytes[:reach + 1].tolist()]})
+
+    tables = placed.groupBy("video_id", "block").applyInPandas(
+        table, "video_id BIGINT, block BIGINT, total BIGINT, head ARRAY<BIGINT>, exits ARRAY<BIGINT>")
+
+    def walk(used, rows):
+        out = []
+        for block, total, head, exits in zip(rows["block"], rows["total"], rows["head"], rows["exits"]):
+            out.append((block, used))
+            if used == 0:
+                used = int(exits[0])
+            elif used + total < window_bytes:
+                used += int(total)
+            else:
+                used = int(exits[int(np.searchsorted(head, window_bytes - used)) + 1])
+        return used, out
+
+    entered = sorted_fold(tables, ["video_id"], ["block"], lambda: 0, walk, "video_id BIGINT, block BIGINT, used BIGINT")
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cue_no")
+        upto, used = np.cumsum(pdf["n_bytes"].to_numpy()), int(pdf["used"].iloc[0])
+        nxt, n = _next_start(upto, window_bytes), len(upto)
+        at = int(np.searchsorted(upto, window_bytes - used)) + 1 if used else 0
+        found = []
+        while at < n:
+            found.append(at)
+            at = int(nxt[at])
+        return pdf.iloc[found][["video_id", "cue_no"]].rename(columns={"cue_no": "first_cue"})
+
+    begun = placed.join(entered, ["video_id", "block"]).groupBy("video_id", "block").applyInPandas(
+        starts, "video_id BIGINT, first_cue BIGINT")
+    begun = ordinal(cut(begun), ["video_id"], ["first_cue"], "n")
+    ends = sizes.groupBy("video_id").agg(F.max("cue_no").alias("end_cue"))
+    ranged = neighbours(begun, ["video_id"], ["first_cue"], F.col("first_cue"), nxt="after").join(ends, "video_id")
+    return ranged.select("video_id", (F.col("n") - 1).alias("window_no"), "first_cue",
+                         F.coalesce(F.col("after") - 1, F.col("end_cue")).alias("last_cue"))
+
+
 def term_windows(cues: DataFrame, sources: DataFrame, window_bytes: int = WINDOW_BYTES) -> DataFrame:
     """Windows with their numbered text and content id; windows of equal id are staged once.
 

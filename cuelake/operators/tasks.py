@@ -74,6 +74,7 @@ def fold_pyramid(leaves: DataFrame, value: str, combine: Callable[[Column, Colum
     groups 64 neighbours into one row and folds six tiers inside it, so a billion leaves take five
     shuffles; the stages' results are cut into the shared checkpoint folder.
     """
+    leaves = cut(leaves)
     top = leaves.agg(F.max("pos")).first()[0]  # one number
     null = F.lit(None).cast(leaves.schema[value].dataType)
     level = leaves.select(F.col("pos").alias("j"), value)
@@ -92,18 +93,23 @@ def fold_pyramid(leaves: DataFrame, value: str, combine: Callable[[Column, Colum
             rows = rows.withColumn(f"p{k}", paired)
             rows = rows.withColumn(f"v{k + 1}", F.transform(f"p{k}", lambda p: F.when(
                 p["paired"], combine(p["left_value"], p["right_value"])).otherwise(p["left_value"])))
-        rows = cut(rows)
-        for k in range(FOLD_BITS):
-            made = rows.select("block", F.posexplode(F.arrays_zip(f"p{k}", f"v{k + 1}")).alias("i", "z")).where(f"z.p{k}.paired")
-            out = out.unionByName(made.select(
-                F.lit(base + k + 1).alias("tier"), (F.shiftleft("block", FOLD_BITS - 1 - k) + F.col("i")).alias("j"),
-                F.col(f"z.v{k + 1}").alias(value), F.col(f"z.p{k}.left_value").alias("left_value"),
-                F.col(f"z.p{k}.right_value").alias("right_value")))
+        made = F.flatten(F.array(*[_paired_items(k, base) for k in range(FOLD_BITS)]))
+        rows = cut(rows.select("block", F.filter(made, lambda x: x["paired"]).alias("made"), f"v{FOLD_BITS}"))
+        out = out.unionByName(rows.select(F.explode("made").alias("m")).select(
+            "m.tier", "m.j", F.col("m.value").alias(value), "m.left_value", "m.right_value"))
         level = rows.select(F.col("block").alias("j"), F.get(f"v{FOLD_BITS}", F.lit(0)).alias(value))
         base, width = base + FOLD_BITS, (width + (1 << FOLD_BITS) - 1) >> FOLD_BITS
     return out
 
 
+def _paired_items(k: int, base: int) -> Column:
+    """The nodes that tier ``k`` of a stage made, as structs."""
+    return F.transform(f"p{k}", lambda p, i: F.struct(
+        F.lit(base + k + 1).alias("tier"), (F.shiftleft("block", FOLD_BITS - 1 - k) + i).alias("j"),
+        F.get(F.col(f"v{k + 1}"), i).alias("value"), p["left_value"].alias("left_value"),
+        p["right_value"].alias("right_value"), p["paired"].alias("paired")))
+
+
 def range_totals(leaves: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
     """Sum of a leaf value under every node, from running sums: two look-ups per node, no tier loop."""
     upto = running_sum(leaves.select("pos", value), [], ["pos"], value, "__u").select("pos", "__u")

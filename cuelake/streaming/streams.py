@@ -34,6 +34,10 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is available now into Parquet under the shared folder; read it back."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if spark.sparkContext.master.startswith("local"):
+        # One state store per core is plenty on one machine; a cluster keeps its own setting.
+        few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        spark.conf.set("spark.sql.shuffle.partitions", few)
     root = f"{checkpoint_root(spark)}/stream-{uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     if mode == "append":

@@ -59,11 +59,11 @@ def test_interval_lookup_with_long_and_empty_intervals(spark):
     assert {r.id: r.no for r in static} == want
 
 
-@pytest.mark.parametrize("batch", [3, 10_000])
-def test_windows_and_drift_across_arrow_batches(spark, batch):
+@pytest.mark.parametrize("batch, block", [(3, 1 << 20), (10_000, 1 << 20), (10_000, 300), (10_000, 37)])
+def test_windows_across_batches_and_blocks(spark, batch, block):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        sizes = [(k, i, random.randint(1, 40)) for k in range(3) for i in range(120)]
+        sizes = [(k, i, random.choice([1, 5, 40, 99, 250]) if i else 100) for k in range(3) for i in range(120)]
         df = spark.createDataFrame(sizes, "video_id BIGINT, cue_no INT, n_bytes BIGINT")
         want = set()
         for k in range(3):
@@ -77,7 +77,7 @@ def test_windows_and_drift_across_arrow_batches(spark, batch):
                     first, used, no = None, 0, no + 1
             if first is not None:
                 want.add((k, no, first, 119))
-        assert {tuple(r) for r in chunking.window_ranges(df, 100).collect()} == want
+        assert {tuple(r) for r in chunking.window_ranges(df, 100, block).collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 

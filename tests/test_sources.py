@@ -148,3 +148,10 @@ def test_binary_files_and_pairing(spark, tmp_path):
     got = {r.srt: (r.video, r.status) for r in media.video_for_srt(listing).collect()}
     assert got == {"/v/a.mp4.srt": ("/v/a.mp4", "exact"), "/v/a.srt": (None, "ambiguous"), "/v/b.srt": (None, "ambiguous"),
                    "/v/c.srt": (None, "missing")} or got["/v/a.srt"] == ("/v/a.mp4", "sibling")
+
+
+def test_hash_is_a_parameter(spark):
+    import hashlib
+    df = spark.createDataFrame([("a",), (None,)], "t STRING")
+    got = [r.h for r in df.select(T.content_id("dive\n", F.col("t"), hash_fn=T.blake_head).alias("h")).collect()]
+    assert got == [hashlib.blake2b(b"dive\na", digest_size=32).hexdigest()[:16], None]
