@@ -78,7 +78,8 @@ def sanitize_markup(text: Column) -> Column:
             .when(_is_font(token), F.concat(F.lit("<font"), F.array_join(attrs, ""), F.lit(">")))
             .otherwise(_escape(token))
         )
-    return F.array_join(F.transform(markup_tokens(text), piece), "")
+    pieces = F.array_join(F.transform(markup_tokens(text), piece), "")
+    return F.when(text.rlike("[<{]"), pieces).otherwise(_escape(text))
 
 
 def markup_verdicts(text: Column) -> Column:
@@ -94,7 +95,9 @@ def render_line(text: Column) -> Column:
     """Caption text as the one line that all matching reads: markup consumed, breaks as spaces."""
     plain = F.array_join(F.filter(
         markup_tokens(text), lambda t: ~(_is_ass(t) | _is_simple(t) | _is_font(t))), "")
-    return F.btrim(F.regexp_replace(plain, r"[ \t\n\f\r]+", " "))
+    rendered = F.btrim(F.regexp_replace(plain, r"[ \t\n\f\r]+", " "))
+    # Most captions are plain; only the others pay for the tokenizer.
+    return F.when(text.rlike(r"[<{\t\n\f\r]|  "), rendered).otherwise(F.btrim(text))
 
 
 def to_ms(seconds: Column) -> Column:

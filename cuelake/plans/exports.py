@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cuelake.operators import catalog, export, match
+from cuelake.operators import export, match
 from cuelake.plans import bindings as b
-from cuelake.plans.matching import plan
+from cuelake.plans.matching import expanded, plan
 from cuelake.plans.registry import query
 from cuelake.sources import sinks
 
@@ -89,7 +89,7 @@ SELECT digest, seq, video_id, cue_no, text FROM owned
 UNION ALL SELECT digest, seq, video_id, min(cue_no), chr(10) || '## ' || file_name || chr(10) FROM owned GROUP BY digest, seq, video_id, file_name
 UNION ALL SELECT digest, -1, -1, -1, text FROM titles""")
 def digest_export(spark, sf):
-    parts = catalog.expand_topics(b.topics(spark)).select("name", "pattern")
+    parts = expanded(spark).select("name", "pattern")
     rows = export.digest_lines(b.lines(spark, sf), b.videos(spark, sf), plan(spark), b.video_topics(spark, sf),
                                _picks(spark, sf), parts)
     return rows.select("digest", "seq", "video_id", "cue_no", "text")

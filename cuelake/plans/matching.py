@@ -20,6 +20,12 @@ def plan(spark: SparkSession) -> DataFrame:
     return cut(catalog.export_plan(b.topics(spark)))
 
 
+@cache
+def expanded(spark: SparkSession) -> DataFrame:
+    """The literal catalogue with its references filled in, once per session."""
+    return cut(catalog.expand_topics(b.topics(spark)))
+
+
 def hits(spark: SparkSession, sf: str) -> DataFrame:
     return match.scan_hits(b.lines(spark, sf), plan(spark))
 
