@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import numbered_line, sha_head
@@ -246,8 +246,3 @@ def pair_overlap(scans: DataFrame, keys: DataFrame, fan: int = PAIR_FAN) -> Data
     counts = pairs.groupBy("later", "earlier").agg(F.count("*").alias("overlap"))
     rank = Window.partitionBy("later").orderBy(F.desc("overlap"), F.desc("earlier"))
     return counts.withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= fan)
-
-
-def repeated_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """One row per key: the first in order."""
-    return rows.groupBy(key.alias("key")).agg(F.min(order).alias("first_seq"), F.count("*").alias("n"))

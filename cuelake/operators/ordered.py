@@ -142,6 +142,18 @@ def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start:
 _TIER_BITS = [16, 22, 28, 34, 40, 46, 52]
 
 
+def _tier_of(length: Column) -> Column:
+    """The narrowest tier in which an interval touches at most 65 buckets."""
+    tier = F.lit(len(_TIER_BITS) - 1)
+    for i in reversed(range(len(_TIER_BITS) - 1)):
+        tier = F.when(length <= F.lit(64 << _TIER_BITS[i]), F.lit(i)).otherwise(tier)
+    return tier
+
+
+def _widths() -> Column:
+    return F.array(*[F.lit(1 << b).cast("bigint") for b in _TIER_BITS])
+
+
 def interval_lookup(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str,
                     lo: str, hi: str, how: str = "left") -> DataFrame:
     """Join each point with the interval [lo, hi) of its key that holds it.
@@ -152,10 +164,7 @@ def interval_lookup(points: DataFrame, intervals: DataFrame, keys: Sequence[str]
     rows.  Nothing is compared all against all, and AQE may split a hot (key, bucket).
     """
     length = F.col(hi) - F.col(lo)
-    tier = F.lit(len(_TIER_BITS) - 1)
-    for i in reversed(range(len(_TIER_BITS) - 1)):
-        tier = F.when(length <= F.lit(64 << _TIER_BITS[i]), F.lit(i)).otherwise(tier)
-    widths = F.array(*[F.lit(1 << b).cast("bigint") for b in _TIER_BITS])
+    tier, widths = _tier_of(length), _widths()
 
     def bucket(col: Column, tier_col: Column) -> Column:
         return F.floor(col / F.get(widths, tier_col)).cast("bigint")
@@ -195,10 +204,7 @@ def file_intervals(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     static side uses (one for ordinary cues, at most seven) and the caller keeps the tier that hit.
     """
     length = F.col(hi) - F.col(lo)
-    tier = F.lit(len(_TIER_BITS) - 1)
-    for i in reversed(range(len(_TIER_BITS) - 1)):
-        tier = F.when(length <= F.lit(64 << _TIER_BITS[i]), F.lit(i)).otherwise(tier)
-    widths = F.array(*[F.lit(1 << b).cast("bigint") for b in _TIER_BITS])
+    tier, widths = _tier_of(length), _widths()
     tiered = intervals.where(length > 0).withColumn("__tier", tier)
     in_use = sorted(r[0] for r in tiered.select("__tier").distinct().collect()) or [0]  # at most seven numbers
     width = F.get(widths, F.col("__tier"))

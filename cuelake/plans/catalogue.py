@@ -196,7 +196,7 @@ def adopt(spark, sf):
 
 _NOVEL = """
 , novel AS (SELECT key, min(seq * 10 + branch_no) AS at FROM branches
-            WHERE key NOT IN ('that', 'than', 'nicht', 'auf', 'aa', 'bb', 'qqqzz', chr(10) || 'wh') GROUP BY key),
+            WHERE key NOT IN ('that', 'than', 'nicht', 'auf', 'aa', 'bb', 'qqqzz', chr(10) || 'wh', chr(10) || 'pour') GROUP BY key),
 kept AS (SELECT b.* FROM branches b JOIN novel n ON n.key = b.key AND n.at = b.seq * 10 + b.branch_no),
 rebuilt AS (SELECT seq, CASE WHEN folds THEN '(?i:' || string_agg(text, '|' ORDER BY branch_no) || ')'
             ELSE string_agg(text, '|' ORDER BY branch_no) END AS rebuilt FROM kept GROUP BY seq, folds)
@@ -245,7 +245,7 @@ def branches_union(spark, sf):
 
 
 @query("branches_except", """
-SELECT DISTINCT key FROM branches WHERE key NOT IN ('that', 'than', 'nicht', 'auf', 'aa', 'bb', 'qqqzz', chr(10) || 'wh')""")
+SELECT DISTINCT key FROM branches WHERE key NOT IN ('that', 'than', 'nicht', 'auf', 'aa', 'bb', 'qqqzz', chr(10) || 'wh', chr(10) || 'pour')""")
 def branches_except(spark, sf):
     mine = catalog.corpus_keys(b.doc_patterns(spark, sf).select(F.col("seq").alias("name"), "pattern"))
     return mine.join(catalog.corpus_keys(_catalogue(spark)), "key", "left_anti")

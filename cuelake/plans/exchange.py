@@ -62,7 +62,7 @@ def validate_terms(spark, sf):
 
 @query("consolidate_terms", _REPLIES + """
 , held AS (SELECT *, lower('T' || word[1:2]) AS folded FROM told WHERE k IN (1, 4) AND word <> ''),
-fresh AS (SELECT word, min(seq * 100000 + window_no) AS pos FROM held WHERE word <> 'wh' GROUP BY word),
+fresh AS (SELECT word, min(seq * 100000 + window_no) AS pos FROM held WHERE word NOT IN ('wh', 'pour') GROUP BY word),
 bring AS (SELECT f.word, f.pos, lower('T' || f.word[1:2]) AS folded FROM fresh f),
 born AS (SELECT folded, min(pos) AS pos, '(?i:' || string_agg(word, '|' ORDER BY pos) || ')' AS pattern FROM bring GROUP BY folded),
 info AS (SELECT h.folded, arg_min('T' || word[1:2], seq * 100000 + window_no) AS term,

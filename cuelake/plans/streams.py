@@ -101,11 +101,6 @@ def task_state_stream(spark, sf):
     return out.select("plan", "id", "l.state").where("state is not null")
 
 
-_PLAYER = """
-, raw AS (SELECT event_id, user_id AS session, ts, event_type, value FROM events)
-"""
-
-
 def player_lines(e, videos_n: int):
     kind, n = F.col("event_type"), F.col("event_id")
     path = F.concat(F.lit("/list/"), (n % videos_n).cast("string"))
