@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import exact, mixing, quality
+from cuelake.llm import exact, mixing, quality, tokens
 from cuelake.llm.common import documents
 from cuelake.session import ship
 
@@ -94,3 +95,18 @@ SELECT doc_id, size, source_size, target,
        CAST((whole + CASE WHEN chance > 0 AND before + size / 2 <= lack THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM s""")
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("copies")
+
+
+@query("op1_token_files")
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_file_report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_bpe_encode_decode")
+def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
