@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import exact, mixing, quality, tokens
+from cuelake.llm import exact, mixing, quality, substrings, tokens
 from cuelake.llm.common import documents
 from cuelake.session import ship
 
@@ -110,3 +110,8 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(documents(spark, sf_dir)).drop("kept_text")
