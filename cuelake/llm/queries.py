@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import exact, mixing, quality, substrings, tokens
+from cuelake.llm import exact, mixing, neardup, quality, substrings, tokens
 from cuelake.llm.common import documents
 from cuelake.session import ship
 
@@ -115,3 +115,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_substring_dedup")
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(documents(spark, sf_dir)).drop("kept_text")
+
+
+@query("op4_near_dedup")
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_dedup(documents(spark, sf_dir))
