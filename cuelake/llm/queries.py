@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import exact, mixing, neardup, quality, substrings, tokens
+from cuelake.llm import exact, language, mixing, neardup, quality, substrings, tokens, toxicity
 from cuelake.llm.common import documents
 from cuelake.session import ship
 
@@ -120,3 +120,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_near_dedup")
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_dedup(documents(spark, sf_dir))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(documents(spark, sf_dir))
