@@ -10,23 +10,28 @@ in step (`merge_ranks`).
 from __future__ import annotations
 
 import json
-from array import array
-from collections.abc import Callable, Iterable
+import os
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer, models
 
 from cuelake.llm.common import worker_cache
 
-MEMO = 200_000  # pieces that a worker remembers; the memo starts anew beyond that
+MEMO = 120_000  # pieces that a worker remembers; the memo starts anew beyond that
 LEAF = 64  # bytes of an unsplit run that are encoded in one go
 WINDOW = 4  # tokens on each side of a join that are encoded again at first
 
 # Characters on whose class (letter, number, white space, none) and lower case every Unicode version agrees, and
 # which normalisation leaves alone.  A text with any other character is split by the library itself.
-_UNSURE = regex.compile("[^\t\n\r\x20-\x7e\xa1-įı-ſ‐-‧€]")
-_RUNS = regex.compile(r"\s*\S+|\s+")
+_PLAIN = "\t\n\r\x20-\x7e\xa1-įı-ſ‐-‧€"
+_UNSURE = regex.compile(f"[^{_PLAIN}]")
+UNSURE = f"[^{_PLAIN}]"
+# Where a blank stands beside other white space, the pre-tokens of white space reach over it.
+UNSURE_SPACED = f"[^{_PLAIN}]|[\t\n\r ] | [\t\n\r]"
 
 
 def plain(text: str) -> bool:
@@ -37,6 +42,7 @@ def tokenizer_at(path: str) -> Tokenizer:
     """The library's tokenizer, loaded once per worker, without truncation and padding."""
     cache = worker_cache()
     if ("tokenizer", path) not in cache:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
@@ -45,19 +51,33 @@ def tokenizer_at(path: str) -> Tokenizer:
 
 
 class Memo:
-    """Results by piece; ``fill`` computes those of new pieces in one call."""
+    """Results by piece; ``fill`` computes those of new pieces in one call.
 
-    def __init__(self, fill: Callable[[list], list], most: int = MEMO):
-        self.fill, self.most, self.held = fill, most, {}
+    Two generations are kept: when the younger one is full it becomes the elder, and an elder piece that is met again
+    moves back.  Frequent pieces stay, pieces that came once leave, and memory has a bound.
+    """
 
-    def get(self, texts: list[list]) -> dict:
-        """A dictionary that holds every piece of the texts."""
-        new = list({piece for pieces in texts for piece in pieces if piece not in self.held})
-        if len(self.held) + len(new) > self.most:
-            self.held = {}
-            new = list({piece for pieces in texts for piece in pieces})
-        self.held.update(zip(new, self.fill(new)))
-        return self.held
+    def __init__(self, fill: Callable[[list], list], most: int = MEMO):
+        self.fill, self.most, self.young, self.old = fill, most, {}, {}
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
+    def get(self, pieces: list) -> list:
+        """The result of each of the (distinct) pieces."""
+        young, old = self.young, self.old
+        found = [young.get(p) for p in pieces]
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            for i in missing:
+                found[i] = old.get(pieces[i])
+            new = [i for i in missing if found[i] is None]
+            for i, x in zip(new, self.fill([pieces[i] for i in new])):
+                found[i] = x
+            if len(young) + len(missing) > self.most:
+                self.old, self.young = young, {}
+            self.young.update((pieces[i], found[i]) for i in missing)
+        return found
 
 
 def memo_for(name: str, path: str, fill: Callable[[], Callable[[list], list]]) -> Memo:
@@ -67,17 +87,123 @@ def memo_for(name: str, path: str, fill: Callable[[], Callable[[list], list]]) -
     return cache[name, path]
 
 
+def forget() -> None:
+    """Give the memory of all memos back; for tasks that only read."""
+    for held in worker_cache().values():
+        if isinstance(held, Memo):
+            held.clear()
+
+
+class Pieces:
+    """The pieces of some texts as numbers into a list of distinct pieces, and where each text begins.
+
+    Plain texts are cut and numbered by Arrow; ``cut`` gives the pieces of any other text.
+    """
+
+    def __init__(self, texts: pa.Array, unsure: str, split: Callable[[pa.Array], pa.ListArray], cut: Callable[[str], list], lead: Callable[[str], object] | None = None):
+        odd = pc.match_substring_regex(texts, unsure).to_numpy(zero_copy_only=False)
+        lists = split(pc.if_else(pa.array(odd), "", texts))
+        coded = lists.flatten().dictionary_encode()
+        self.distinct: list = coded.dictionary.to_pylist()
+        numbers, counts = coded.indices.to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        more: dict = {}
+
+        def number(piece: object) -> int:
+            return more.setdefault(piece, len(self.distinct) + len(more))
+
+        if lead is not None and len(numbers):  # the first piece of a text is of another kind
+            numbers = numbers.copy()
+            for i in (np.cumsum(counts) - counts)[counts > 0].tolist():
+                numbers[i] = number(lead(self.distinct[numbers[i]]))
+        if odd.any():
+            parts = np.split(numbers, np.cumsum(counts)[:-1])
+            for i in np.flatnonzero(odd).tolist():
+                parts[i] = np.array([number(p) for p in cut(texts[i].as_py())], dtype=np.int32)
+                counts[i] = len(parts[i])
+            numbers = np.concatenate(parts)
+        self.distinct += more
+        self.numbers, self.counts = numbers, counts
+        self.ends = np.cumsum(counts)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum of a number per distinct piece over each text."""
+        upto = np.concatenate([[0], np.cumsum(values[self.numbers])])
+        return upto[self.ends] - upto[self.ends - self.counts]
+
+    def joined(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and how many each text has."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        values = np.frombuffer(b"".join(ids), dtype="<u4")
+        lengths = sizes[self.numbers]
+        before = np.cumsum(lengths) - lengths
+        at = np.repeat(starts[self.numbers] - before, lengths) + np.arange(int(lengths.sum()))
+        return values[at], self.sums(sizes)
+
+
 # Byte-level text with white space kept (byte_bpe)
 
 
-def spaced_pieces(text: str) -> list[str]:
-    """White space with the run of other characters after it: no byte-level pre-token reaches over such an edge."""
-    return _RUNS.findall(text)
+class Lead(str):
+    """A piece without a blank before it."""
+
+    __slots__ = ()
 
+    def __hash__(self) -> int:
+        return hash(("lead", str(self)))
 
-def library_ids(tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Lead) and str.__eq__(self, other)
+
+
+def spaced_pieces(texts: pa.Array) -> Pieces:
+    """Pieces at each blank, which goes to the piece after it (and is left out of its key).
+
+    No byte-level pre-token reaches over such an edge if the blank stands alone.  Texts with any other
+    white space beside a blank, or with unsure characters, are one piece.
+    """
+    return Pieces(texts, UNSURE_SPACED, lambda t: pc.split_pattern(t, " "), lambda t: [Lead(t)], Lead)
+
+
+RUN = 100  # pieces that the library encodes in one call
+
+
+class LibraryEncoder:
+    """The tokenizers library over many short pieces: a hundred are encoded as one text.
+
+    A piece begins with its blank and ends in another character, so no pre-token reaches from one into the next; the
+    ids are dealt back to the pieces by the bytes that each token stands for.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        vocab = tokenizer.get_vocab()
+        self.length = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for token, i in vocab.items():
+            self.length[i] = len(token)  # one character per byte
+
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.fromiter((i for e in encoded for i in e.ids), dtype="<u4")
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        out: list = [None] * len(pieces)
+        at = [i for i, p in enumerate(pieces) if p and not isinstance(p, Lead) and not p[-1].isspace()]
+        texts = [" " + pieces[i] for i in at]
+        ids = self._ids(["".join(texts[i:i + RUN]) for i in range(0, len(texts), RUN)])
+        ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(t.encode()) for t in texts])) + 1
+        raw, begin = ids.tobytes(), 0
+        for i, end in zip(at, (4 * ends).tolist()):
+            out[i], begin = raw[begin:end], end
+        for i, piece in enumerate(pieces):
+            if out[i] is None:
+                out[i] = self._ids([piece if isinstance(piece, Lead) else " " + piece]).tobytes()
+        return out
+
+
+def word_pieces(texts: pa.Array, words: WordBpe) -> Pieces:
+    """Stretches between white space of plain texts; pre-tokens (bytes) and special ids of any other text."""
+    return Pieces(texts, UNSURE, pc.ascii_split_whitespace, words.parts)
 
 
 # Word-end BPE (word_bpe)
@@ -106,10 +232,6 @@ class WordBpe:
         self.pre_tokens = regex.compile(split)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
-    def pieces(self, text: str) -> list:
-        """Stretches between white space of a plain text; pre-tokens (bytes) and special ids of any other."""
-        return text.split() if plain(text) else self.parts(text)
-
     def parts(self, text: str) -> list:
         """Pre-tokens as bytes and special strings as their ids, in order."""
         if plain(text):
@@ -299,11 +421,3 @@ class RankMerger:
             ranks[touched] = _NEVER
             ranks[inner] = self._ranks(symbols[inner], symbols[inner + 1])
         return out
-
-
-def joined(pieces: Iterable, held: dict) -> bytes:
-    return b"".join(map(held.__getitem__, pieces))
-
-
-def as_ints(raw: bytes) -> array:
-    return array("I", raw)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +33,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         words = bpe.word_bpe(path)
         memo = bpe.memo_for("rank counts", path, lambda: words.filler(bpe.RankMerger(words), len))
         for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            pieces = [words.pieces(t) for t in texts]
-            held = memo.get(pieces)
-            counts = [sum(map(held.__getitem__, p)) for p in pieces]
+            pieces = bpe.word_pieces(batch.column("text"), words)
+            counts = pieces.sums(np.array(memo.get(pieces.distinct), dtype=np.int64))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()),
-                pa.array([n > limit for n in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                batch.column("doc_id"), pc.binary_length(batch.column("text")).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return _texts(docs).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
@@ -50,11 +48,9 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     library gives them, special strings included.  An empty table gives no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, ids, decoded in _coded(batches, path):
-            sizes = np.array([0, *[len(x) // 4 for x in ids]], dtype=np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
+        for doc_id, ids, sizes, decoded in _coded(batches, path):
             yield pa.RecordBatch.from_arrays([
-                doc_id, pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), values),
+                doc_id, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids.astype(np.int32))),
                 pa.array([x[:-1].decode() for x in decoded], pa.string())], names=["doc_id", "ids", "decoded"])
 
     return _texts(docs).mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
@@ -63,18 +59,18 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """What `encode_decode` gives, as ``doc_id, n_tokens, ids_sha256, decoded_sha256``; rows are treated alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, ids, decoded in _coded(batches, path):
+        for doc_id, ids, sizes, decoded in _coded(batches, path):
+            ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays([
-                doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                doc_id, pa.array(sizes), pa.array([hashlib.sha256(ids[b - n:b]).hexdigest() for b, n in zip(ends, sizes)], pa.string()),
                 pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in decoded], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[bytes], list[bytes]]]:
-    """Ids of each text as bytes, and its decoded text with one blank too many at the end."""
+def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[bytes]]]:
+    """Ids of all texts in one array, how many each has, and its decoded text with one blank too many at the end."""
     words = bpe.word_bpe(path)
 
     def result(ids: np.ndarray) -> tuple[bytes, bytes]:
@@ -83,10 +79,12 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Ar
 
     memo = bpe.memo_for("tree ids", path, lambda: words.filler(bpe.TreeEncoder(words), result))
     for batch in slices(batches):
-        pieces = [words.pieces(t) for t in batch.column("text").to_pylist()]
-        held = memo.get(pieces)
-        found = [[held[p] for p in text] for text in pieces]
-        yield batch.column("doc_id"), [b"".join([x[0] for x in text]) for text in found], [b"".join([x[1] for x in text]) for text in found]
+        pieces = bpe.word_pieces(batch.column("text"), words)
+        found = memo.get(pieces.distinct)
+        ids, sizes = pieces.joined([x[0] for x in found])
+        shown = [x[1] for x in found]
+        decoded = [b"".join([shown[i] for i in run.tolist()]) for run in np.split(pieces.numbers, pieces.ends[:-1])]
+        yield batch.column("doc_id"), ids, sizes, decoded
 
 
 # Token files
@@ -118,20 +116,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         shard, offset = TaskContext.get().partitionId(), 0
-        library = bpe.tokenizer_at(tokenizer)
-        memo = bpe.memo_for("library ids", tokenizer, lambda: lambda pieces: bpe.library_ids(library, pieces))
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            sure = [bpe.plain(t) for t in texts]
-            pieces = [bpe.spaced_pieces(t) if s else [] for t, s in zip(texts, sure)]
-            held = memo.get(pieces)
-            ids = [(bpe.joined(p, held) if s else bpe.library_ids(library, [t])[0]) + end for t, p, s in zip(texts, pieces, sure)]
-            sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        memo = bpe.memo_for("library ids", tokenizer, lambda: bpe.LibraryEncoder(bpe.tokenizer_at(tokenizer)))
+        for batch in slices(batches, most_bytes=2 << 20):
+            pieces = bpe.spaced_pieces(batch.column("text"))
+            ids, sizes = pieces.joined(memo.get(pieces.distinct))
+            ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             ends = np.cumsum(sizes)
-            values = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
+            values = pa.array(ids.astype(np.int32))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(ids), shard, dtype=np.int32)), batch.column("doc_id"), pa.array(offset + ends - sizes),
+                pa.array(np.full(len(sizes), shard, dtype=np.int32)), batch.column("doc_id"), pa.array(offset + ends - sizes),
                 pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values)],
                 names=["shard", "doc_id", "offset", "n_tokens", "tokens"])
             offset += int(ends[-1])
@@ -167,6 +160,7 @@ def token_file_report(docs: DataFrame, tokenizer: str, path: str | None = None)
     write_token_files(docs, path, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         for batch in batches:
             tokens = batch.column("tokens")
             ends = tokens.offsets.to_numpy()
