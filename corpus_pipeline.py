@@ -1,12 +1,61 @@
-"""The corpus pipeline: documents pass through five operators, each stage written and read again."""
+"""The corpus pipeline: documents pass through five operators, each stage written as Parquet and read again."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from cuelake.llm import exact, language, mixing, neardup, tokens
+from cuelake.llm.common import documents, stored
+from cuelake.session import ship
+
+LEAST_SCORE = 0.3  # of a language; below it a text is taken for no language at all
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language stays open, go."""
+    ship()
+    return language.accepted(docs, language.train(docs), LEAST_SCORE)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts (A-Z lower-cased) the one with the largest id stays."""
+    ship()
+    return exact.one_of_each(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the one with the smallest id stays."""
+    ship()
+    return neardup.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    ship()
+    return mixing.mixed(docs)
+
+
+def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids``, a row per copy."""
+    ship()
+    return tokens.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=False)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("bpe_encode", bpe_encode),
+]
+
+# A trained model decides in the first stage, and the last one encodes by a vocabulary: SQL can express neither.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

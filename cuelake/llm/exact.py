@@ -145,6 +145,17 @@ def lookup(index: DataFrame, arrivals: DataFrame, n_buckets: int) -> DataFrame:
         "keep_id", F.nullif("keep_id", F.lit(_NO_ID)))
 
 
+def grouped(rows: DataFrame, arriving: Column | None = None) -> DataFrame:
+    """Groups of equal texts among stored rows ``doc_id, digest``: those that arrive are looked up in the index of the others."""
+    span = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    n_buckets = span[2] // PER_BUCKET + 1
+    if arriving is None:
+        arriving = F.col("doc_id") > F.lit(((span[0] or 0) + (span[1] or 0)) // 2)
+    arriving = F.coalesce(arriving, F.lit(False))
+    index = stored(build_index(rows.where(~arriving), n_buckets), "digest-index")
+    return lookup(index, rows.where(arriving), n_buckets)
+
+
 def exact_dedup(docs: DataFrame, arriving: Column | None = None) -> DataFrame:
     """Of documents equal after lower-casing A-Z, the one with the largest ``doc_id`` stays.
 
@@ -156,13 +167,14 @@ def exact_dedup(docs: DataFrame, arriving: Column | None = None) -> DataFrame:
     rows.  Rows that repeat id and text count in ``group_size`` and share their fate.  An empty table gives no rows.
     """
     rows = stored(digests(docs), "digests")
-    span = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    n_buckets = span[2] // PER_BUCKET + 1
-    if arriving is None:
-        arriving = F.col("doc_id") > F.lit(((span[0] or 0) + (span[1] or 0)) // 2)
-    arriving = F.coalesce(arriving, F.lit(False))
-    index = stored(build_index(rows.where(~arriving), n_buckets), "digest-index")
-    groups = lookup(index, rows.where(arriving), n_buckets)
-    return rows.join(groups, "digest").select(
+    return rows.join(grouped(rows, arriving), "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents that stay, all columns; rows that repeat id and text become one."""
+    groups = grouped(stored(digests(docs), "digests")).select(F.col("digest").alias("__kept_digest"), F.col("keep_id").alias("__keep_id"))
+    marked = docs.withColumn("__digest", F.unhex(F.sha2(F.encode(folded(F.col("text")), "utf-8"), 256)))
+    stay = (F.col("__digest") == F.col("__kept_digest")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__keep_id"))
+    return marked.join(groups, stay, "left_semi").dropDuplicates(["__digest", "doc_id"]).drop("__digest")

@@ -164,31 +164,53 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS, rates:
     return Model(languages, idf, weights, float(said["temperature"].iloc[0]) if len(said) else 1.0)
 
 
+def _judge(texts: list[str | None], model: tuple) -> tuple[list[str], list[float]]:
+    languages, idf, weights, t = model
+    names, scores = [], []
+    for text in texts:
+        at, x = weighted(text or "", idf)
+        if len(at) < 2 or not languages:
+            names.append(UNDETERMINED)
+            scores.append(0.0)
+            continue
+        p = softmax((x @ weights[at]) / t)
+        names.append(languages[int(p.argmax())])
+        scores.append(float(p.max()))
+    return names, scores
+
+
+def _shared(docs: DataFrame, model: Model):
+    """The model on every executor: ``DIMS`` numbers per language, whatever the corpus."""
+    return docs.sparkSession.sparkContext.broadcast((model.languages, model.idf, model.weights, model.t))
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.idf, model.weights, model.t))
+    shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, idf, weights, t = shared.value
         for batch in slices(batches):
-            names, scores = [], []
-            for text in batch.column("text").to_pylist():
-                at, x = weighted(text, idf)
-                if len(at) < 2 or not languages:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                p = softmax((x @ weights[at]) / t)
-                names.append(languages[int(p.argmax())])
-                scores.append(float(p.max()))
+            names, scores = _judge(batch.column("text").to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              names=["doc_id", "held_out", "lang_pred", "score"])
 
     doc_id = F.col("doc_id").cast("bigint")
-    rows = bare(docs, doc_id=doc_id, held_out=F.coalesce(hashed_part(doc_id) == HELD_OUT, F.lit(False)), text=F.coalesce(F.col("text"), F.lit("")))
+    rows = bare(docs, doc_id=doc_id, held_out=F.coalesce(hashed_part(doc_id) == HELD_OUT, F.lit(False)), text="text")
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The documents, all columns, whose language can be told with a score of ``least`` or more."""
+    shared = _shared(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            names, scores = _judge(batch.column("text").to_pylist(), shared.value)
+            yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame) -> DataFrame:
     """Fit on the documents with a language outside the held-out part and predict every document's language.
 

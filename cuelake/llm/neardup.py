@@ -242,3 +242,9 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
     named = standing.select("set_key", "place").join(labels, "place", "left").select("set_key", F.coalesce("component", "place").alias("component"))
     return found.join(named, "set_key", "left").withColumn("component", F.coalesce("component", "place")).select(
         "doc_id", "n_shingles", F.nullif("component", F.lit(_LAST)).alias("component_id"), (F.col("place") == F.col("component")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents that stay, all columns: of each group the one with the smallest id."""
+    gone = near_dedup(docs).where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(_LAST)).alias("__gone")).distinct()
+    return docs.join(gone, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)) == F.col("__gone"), "left_anti")

@@ -104,7 +104,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_bpe_encode_decode")
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), ids=False, decoded=False)
 
 
 @query("op9_token_counts")

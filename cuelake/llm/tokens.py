@@ -41,32 +41,30 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
-def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids, decoded``: the ids of each whole text by tree concatenation, and what they decode to.
+def encode_decode(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True) -> DataFrame:
+    """The ids of each whole text by tree concatenation, and what they decode to.
+
+    Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256``, with ``ids`` and ``decoded`` themselves where asked
+    for.  The digests are over the ids as little-endian unsigned 32-bit integers and over the decoded text in UTF-8.
 
     A null text counts as empty and has no ids; it decodes to the empty string.  The ids of a text are as the
-    library gives them, special strings included.  An empty table gives no rows.
+    library gives them, special strings included.  Repeated rows are treated alike; an empty table gives no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, ids, sizes, decoded in _coded(batches, path):
-            yield pa.RecordBatch.from_arrays([
-                doc_id, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids.astype(np.int32))),
-                pa.array([x[:-1].decode() for x in decoded], pa.string())], names=["doc_id", "ids", "decoded"])
-
-    return _texts(docs).mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
-
-
-def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """What `encode_decode` gives, as ``doc_id, n_tokens, ids_sha256, decoded_sha256``; rows are treated alike."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, ids, sizes, decoded in _coded(batches, path):
+        for doc_id, all_ids, sizes, shown in _coded(batches, path):
             ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([
-                doc_id, pa.array(sizes), pa.array([hashlib.sha256(ids[b - n:b]).hexdigest() for b, n in zip(ends, sizes)], pa.string()),
-                pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in decoded], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            columns = {
+                "doc_id": doc_id, "n_tokens": pa.array(sizes),
+                "ids_sha256": pa.array([hashlib.sha256(all_ids[b - n:b]).hexdigest() for b, n in zip(ends, sizes)], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in shown], pa.string())}
+            if ids:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(all_ids.astype(np.int32)))
+            if decoded:
+                columns["decoded"] = pa.array([x[:-1].decode() for x in shown], pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return _texts(docs).mapInArrow(run, schema + ", ids array<int>" * ids + ", decoded string" * decoded)
 
 
 def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[bytes]]]:
