@@ -1,10 +1,10 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification on full sets, connected components.
 
 Documents with the same shingle set form a class and are represented by their smallest id.  Classes meet in the
-buckets of their bands.  Within a bucket not all pairs are formed: its first member is compared with the others,
-verified links are joined into components, and only buckets whose members are still in different components are
-looked at again, with twice as many further members each time, compared with members of other components only.  When
-no such bucket or no such member is left, no link between different texts of a bucket can change a component.
+buckets of their bands.  Within a bucket no pairs are formed: its first member is compared with the others, and
+verified links are joined into components.  Only buckets whose members are then in different components are looked at
+again.  Their members are dealt into blocks, and each two blocks meet in one place, where all full sets are compared
+at once and only a spanning forest of the links comes out.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm.common import bare, slices, stored
@@ -22,6 +22,9 @@ from cuelake.llm.common import bare, slices, stored
 SHINGLE, SIMILARITY = 5, 75  # words; per cent
 BANDS, ROWS = 32, 4  # a pair at 75 % misses all bands once in 200,000
 
+BLOCK = 256  # members of a bucket, on average, that are compared with those of another block in one place
+COLUMNS = 1 << 14  # shingles of a comparison that are laid out at once
+
 _BASE = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1  # the place of a document without id: after all others
 _LAZY = 4  # steps of the permutations that are replayed before they are written out
@@ -184,41 +187,85 @@ def components(edges: DataFrame) -> DataFrame:
         before = said
 
 
+def _forest(sets: list[np.ndarray], similarity: int) -> np.ndarray:
+    """For each of some sets, the first one that it can reach over links of ``similarity`` per cent or more."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.float64)
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    shared = count[number] > 1
+    columns = np.cumsum(count > 1) - 1
+    owner, number = owner[shared], columns[number[shared]]
+    common = np.zeros((n, n))
+    for begin in range(0, int(number.max(initial=-1)) + 1, COLUMNS):
+        inside = (number >= begin) & (number < begin + COLUMNS)
+        has = np.zeros((n, COLUMNS), dtype=np.float32)
+        has[owner[inside], number[inside] - begin] = 1
+        common += has @ has.T
+    linked = 100 * common >= similarity * (sizes[:, None] + sizes[None, :] - common)
+    np.fill_diagonal(linked, True)
+    label = np.arange(n)
+    while True:
+        least = np.where(linked, label[None, :], n).min(axis=1)
+        if (least == label).all():
+            return label
+        label = least
+
+
+def block_links(rows: DataFrame, similarity: int) -> DataFrame:
+    """Links ``a, b`` among the sets of each ``bucket, low, high`` of the rows ``..., place, shingles``.
+
+    Rows are dealt out by that key and sorted, and pass by as a stream; a task holds the sets of two blocks.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, places, sets = None, [], []
+
+        def found() -> pa.RecordBatch:
+            label = _forest(sets, similarity)
+            at = np.flatnonzero(label != np.arange(len(label)))
+            place = np.array(places, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(place[label[at]]), pa.array(place[at])], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("bucket", "low", "high")]))
+            lists, ids = batch.column("shingles"), batch.column("place").to_pylist()
+            for i, k in enumerate(keys):
+                if k != key:
+                    if len(places) > 1:
+                        yield found()
+                    key, places, sets = k, [], []
+                places.append(ids[i])
+                sets.append(lists[i].values.to_numpy())
+        if len(places) > 1:
+            yield found()
+
+    dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "place")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def links(docs: DataFrame, classes: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """``place, component`` of the classes ``place, n_shingles, set_key, buckets`` that are linked to others."""
-    spark = docs.sparkSession
     filed = classes.select("place", "n_shingles", "set_key", F.explode("buckets").alias("bucket"))
-    shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where("n > 1")
-    members = stored(filed.join(shared.drop("n"), "bucket"), "buckets")
+    # Bands often gather the same classes: of buckets with equal members one is enough.
+    mark = F.xxhash64(F.col("place"), F.lit(7))
+    shared = (filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.bit_xor(F.xxhash64("place")).alias("x"),
+                                          F.bit_xor(mark).alias("y"), F.sum(mark.cast("decimal(38,0)")).alias("z")).where("n > 1")
+              .groupBy("n", "first", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "first"))
+    members = stored(filed.join(shared, "bucket"), "buckets")
     sets = stored(full_sets(docs, members.select("place", "set_key").distinct(), shingle), "shingle-sets")
-    members = members.drop("set_key")
-    smaller, larger = F.least("n_shingles", "n_other"), F.greatest("n_shingles", "n_other")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        near = pairs.where(100 * smaller >= similarity * larger).select(F.least("place", "other").alias("a"), F.greatest("place", "other").alias("b"))
-        return verified(near.distinct(), sets, similarity)
-
-    first = members.where("place = first").select("bucket", F.col("n_shingles").alias("n_other")).distinct()
-    edges = stored(checked(members.where("place <> first").join(first, "bucket").withColumn("other", F.col("first"))), "links")
-    labels = components(edges)
-    ranked = None
-    level = 1
-    while True:
-        labelled = members.join(labels, "place", "left").withColumn("component", F.coalesce("component", "place"))
-        split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        if ranked is None:
-            order = Window.partitionBy("bucket").orderBy("place")
-            ranked = stored(members.join(split, "bucket", "left_semi").withColumn("rank", F.row_number().over(order)), "open-buckets")
-        rest = ranked.join(labels, "place", "left").withColumn("component", F.coalesce("component", "place")).join(split, "bucket", "left_semi")
-        rest = stored(rest, "open-buckets")
-        if rest.where(F.col("rank") > level).isEmpty():
-            return labels
-        others = rest.where((F.col("rank") > level) & (F.col("rank") <= 2 * level + 1)).select(
-            "bucket", F.col("place").alias("other"), F.col("n_shingles").alias("n_other"), F.col("component").alias("other_component"))
-        pairs = rest.join(others, "bucket").where("component <> other_component and place <> other")
-        edges = stored(edges.unionByName(checked(pairs)), "links")
-        labels = components(edges)
-        level = 2 * level + 1
+
+    first = members.where("place = first").select("bucket", F.col("n_shingles").alias("n_first"))
+    near = (100 * F.least("n_shingles", "n_first") >= similarity * F.greatest("n_shingles", "n_first"))
+    pairs = members.where("place <> first").join(first, "bucket").where(near).select(F.col("first").alias("a"), F.col("place").alias("b")).distinct()
+    edges = stored(verified(pairs, sets, similarity), "links")
+    labelled = members.join(components(edges), "place", "left").withColumn("component", F.coalesce("component", "place"))
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("n").alias("size")).where("lo < hi and size > 2")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("place"), blocks).cast("int")
+    open_ = members.join(split.select("bucket"), "bucket", "left_semi").select(
+        "bucket", "place", block.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    met = open_.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "place").join(sets, "place")
+    more = stored(block_links(met, similarity), "links")
+    return components(edges.unionByName(more))
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
