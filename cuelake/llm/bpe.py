@@ -17,12 +17,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from tokenizers import Tokenizer, models
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from cuelake.llm.common import worker_cache
 
-MEMO = 120_000  # pieces that a worker remembers; the memo starts anew beyond that
+MEMO = 200_000  # pieces that a worker remembers; the memo starts anew beyond that
 LEAF = 64  # bytes of an unsplit run that are encoded in one go
+RUN = 100  # pieces that the library encodes in one call
 WINDOW = 4  # tokens on each side of a join that are encoded again at first
 
 # Characters on whose class (letter, number, white space, none) and lower case every Unicode version agrees, and
@@ -165,9 +166,6 @@ def spaced_pieces(texts: pa.Array) -> Pieces:
     return Pieces(texts, UNSURE_SPACED, lambda t: pc.split_pattern(t, " "), lambda t: [Lead(t)], Lead)
 
 
-RUN = 100  # pieces that the library encodes in one call
-
-
 class LibraryEncoder:
     """The tokenizers library over many short pieces: a hundred are encoded as one text.
 
@@ -255,15 +253,21 @@ class WordBpe:
     def shown(self, run: bytes) -> str:
         return "".join(map(self.symbols.__getitem__, run))
 
-    def filler(self, encode: Callable[[list[bytes]], list[np.ndarray]], result: Callable[[np.ndarray], object]) -> Callable[[list], list]:
-        """Fill for a memo over pieces: new pre-tokens are encoded together, then put in order per piece."""
+    def filler(self, encode: Callable[[list[bytes]], list[np.ndarray]], result: Callable[[np.ndarray], object],
+               combine: Callable[[list], object]) -> Callable[[list], list]:
+        """Fill for a memo over pieces: new pre-tokens are encoded together, and pieces put together from them."""
+        def values(parts: list) -> list:
+            runs = [x for x in parts if isinstance(x, bytes)]
+            ids = iter(encode(runs))
+            return [result(next(ids) if isinstance(x, bytes) else np.array([x], "<u4")) for x in parts]
+
+        known = Memo(values)
+
         def fill(pieces: list) -> list:
             parts = [self.parts(p) if isinstance(p, str) else [p] for p in pieces]
-            runs = list({x for found in parts for x in found if isinstance(x, bytes)})
-            ids = dict(zip(runs, encode(runs)))
-            none = np.zeros(0, dtype="<u4")
-            return [result(np.concatenate([none, *[ids[x] if isinstance(x, bytes) else np.array([x], "<u4") for x in found]]).astype("<u4"))
-                    for found in parts]
+            distinct = list({x for found in parts for x in found})
+            value = dict(zip(distinct, known.get(distinct)))
+            return [value[found[0]] if len(found) == 1 else combine([value[x] for x in found]) for found in parts]
         return fill
 
 
@@ -288,6 +292,7 @@ class TreeEncoder:
         # Inside a run no symbol carries the word end; at its end the last one does.
         self.inner = Tokenizer(models.BPE(vocab=words.vocab, merges=words.merges))
         self.final = Tokenizer(models.BPE(vocab=words.vocab, merges=words.merges, end_of_word_suffix=words.end))
+        self.final.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # no symbol is white space: it parts runs given together
         lengths = {s: 1 for s in words.symbols} | {s + words.end: 1 for s in words.symbols}
         for a, b in words.merges:
             lengths[a + b] = lengths[a] + lengths[b]
@@ -298,12 +303,20 @@ class TreeEncoder:
     def _batch(self, jobs: list[tuple[bytes, bool]]) -> list[list[int]]:
         """Ids of pieces; the flag says whether a piece ends its run."""
         out: list = [None] * len(jobs)
-        for model, last in ((self.inner, False), (self.final, True)):
-            at = [i for i, job in enumerate(jobs) if job[1] == last]
-            if at:
-                encoded = model.encode_batch([self.words.shown(jobs[i][0]) for i in at], add_special_tokens=False)
-                for i, e in zip(at, encoded):
-                    out[i] = e.ids
+        inside, ends = [], []
+        for i, (_, last) in enumerate(jobs):
+            (ends if last else inside).append(i)
+        if inside:
+            for i, e in zip(inside, self.inner.encode_batch_fast([self.words.shown(jobs[i][0]) for i in inside], add_special_tokens=False)):
+                out[i] = e.ids
+        if ends:
+            shown = [self.words.shown(jobs[i][0]) for i in ends]
+            encoded = self.final.encode_batch_fast([" ".join(shown[i:i + RUN]) for i in range(0, len(shown), RUN)], add_special_tokens=False)
+            ids = [x for e in encoded for x in e.ids]
+            cuts = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(jobs[i][0]) for i in ends])) + 1
+            begin = 0
+            for i, end in zip(ends, cuts.tolist()):
+                out[i], begin = ids[begin:end], end
         return out
 
     def __call__(self, runs: list[bytes]) -> list[np.ndarray]:

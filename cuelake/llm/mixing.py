@@ -11,7 +11,7 @@ from cuelake.llm.common import bare, n_words, stored
 
 WEIGHTS = (5, 2, 1)  # of the sources in code-point order, repeating
 MOST_COPIES = 3
-BINS = 1 << 14  # of the sampling rank; only the bin that holds a source's limit is put in order
+BINS = 1 << 10  # of the sampling rank, and again of the bin that holds a source's limit; only what is left then is put in order
 FEW_SOURCES = 10_000  # targets of so many sources at most (under 1 MB) are broadcast; more are joined by shuffle
 
 
@@ -48,6 +48,15 @@ def _same(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
+def _limit(rows: DataFrame, part: str, before: Column) -> DataFrame:
+    """Per source the part in which the running sum of sizes reaches ``lack``, and the sum before that part."""
+    sums = rows.groupBy("source", part).agg(F.sum("size").alias("words"), F.first("lack").alias("lack"), F.first(before).alias("start"))
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy(part)) + F.col("start")
+    reached = sums.withColumn("upto", upto).where("upto >= lack").groupBy("source").agg(
+        F.min(F.struct(F.col(part).alias("part"), (F.col("upto") - F.col("words")).alias("before"))).alias("at"))
+    return reached.select(F.col("source").alias("__source"), F.col("at.part").alias(f"limit_{part}"), F.col("at.before").alias(f"before_{part}"))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = MOST_COPIES, bins: int = BINS) -> DataFrame:
     """How often the mix takes each document: ``doc_id, size, source_size, target, taken, copies``.
 
@@ -56,8 +65,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = MOST_COP
     divided by the odds of inclusion (Pareto order sampling), and the sample is the head of that order whose
     sizes come nearest to what the target still lacks.  The random number depends on ``doc_id`` alone.
 
-    The order is found without putting a source into one task: sizes are summed by bins of the rank, and only the
-    bin in which a source reaches its limit is sorted.
+    The order is found without putting a source into one task: sizes are summed by bins of the rank, then by
+    the parts of the bin in which a source reaches its limit, and only the part with the limit is sorted.
 
     A null text has size 0; null sources are one source.  Rows that repeat a ``doc_id`` are separate documents
     with the same rank, taken in turn.  An empty table gives no rows.
@@ -73,25 +82,27 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = MOST_COP
     odds = (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))
     ranked = (rows.join(small(goal), _same("source", "__source")).drop("__source")
               .withColumn("rank", F.when(F.col("chance") > 0, odds / (1 + odds)))
-              .withColumn("bin", F.least(F.floor(F.col("rank") * bins), F.lit(bins - 1)).cast("int")))
-    by_bin = ranked.where("chance > 0").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("lack").alias("lack"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-    limit = (by_bin.withColumn("before", upto - F.col("words")).where(F.col("before") + F.col("words") >= F.col("lack"))
-             .groupBy("source").agg(F.min(F.struct("bin", "before")).alias("at"))
-             .select(F.col("source").alias("__source"), F.col("at.bin").alias("limit_bin"), F.col("at.before").alias("limit_before")))
-    limited = ranked.join(small(limit), _same("source", "__source"), "left").drop("__source")
-    clear = limited.where("chance <= 0 or not bin <=> limit_bin").withColumn(
-        "more", F.when((F.col("chance") > 0) & (F.col("limit_bin").isNull() | (F.col("bin") < F.col("limit_bin"))), 1).otherwise(0))
+              .withColumn("spot", F.least(F.floor(F.col("rank") * bins * bins), F.lit(bins * bins - 1)).cast("int"))
+              .withColumn("bin", F.floor(F.col("spot") / bins).cast("int")).withColumn("fine", F.col("spot") % bins))
+    coarse = _limit(ranked.where("chance > 0"), "bin", F.lit(0))
+    ranked = ranked.join(small(coarse), _same("source", "__source"), "left").drop("__source")
+    fine = _limit(ranked.where("chance > 0 and bin = limit_bin"), "fine", F.col("before_bin"))
+    limited = ranked.join(small(fine), _same("source", "__source"), "left").drop("__source")
+    at_limit = "bin <=> limit_bin and fine <=> limit_fine"
+    before = F.col("limit_bin").isNull() | (F.col("bin") < F.col("limit_bin")) | (
+        (F.col("bin") == F.col("limit_bin")) & (F.col("fine") < F.coalesce("limit_fine", F.lit(bins))))
+    clear = limited.where(f"chance <= 0 or not ({at_limit})").withColumn("more", F.when((F.col("chance") > 0) & before, 1).otherwise(0))
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = limited.where("chance > 0 and bin = limit_bin").withColumn(
-        "more", F.when(F.col("limit_before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("lack"), 1).otherwise(0))
+    edge = limited.where(f"chance > 0 and {at_limit}").withColumn(
+        "more", F.when(F.col("before_fine") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("lack"), 1).otherwise(0))
     return clear.unionByName(edge).withColumn("copies", (F.col("whole") + F.col("more")).cast("bigint")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = MOST_COPIES) -> DataFrame:
-    """The mix itself: every column of the documents, a row per copy taken."""
-    chosen = bare(mix(docs, weights, cap), __doc="doc_id", __copies="copies").where("__copies > 0").distinct()
+    """The mix itself: every column of the documents, a row per copy taken (of rows with one id, the fewest of any of them)."""
+    chosen = bare(mix(docs, weights, cap), __doc="doc_id", __copies="copies").groupBy("__doc").agg(F.min("__copies").alias("__copies"))
+    chosen = chosen.where("__copies > 0")
     return (docs.join(chosen, _same("doc_id", "__doc"))
             .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

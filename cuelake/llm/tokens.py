@@ -31,7 +31,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bpe.word_bpe(path)
-        memo = bpe.memo_for("rank counts", path, lambda: words.filler(bpe.RankMerger(words), len))
+        memo = bpe.memo_for("rank counts", path, lambda: words.filler(bpe.RankMerger(words), len, sum))
         for batch in slices(batches):
             pieces = bpe.word_pieces(batch.column("text"), words)
             counts = pieces.sums(np.array(memo.get(pieces.distinct), dtype=np.int64))
@@ -75,7 +75,10 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Ar
         # Decoding puts a blank between tokens, so that the decoded text of a piece ends with one here.
         return ids.tobytes(), (words.tokenizer.decode(ids.tolist(), skip_special_tokens=False) + " ").encode() if len(ids) else b""
 
-    memo = bpe.memo_for("tree ids", path, lambda: words.filler(bpe.TreeEncoder(words), result))
+    def both(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+        return b"".join([x[0] for x in parts]), b"".join([x[1] for x in parts])
+
+    memo = bpe.memo_for("tree ids", path, lambda: words.filler(bpe.TreeEncoder(words), result, both))
     for batch in slices(batches):
         pieces = bpe.word_pieces(batch.column("text"), words)
         found = memo.get(pieces.distinct)
@@ -115,7 +118,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         from pyspark import TaskContext
         shard, offset = TaskContext.get().partitionId(), 0
         memo = bpe.memo_for("library ids", tokenizer, lambda: bpe.LibraryEncoder(bpe.tokenizer_at(tokenizer)))
-        for batch in slices(batches, most_bytes=2 << 20):
+        for batch in slices(batches, most_bytes=6 << 20):
             pieces = bpe.spaced_pieces(batch.column("text"))
             ids, sizes = pieces.joined(memo.get(pieces.distinct))
             ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
