@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +10,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import bare, hashed_part, slices, stored, worker_cache
+from cuelake.llm.common import bare, hashed_part, slices, stored
 from cuelake.llm.linear import Ftrl, Rates, bounded_sample, softmax
 
-DIMS = 1 << 15  # hashed n-grams
-LONGEST = 3  # letters of an n-gram, the word's edges counting as letters
+DIMS = 1 << 15  # hashed n-grams of one to three letters, a word's edges counting as letters
 TRAIN_ROWS = 6_000  # documents that a model is fitted and calibrated on, at most
 CALIBRATION = 5  # every so many-th of them sets the temperature instead
 EPOCHS = 3
@@ -23,40 +21,34 @@ RATES = Rates(alpha=0.5, beta=1.0, l1=0.05, l2=0.01)
 HELD_OUT = 2
 UNDETERMINED = "und"
 
-_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-_KNOWN_WORDS = 100_000
+_BETWEEN = regex.compile(r"[^\p{L}\p{M}]+")
 
 
-class _Grams:
-    """N-gram numbers of the stretches of text that a worker has met."""
-
-    def __init__(self) -> None:
-        self.held: dict[str, np.ndarray] = {}
-
-    def __call__(self, stretch: str) -> np.ndarray:
-        found = self.held.get(stretch)
-        if found is None:
-            if len(self.held) >= _KNOWN_WORDS:
-                self.held = {}
-            grams = [word[i:i + n] for word in (f" {w} " for w in _LETTERS.findall(stretch.lower()))
-                     for n in range(1, LONGEST + 1) for i in range(len(word) - n + 1)]
-            found = self.held[stretch] = np.array([zlib.crc32(g.encode()) % (DIMS - 1) + 1 for g in grams if g != " "], dtype=np.int32)
-        return found
+def _number(*letters: np.ndarray) -> np.ndarray:
+    """The number of an n-gram from its letters, from 1 on."""
+    x = np.full(len(letters[0]), len(letters), dtype=np.uint64)
+    for c in letters:
+        x = (x ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+    return np.maximum(x >> np.uint64(49), 1).astype(np.int64)  # 15 bits
 
 
 def frequencies(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a whole text and how often each occurs."""
-    grams = worker_cache().setdefault("language grams", _Grams())
-    counts: dict[str, int] = {}
-    for stretch in text.split():
-        counts[stretch] = counts.get(stretch, 0) + 1
-    if not counts:
+    """The n-grams of a whole text and how often each occurs.
+
+    Words are runs of letters, lower-cased, with a blank on each side; n-grams may begin or end with that blank but
+    do not reach over it.
+    """
+    words = _BETWEEN.sub(" ", text.lower()).strip(" ")
+    if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    found = [grams(s) for s in counts]
-    times = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), [len(f) for f in found])
-    total = np.bincount(np.concatenate(found), weights=times, minlength=1)
+    c = np.frombuffer(f" {words} ".encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    letter = c != 32
+    inner = letter[1:-1]
+    found = np.concatenate([_number(c[letter]), _number(c[:-1], c[1:]), _number(c[:-2][inner], c[1:-1][inner], c[2:][inner])])
+    total = np.bincount(found, minlength=1)
     at = np.flatnonzero(total)
-    return at, total[at]
+    return at, total[at].astype(np.float64)
 
 
 def document_frequencies(docs: DataFrame) -> np.ndarray:
