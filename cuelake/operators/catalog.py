@@ -24,7 +24,7 @@ def references(topics: DataFrame, scope: list[str] = []) -> DataFrame:
                         F.explode(F.regexp_extract_all("fragment", F.lit(_REF), F.lit(1))).alias("ref"))
 
 
-def closure(edges: DataFrame, keys: list[str], src: str, dst: str, max_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame, keys: list[str], src: str, dst: str) -> DataFrame:
     """All (src, dst) reachable pairs with the shortest depth; ends when a level adds nothing.
 
     Each level is cut into the shared checkpoint folder, so neither lineage nor plan grows.
@@ -33,7 +33,9 @@ def closure(edges: DataFrame, keys: list[str], src: str, dst: str, max_depth: in
     step = cut(step)
     reach = frontier = step.withColumn("depth", F.lit(1))
     hop = step.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("__far"))
-    for depth in range(2, max_depth + 1):
+    depth = 1
+    while True:
+        depth += 1
         frontier = cut(
             frontier.select(*keys, "src", "dst").join(hop, [*keys, "dst"])
             .select(*keys, "src", F.col("__far").alias("dst")).distinct()
@@ -42,12 +44,14 @@ def closure(edges: DataFrame, keys: list[str], src: str, dst: str, max_depth: in
         if frontier.isEmpty():
             break
         reach = reach.unionByName(frontier)
+        if depth % 16 == 0:
+            reach = cut(reach)
     return reach.select(*keys, F.col("src").alias(src), F.col("dst").alias(dst), "depth")
 
 
-def topic_closure(topics: DataFrame, scope: list[str] = [], max_depth: int = 64) -> DataFrame:
+def topic_closure(topics: DataFrame, scope: list[str] = []) -> DataFrame:
     """Transitive references with depth; ``cyclic`` marks topics that reach themselves."""
-    reach = closure(references(topics, scope), scope, "name", "ref", max_depth)
+    reach = closure(references(topics, scope), scope, "name", "ref")
     return reach.withColumn("cyclic", F.col("name") == F.col("ref"))
 
 
@@ -56,15 +60,15 @@ def _pieces(body: Column) -> Column:
     return F.split(F.regexp_replace(body, _REF, _MARK + "$1" + _MARK), _MARK)
 
 
-def expand_topics(topics: DataFrame, scope: list[str] = [], rounds: int = 5) -> DataFrame:
+def expand_topics(topics: DataFrame, scope: list[str] = []) -> DataFrame:
     """Every reference replaced by ``(?:expansion)``: (scope, seq, name, pattern).
 
-    A round puts the current bodies into each other, so n rounds resolve 2^n levels.  Topics that
-    reach a cycle or an unknown name keep no pattern (NULL).
+    A round puts the current bodies into each other, so n rounds resolve 2^n levels; rounds end when no
+    reference is left.  Topics that reach a cycle or an unknown name keep no pattern (NULL).
     """
     bodies = topics.select(*scope, "seq", "name", F.array_join("fragments", "").alias("pattern"))
     edges = references(topics, scope)
-    reach = closure(edges, scope, "name", "ref") if rounds else edges
+    reach = closure(edges, scope, "name", "ref")
     unknown = edges.join(topics.select(*scope, F.col("name").alias("ref")), [*scope, "ref"], "left_anti")
     bad_names = (reach.where("name = ref").select(*scope, "name")
                  .union(unknown.select(*scope, "name"))).distinct()
@@ -72,7 +76,7 @@ def expand_topics(topics: DataFrame, scope: list[str] = [], rounds: int = 5) ->
         reach.join(bad_names.withColumnRenamed("name", "ref"), [*scope, "ref"], "left_semi")
         .select(*scope, "name")).distinct()
     good = bodies.join(tainted, [*scope, "name"], "left_anti")
-    for _ in range(rounds):
+    while not good.where(F.col("pattern").rlike(_REF)).isEmpty():
         parts = good.select(*scope, "seq", "name", F.posexplode(_pieces(F.col("pattern"))).alias("pos", "piece"))
         target = good.select(*scope, F.col("name").alias("piece"), F.col("pattern").alias("__body"),
                              F.lit(1).alias("__odd"))
@@ -83,8 +87,6 @@ def expand_topics(topics: DataFrame, scope: list[str] = [], rounds: int = 5) ->
         good = cut(filled.groupBy(*scope, "seq", "name").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))),
                                      lambda p: p["text"]), "").alias("pattern")))
-        if good.where(F.col("pattern").rlike(_REF)).isEmpty():
-            break
     lost = bodies.join(tainted, [*scope, "name"], "left_semi").withColumn("pattern", F.lit(None).cast("string"))
     return good.unionByName(lost)
 
@@ -229,7 +231,9 @@ def adopt_novel(incoming: DataFrame, covered: DataFrame) -> DataFrame:
     ``incoming`` is (seq, pattern) in adoption order.  A branch that was adopted covers exactly its
     own key, so the sequential rule is a first-per-key aggregate, combined before the shuffle.
     A rebuilt pattern that fails the hygiene rules is withdrawn and its branches fall to the next
-    pattern that offers them, until nothing is withdrawn.
+    pattern that offers them, until nothing is withdrawn.  What a later pattern is left with depends on
+    the fate of earlier ones, so of patterns that share branches, directly or over others, only the
+    first failing one is withdrawn at a time: the outcome is that of adopting one after the other.
     """
     rows = pattern_branches(incoming.where(F.col("pattern") != ""), ["seq"])
     fresh = cut(rows.join(covered.select("key"), "key", "left_anti"))
@@ -239,7 +243,21 @@ def adopt_novel(incoming: DataFrame, covered: DataFrame) -> DataFrame:
         refused = cut(rebuilt.where(~hygienic(F.col("rebuilt"))).select("seq"))
         if refused.isEmpty():
             return incoming.join(rebuilt, "seq")
-        fresh = cut(fresh.join(refused, "seq", "left_anti"))
+        earliest = refused.join(_sharing(fresh), "seq").groupBy("group").agg(F.min("seq").alias("seq"))
+        fresh = cut(fresh.join(earliest, "seq", "left_anti"))
+
+
+def _sharing(rows: DataFrame) -> DataFrame:
+    """(seq, group): patterns that share a key, directly or over others, have the same group (their smallest seq)."""
+    pairs = cut(rows.select("seq", "key").distinct())
+    groups, said = pairs.select("seq").distinct().withColumn("group", F.col("seq")), None
+    while True:
+        by_key = pairs.join(groups, "seq").groupBy("key").agg(F.min("group").alias("group"))
+        groups = cut(pairs.join(by_key, "key").groupBy("seq").agg(F.min("group").alias("group")))
+        total = groups.agg(F.sum(F.col("group").cast("decimal(38,0)"))).first()[0]
+        if total == said:
+            return groups
+        said = total
 
 
 def free_numbers(adopted: DataFrame, order: str, taken: DataFrame, stem: str, ties: list[Column] = []) -> DataFrame:

@@ -15,6 +15,8 @@ UNROLL_BYTES = 1 << 20
 # Size of one broadcast slice of a larger catalogue.
 SLICE_BYTES = 8 << 20
 
+ATTRIBUTED = 64  # groupings whose components are constants of one scan
+
 EVIDENCE_CAP = 500  # listing cap per video; counts are never capped
 
 
@@ -35,11 +37,12 @@ def pattern_guard(plan: DataFrame, pattern: str = "pattern") -> DataFrame:
     """
     compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col(pattern))
     text = F.col(pattern)
+    bare = F.regexp_replace(text, r"\\.", "_")  # an escaped bracket opens no class
     problem = (
         F.when(text.isNull(), F.lit("no pattern"))
         .when(compiled.isNull(), F.lit("invalid syntax"))
-        .when(text.rlike(r"\[\[:\^?[a-z]+:\]"), F.lit("POSIX class"))
-        .when(text.rlike(r"\[[^\]\\]*\[[^\]]*\]"), F.lit("nested class")))
+        .when(bare.rlike(r"\[\[:\^?[a-z]+:\]"), F.lit("POSIX class"))
+        .when(bare.rlike(r"\[[^\]]*\[[^\]]*\]"), F.lit("nested class")))
     return plan.withColumn("problem", problem).withColumn("valid", problem.isNull())
 
 
@@ -102,11 +105,11 @@ def match_offsets(cues: DataFrame, pattern: str) -> DataFrame:
     """Non-empty matches with their start offset: (video_id, cue_no, nth, offset, match).
 
     Each match is wrapped in marks; cutting there leaves gaps and matches in turn, and the lengths
-    in front of a match add up to its offset.
+    in front of a match add up to its offset.  A rendered line has no line break, which the mark begins with.
     """
-    mark = "\u0000"
-    pieces = F.split(F.regexp_replace("line", F.lit(f"({pattern})"), F.lit(f"{mark}$1{mark}")), mark)
-    cut = cues.where(F.col("line").rlike(pattern)).select("video_id", "cue_no", pieces.alias("p"))
+    mark = "\n\u0000"
+    pieces = F.split(F.regexp_replace("line", F.lit(pattern), F.lit(f"{mark}$0{mark}")), mark)
+    cut = cues.where(F.col("line").rlike(pattern)).select("video_id", "cue_no", pieces.alias("p")).where(F.size("p") > 2)
     at = cut.select("video_id", "cue_no", "p", F.explode(F.sequence(F.lit(1), F.size("p") - 2, F.lit(2))).alias("i"))
     before = F.aggregate(F.slice("p", F.lit(1), F.col("i")), F.lit(0), lambda acc, x: acc + F.length(x))
     rows = at.select("video_id", "cue_no", F.expr("(i + 1) div 2").cast("int").alias("piece"),
@@ -222,13 +225,16 @@ def attribute_components(hits: DataFrame, plan: DataFrame) -> DataFrame:
     """Components that fired in a hit line: (topic, video_id, cue_no, part), each once.
 
     A component fired when its named group took part in any of the successive matches of the line.
-    Patterns and group ordinals are constants of the scan (the plan is size-checked like a catalogue).
+    Patterns and group ordinals are constants of the scan, a slice of the plan at a time.
     """
-    rows = plan.where(F.size("parts") > 0).select("name", "pattern", "parts").limit(UNROLL_ROWS + 1).collect()
-    if len(rows) > UNROLL_ROWS:
-        raise ValueError(f"more than {UNROLL_ROWS} groupings with components: attribute them in slices of the plan")
-    if not rows:
-        return hits.select("topic", "video_id", "cue_no", F.lit("").alias("part")).where("false")
+    rows = plan.where(F.size("parts") > 0).select("name", "pattern", "parts").orderBy("name").collect()
+    found = hits.select("topic", "video_id", "cue_no", F.lit("").alias("part")).where("false")
+    for begin in range(0, len(rows), ATTRIBUTED):
+        found = found.unionByName(_attributed(hits, rows[begin:begin + ATTRIBUTED]))
+    return found
+
+
+def _attributed(hits: DataFrame, rows: list) -> DataFrame:
     fired = F.lit(None).cast("array<string>")
     for r in rows:
         took = [F.when(F.exists(F.regexp_extract_all("line", F.lit(r["pattern"]), F.lit(p["group_idx"])),

@@ -199,7 +199,7 @@ def search_heat(tallies: DataFrame, changes: DataFrame, opens: DataFrame) -> Dat
 
 # ---- artifacts ----------------------------------------------------------------------------------
 
-def content_chain(tasks: DataFrame, deps: DataFrame, artifacts: DataFrame, hash_fn=sha_head, rounds: int = 64) -> DataFrame:
+def content_chain(tasks: DataFrame, deps: DataFrame, artifacts: DataFrame, hash_fn=sha_head) -> DataFrame:
     """Fingerprint per task: (id, kind, suffix); NULL where an input, a dependency or its artifact is missing.
 
     ``tasks`` is (id, kind, witness), ``deps`` (id, ord, dep), ``artifacts`` (plan_id, bytes_hash).  One
@@ -214,23 +214,21 @@ def content_chain(tasks: DataFrame, deps: DataFrame, artifacts: DataFrame, hash_
     others = tasks.where("kind <> 'leaf'").select("id", "kind")
     wanted = cut(deps.join(others, "id").select("id", "kind", "ord", "dep"))
     counts = cut(wanted.groupBy("id").agg(F.count("*").alias("n")))
-    ready = done
-    usable = None
-    for _ in range(rounds):
+    ready, met = done, None
+    pair = F.col("kind").isin("focus", "probe")
+    key = F.when(pair, F.col("dep")).otherwise(F.lpad(F.col("ord").cast("string"), 20, "0"))
+    while not ready.isEmpty():
+        # Each dependency meets its fingerprint once, in the round after it got one.
         fresh = ready.join(facts, "id").select(F.col("id").alias("dep"), "suffix", "bytes_hash")
-        usable = fresh if usable is None else usable.unionByName(fresh)
-        met = wanted.join(usable, "dep")
-        pair = F.col("kind").isin("focus", "probe")
-        key = F.when(pair, F.col("dep")).otherwise(F.lpad(F.col("ord").cast("string"), 20, "0"))
-        whole = met.groupBy("id", "kind").agg(F.count("*").alias("m"), F.array_sort(F.collect_list(
-            F.struct(key.alias("k"), F.concat("suffix", "bytes_hash").alias("v")))).alias("parts"))
+        new = wanted.join(fresh, "dep").select("id", "kind", key.alias("k"), F.concat("suffix", "bytes_hash").alias("v"))
+        met = cut(new if met is None else met.unionByName(new))
+        whole = met.groupBy("id", "kind").agg(
+            F.count("*").alias("m"), F.array_sort(F.collect_list(F.struct("k", "v"))).alias("parts"))
         whole = whole.join(counts, "id").where("m = n")
         ready = cut(whole.select("id", hash_fn(F.concat("kind", "id", F.array_join(
             F.transform("parts", lambda p: p["v"]), ""))).alias("suffix")))
-        if ready.isEmpty():
-            break
         done = done.unionByName(ready)
-        wanted = cut(wanted.join(ready, "id", "left_anti"))
+        met = met.join(ready, "id", "left_anti")
     return tasks.select("id", "kind").join(done, "id", "left")
 
 
@@ -263,12 +261,14 @@ def retention_sweep(placed: DataFrame, listing: DataFrame) -> DataFrame:
     return listing.join(plan, ["plan_id", "kind"]).where("file_name <> target").select("plan_id", "kind", "file_name")
 
 
-def invalidate_descendants(changed: DataFrame, deps: DataFrame, max_depth: int = 64) -> DataFrame:
+def invalidate_descendants(changed: DataFrame, deps: DataFrame) -> DataFrame:
     """Tasks whose fingerprint moves when the given ids change: (id, depth)."""
     edges = cut(deps.select("id", "dep").distinct())
     frontier = cut(changed.select("id").distinct().withColumn("depth", F.lit(0)))
     reached = frontier
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         frontier = cut(edges.join(frontier.select(F.col("id").alias("dep")), "dep", "left_semi").select("id").distinct()
                        .join(reached, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

@@ -31,13 +31,25 @@ def _struct(**fields) -> StructType:
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available now into Parquet under the shared folder; read it back."""
+    """Run a stream over what is available now into Parquet under the shared folder; read it back.
+
+    The number of state stores is fixed for the life of a stream: one per core.  The session gets its settings back.
+    """
+    spark = stream.sparkSession
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+              "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        return _drain(stream, mode)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def _drain(stream: DataFrame, mode: str) -> DataFrame:
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    if spark.sparkContext.master.startswith("local"):
-        # One state store per core is plenty on one machine; a cluster keeps its own setting.
-        few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        spark.conf.set("spark.sql.shuffle.partitions", few)
     root = f"{checkpoint_root(spark)}/stream-{uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     if mode == "append":
