@@ -119,22 +119,27 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _placed(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("bigint")
-    return bare(docs, doc_id=doc_id, place=F.coalesce(doc_id, F.lit(_LAST)), text=F.coalesce(F.col("text"), F.lit("")))
+    return bare(docs, doc_id=doc_id, place=F.coalesce(doc_id, F.lit(_LAST)), text=F.coalesce(F.col("text"), F.lit("")), text_key=_text_key())
+
+
+def _text_key():
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, place, n_shingles, set_key, buckets``; ``set_key`` is 128 bits of the whole set, null if it is empty."""
+    """``doc_id, place, text_key, n_shingles, set_key, buckets``; ``set_key`` is 128 bits of the whole set, null if it is empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), shingle)
             keys = band_keys(superminhash(sets, bands * rows), bands, rows)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("place"), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column("doc_id"), batch.column("place"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))],
-                names=["doc_id", "place", "n_shingles", "set_key", "buckets"])
+                names=["doc_id", "place", "text_key", "n_shingles", "set_key", "buckets"])
 
-    return _placed(docs).mapInArrow(run, "doc_id bigint, place bigint, n_shingles bigint, set_key binary, buckets array<bigint>")
+    return _placed(docs).mapInArrow(run, "doc_id bigint, place bigint, text_key bigint, n_shingles bigint, set_key binary, buckets array<bigint>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -148,7 +153,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                                              names=["place", "shingles"])
 
     texts = _placed(docs).select("place", "text").join(wanted, "place")
-    return texts.mapInArrow(run, "place bigint, shingles array<bigint>").dropDuplicates(["place"])
+    return texts.mapInArrow(run, "place bigint, shingles array<bigint>").groupBy("place").agg(F.max("shingles").alias("shingles"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -269,14 +274,14 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, similarity: int) ->
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: groups of documents linked by shingle sets that overlap by 75 % or more.
+    """``doc_id, n_shingles, component_id, kept, text_key``: groups of documents linked by shingle sets that overlap by 75 % or more.
 
     ``component_id`` is the smallest id that can be reached over links, and the document with that id is kept.
 
     A null text, or one without words, has no shingles, is linked with nothing and kept.  A null id counts as larger
     than all others; a group of null ids only has a null ``component_id`` and keeps all its rows.  Rows that
-    repeat an id belong to one document: what links one of them counts for it, and all of them are kept or dropped
-    together if their texts are equal.  An empty table gives no rows.
+    repeat an id and a text share their fate; rows of one id with several texts are linked each for itself, under the
+    same id.  ``text_key`` (a hash of the text) tells them apart.  An empty table gives no rows.
     """
     found = stored(signatures(docs, shingle, bands, rows), "signatures")
     classes = found.where("n_shingles > 0").groupBy("set_key").agg(
@@ -288,10 +293,12 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
     labels = links(docs, standing, shingle, similarity)
     named = standing.select("set_key", "place").join(labels, "place", "left").select("set_key", F.coalesce("component", "place").alias("component"))
     return found.join(named, "set_key", "left").withColumn("component", F.coalesce("component", "place")).select(
-        "doc_id", "n_shingles", F.nullif("component", F.lit(_LAST)).alias("component_id"), (F.col("place") == F.col("component")).alias("kept"))
+        "doc_id", "n_shingles", F.nullif("component", F.lit(_LAST)).alias("component_id"), (F.col("place") == F.col("component")).alias("kept"), "text_key")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay, all columns: of each group the one with the smallest id."""
-    gone = near_dedup(docs).where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(_LAST)).alias("__gone")).distinct()
-    return docs.join(gone, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)) == F.col("__gone"), "left_anti")
+    gone = near_dedup(docs).where(~F.col("kept")).select(
+        F.coalesce("doc_id", F.lit(_LAST)).alias("__gone"), F.col("text_key").alias("__gone_key")).distinct()
+    same = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)) == F.col("__gone")) & (_text_key() == F.col("__gone_key"))
+    return docs.join(gone, same, "left_anti")

@@ -119,7 +119,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_near_dedup")
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_dedup(documents(spark, sf_dir))
+    return neardup.near_dedup(documents(spark, sf_dir)).drop("text_key")
 
 
 @query("op7_toxicity")

@@ -192,9 +192,14 @@ def near_brute(table):
 def test_near_duplicates(docs, nothing):
     got = collected(neardup.near_dedup(docs.where("doc_id is not null")), "doc_id", "n_shingles", "component_id", "kept")
     assert got == near_brute([r for r in rows() if r[0] is not None])
-    assert neardup.near_dedup(docs).where("doc_id is null").count() == 2
     assert neardup.near_dedup(nothing).count() == 0
-    assert neardup.one_of_each(docs).where("doc_id = 100 or doc_id = 8").count() == 0
+
+
+def test_near_duplicates_without_id(docs):
+    """A document without id is linked like any other, and comes after all of them; one that is unlike all others stays."""
+    found = {(r.doc_id, r.text) for r in neardup.one_of_each(docs).select("doc_id", "text").collect()}
+    assert not {d for d, _ in found} & {8, 100} and {0, 1, 2, 5, 6} <= {d for d, _ in found}
+    assert {t for d, t in found if d is None} == {"no id"}
 
 
 def test_near_duplicates_that_the_first_member_misses(spark):
