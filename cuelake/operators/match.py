@@ -62,20 +62,23 @@ def match_join(cues: DataFrame, plan: DataFrame, line: str = "line") -> DataFram
         fired = F.array_compact(F.array(*[
             F.when(F.col(line).rlike(r["pattern"]), F.lit(r["name"])) for r in rows]))
         return cues.withColumn("name", F.explode(fired))
-    return match_slices(cues, small, int(size.b), line)
+    return match_slices(cues, small, line)
 
 
-def match_slices(cues: DataFrame, plan: DataFrame, n_bytes: int, line: str = "line") -> DataFrame:
-    """Theta join on "line matches", one pass over the cues per slice of the catalogue."""
-    upto = running_sum(plan.withColumn("__b", F.octet_length("pattern").cast("bigint")), [], ["name"], "__b", "__upto",
-                       F.ascii("name").cast("bigint"))
+def match_slices(cues: DataFrame, plan: DataFrame, line: str = "line") -> DataFrame:
+    """Theta join on "line matches", one pass over the cues per slice of the catalogue.
+
+    Slices are cut in the order of a hash of the name, so that their sizes add up in even blocks.
+    """
+    sized = plan.withColumn("__b", (F.octet_length("pattern") + F.octet_length("name")).cast("bigint")).withColumn("__h", F.xxhash64("name"))
+    upto = running_sum(sized, [], ["__h", "name"], "__b", "__upto", F.shiftright("__h", 52))
     sliced = cut(upto.select("name", "pattern", F.floor((F.col("__upto") - 1) / SLICE_BYTES).alias("__slice")))
-    out = None
-    for i in range(max(n_bytes - 1, 0) // SLICE_BYTES + 1):
+    last = sliced.agg(F.max("__slice")).first()[0]
+    out = cues.withColumn("name", F.lit("")).where("false")
+    for i in range(0 if last is None else last + 1):
         # A slice ends with the pattern that crosses the mark, so it exceeds it by one pattern at most.
         part = F.broadcast(sliced.where(F.col("__slice") == i).drop("__slice"))
-        hit = cues.join(part, F.rlike(line, F.col("pattern"))).drop("pattern")
-        out = hit if out is None else out.unionByName(hit)
+        out = out.unionByName(cues.join(part, F.rlike(line, F.col("pattern"))).drop("pattern"))
     return out
 
 

@@ -39,7 +39,7 @@ def match_join(spark, sf):
 def match_join_theta(spark, sf):
     """The form for catalogues too large to unroll."""
     good = match.pattern_guard(plan(spark)).where("valid").select("name", "pattern")
-    found = match.match_slices(b.lines(spark, sf), good, n_bytes=1)
+    found = match.match_slices(b.lines(spark, sf), good)
     return found.select(F.col("name").alias("topic"), "video_id", "cue_no", "start_ms", "line")
 
 

@@ -66,3 +66,11 @@ def test_adoption_is_one_after_the_other(spark):
     for rows in cases:
         got = {x.seq: x.rebuilt for x in catalog.adopt_novel(spark.createDataFrame(rows, "seq long, pattern string"), none).collect()}
         assert got == walk(rows), rows
+
+
+def test_every_slice_of_a_large_catalogue_is_matched(spark, monkeypatch):
+    monkeypatch.setattr(match, "SLICE_BYTES", 200)
+    plan = spark.createDataFrame([(f"term{i}", f"word{i};") for i in range(60)], "name string, pattern string")
+    cues = spark.createDataFrame([(i, f"say word{i}; now") for i in range(60)], "cue_no int, line string")
+    got = {(r.cue_no, r.name) for r in match.match_slices(cues, plan).collect()}
+    assert got == {(i, f"term{i}") for i in range(60)}
