@@ -1,7 +1,7 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification on full sets, connected components.
 
-Documents with the same shingle set form a class and are represented by their smallest id.  Classes meet in the
-buckets of their bands.  Within a bucket no pairs are formed: its first member is compared with the others, and
+Documents with the same shingle set form a class, which has a number and the smallest id of its documents.  Classes,
+not ids, are what is linked, since one id (or none) may stand at several texts.  They meet in the buckets of their bands.  Within a bucket no pairs are formed: its first member is compared with the others, and
 verified links are joined into components.  Only buckets whose members are then in different components are looked at
 again.  Their members are dealt into blocks, and each two blocks meet in one place, where all full sets are compared
 at once and only a spanning forest of the links comes out.
@@ -143,29 +143,29 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``place, shingles`` of the documents whose ``place, set_key`` is wanted."""
+    """``node, shingles`` of the classes ``node, place, text_key, set_key`` that are wanted, from the text each of them names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), shingle)
             ok = [xxhash.xxh3_128_digest(s.tobytes()) == key for s, key in zip(sets, batch.column("set_key").to_pylist())]
-            place = batch.column("place").filter(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([place, pa.array([s.view(np.int64) for s, good in zip(sets, ok) if good], pa.list_(pa.int64()))],
-                                             names=["place", "shingles"])
+            node = batch.column("node").filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([node, pa.array([s.view(np.int64) for s, good in zip(sets, ok) if good], pa.list_(pa.int64()))],
+                                             names=["node", "shingles"])
 
-    texts = _placed(docs).select("place", "text").join(wanted, "place")
-    return texts.mapInArrow(run, "place bigint, shingles array<bigint>").groupBy("place").agg(F.max("shingles").alias("shingles"))
+    texts = _placed(docs).select("place", "text_key", "text").join(wanted, ["place", "text_key"]).select("node", "set_key", "text")
+    return texts.mapInArrow(run, "node bigint, shingles array<bigint>").groupBy("node").agg(F.max("shingles").alias("shingles"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs ``a, b`` whose full sets overlap by ``similarity`` per cent of their union or more."""
-    left, right = (sets.select(F.col("place").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``place, component`` of every end of an edge ``a, b``: the smallest place that can be reached.
+    """``node, component`` of every end of an edge ``a, b``: the smallest node that can be reached.
 
     Large-star and small-star steps in turn (each node hands its neighbours to the smallest one) until every node hangs
     on the smallest of its component.  Only sums and joins over edges; the number of rounds grows with the logarithm.
@@ -187,8 +187,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stored(small, "edges")
         said = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if said == before:
-            roots = edges.select(F.col("v").alias("place"), F.col("v").alias("component")).distinct()
-            return edges.select(F.col("u").alias("place"), F.col("v").alias("component")).unionByName(roots)
+            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         before = said
 
 
@@ -217,58 +217,59 @@ def _forest(sets: list[np.ndarray], similarity: int) -> np.ndarray:
 
 
 def block_links(rows: DataFrame, similarity: int) -> DataFrame:
-    """Links ``a, b`` among the sets of each ``bucket, low, high`` of the rows ``..., place, shingles``.
+    """Links ``a, b`` among the sets of each ``bucket, low, high`` of the rows ``..., node, shingles``.
 
     Rows are dealt out by that key and sorted, and pass by as a stream; a task holds the sets of two blocks.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, places, sets = None, [], []
+        key, nodes, sets = None, [], []
 
         def found() -> pa.RecordBatch:
             label = _forest(sets, similarity)
             at = np.flatnonzero(label != np.arange(len(label)))
-            place = np.array(places, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(place[label[at]]), pa.array(place[at])], names=["a", "b"])
+            node = np.array(nodes, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(node[label[at]]), pa.array(node[at])], names=["a", "b"])
 
         for batch in batches:
             keys = list(zip(*[batch.column(c).to_pylist() for c in ("bucket", "low", "high")]))
-            lists, ids = batch.column("shingles"), batch.column("place").to_pylist()
+            lists, ids = batch.column("shingles"), batch.column("node").to_pylist()
             for i, k in enumerate(keys):
                 if k != key:
-                    if len(places) > 1:
+                    if len(nodes) > 1:
                         yield found()
-                    key, places, sets = k, [], []
-                places.append(ids[i])
+                    key, nodes, sets = k, [], []
+                nodes.append(ids[i])
                 sets.append(lists[i].values.to_numpy())
-        if len(places) > 1:
+        if len(nodes) > 1:
             yield found()
 
-    dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "place")
+    dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def links(docs: DataFrame, classes: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """``place, component`` of the classes ``place, n_shingles, set_key, buckets`` that are linked to others."""
-    filed = classes.select("place", "n_shingles", "set_key", F.explode("buckets").alias("bucket"))
+    """``node, component`` of the classes ``node, place, text_key, n_shingles, set_key, buckets`` that are linked to others."""
+    filed = classes.select("node", "n_shingles", F.explode("buckets").alias("bucket"))
     # Bands often gather the same classes: of buckets with equal members one is enough.
-    mark = F.xxhash64(F.col("place"), F.lit(7))
-    shared = (filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.bit_xor(F.xxhash64("place")).alias("x"),
+    mark = F.xxhash64(F.col("node"), F.lit(7))
+    shared = (filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("x"),
                                           F.bit_xor(mark).alias("y"), F.sum(mark.cast("decimal(38,0)")).alias("z")).where("n > 1")
               .groupBy("n", "first", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "first"))
     members = stored(filed.join(shared, "bucket"), "buckets")
-    sets = stored(full_sets(docs, members.select("place", "set_key").distinct(), shingle), "shingle-sets")
+    wanted = classes.select("node", "place", "text_key", "set_key").join(members.select("node").distinct(), "node", "left_semi")
+    sets = stored(full_sets(docs, wanted, shingle), "shingle-sets")
 
-    first = members.where("place = first").select("bucket", F.col("n_shingles").alias("n_first"))
+    first = members.where("node = first").select("bucket", F.col("n_shingles").alias("n_first"))
     near = (100 * F.least("n_shingles", "n_first") >= similarity * F.greatest("n_shingles", "n_first"))
-    pairs = members.where("place <> first").join(first, "bucket").where(near).select(F.col("first").alias("a"), F.col("place").alias("b")).distinct()
+    pairs = members.where("node <> first").join(first, "bucket").where(near).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     edges = stored(verified(pairs, sets, similarity), "links")
-    labelled = members.join(components(edges), "place", "left").withColumn("component", F.coalesce("component", "place"))
+    labelled = members.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("n").alias("size")).where("lo < hi and size > 2")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("place"), blocks).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     open_ = members.join(split.select("bucket"), "bucket", "left_semi").select(
-        "bucket", "place", block.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    met = open_.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "place").join(sets, "place")
+        "bucket", "node", block.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    met = open_.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node").join(sets, "node")
     more = stored(block_links(met, similarity), "links")
     return components(edges.unionByName(more))
 
@@ -280,18 +281,21 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
 
     A null text, or one without words, has no shingles, is linked with nothing and kept.  A null id counts as larger
     than all others; a group of null ids only has a null ``component_id`` and keeps all its rows.  Rows that
-    repeat an id and a text share their fate; rows of one id with several texts are linked each for itself, under the
-    same id.  ``text_key`` (a hash of the text) tells them apart.  An empty table gives no rows.
+    repeat an id and a text share their fate.  Texts of one id, or of none, are linked each for itself: what one of
+    them is linked with does not touch the others.  ``text_key`` (a hash of the text) tells them apart.  An empty
+    table gives no rows.
     """
     found = stored(signatures(docs, shingle, bands, rows), "signatures")
     classes = found.where("n_shingles > 0").groupBy("set_key").agg(
         F.min("place").alias("place"), F.first("n_shingles").alias("n_shingles"))
-    # The buckets of a class are those of any of its members; taken from the one that stands for it.
-    standing = found.where("n_shingles > 0").select("place", "set_key", "buckets").join(
-        classes.select("place", "set_key", "n_shingles"), ["place", "set_key"]).dropDuplicates(["place", "set_key"])
-    standing = stored(standing, "classes")
-    labels = links(docs, standing, shingle, similarity)
-    named = standing.select("set_key", "place").join(labels, "place", "left").select("set_key", F.coalesce("component", "place").alias("component"))
+    # The text and buckets of a class are those of any of its members; taken from one that has its smallest place.
+    standing = found.where("n_shingles > 0").select("place", "text_key", "set_key", "buckets").join(
+        classes, ["place", "set_key"]).dropDuplicates(["set_key"])
+    standing = stored(standing.withColumn("node", F.monotonically_increasing_id()), "classes")
+    labels = stored(links(docs, standing, shingle, similarity), "labels")
+    roots = labels.join(standing.select("node", "place"), "node").groupBy("component").agg(F.min("place").alias("least"))
+    named = standing.select("set_key", "node", "place").join(labels.join(roots, "component").select("node", "least"), "node", "left").select(
+        "set_key", F.coalesce("least", "place").alias("component"))
     return found.join(named, "set_key", "left").withColumn("component", F.coalesce("component", "place")).select(
         "doc_id", "n_shingles", F.nullif("component", F.lit(_LAST)).alias("component_id"), (F.col("place") == F.col("component")).alias("kept"), "text_key")
 

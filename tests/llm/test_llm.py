@@ -202,6 +202,25 @@ def test_near_duplicates_without_id(docs):
     assert {t for d, t in found if d is None} == {"no id"}
 
 
+def test_near_duplicates_by_text(spark):
+    """Texts without id, or of one id, are linked each for itself: none is lost, none is taken along by another."""
+    def near(text):
+        w = text.split()
+        w[len(w) // 2] = "changed"
+        return " ".join(w)
+
+    a, b, c, d, e, f, g = (prose(400 + i, 90 + i, 5000) for i in range(7))
+    table = [(5, a), (None, near(a)), (None, b), (6, e), (None, near(e)), (3, c), (7, near(c)), (7, d), (8, near(d)), (2, f), (2, near(g)), (9, g)]
+    table += [(None, prose(500 + i, 60, 5000)) for i in range(5)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    want = {near(a): (5, False), near(e): (6, False), near(c): (3, False), near(d): (7, False), g: (2, False)}
+    found = neardup.near_dedup(df)
+    key = df.select("text", F.xxhash64("text").alias("text_key"))
+    got = {(r.doc_id, r.text): (r.component_id, r.kept) for r in found.join(key, "text_key").collect()}
+    assert got == {(i, t): want.get(t, (i, True)) for i, t in table}
+    assert ordered((r.doc_id, r.text) for r in neardup.one_of_each(df).collect()) == ordered((i, t) for i, t in table if t not in want)
+
+
 def test_near_duplicates_that_the_first_member_misses(spark):
     """Copies of one text with own edits: many are linked with others but not with the first of their bucket."""
     r, base = random.Random(3), [f"v{i}" for i in range(150)]
