@@ -417,6 +417,19 @@ def test_mix_comes_near(spark):
     assert abs(mixed.select(F.sum(F.size(F.split(F.trim("text"), " ")))).first()[0] - sum(len(t.split()) for _, t, _ in table)) < 500
 
 
+def test_mixed_takes_each_row_as_often_as_the_mix(spark):
+    """Rows without id, and rows of one id in several sources: none is lost for another one's sake."""
+    table = [(None if i % 2 else i // 6, "w " * (20 + i), "abc"[i % 3], i) for i in range(240)]
+    df = spark.createDataFrame(table, "doc_id long, text string, source string, size long").repartition(3)
+    copies = {(r.doc_id, r.size): r.copies for r in mixing.mix(df).collect()}
+    assert len(copies) == len(table) and {0, 1} < {n for (d, _), n in copies.items() if d is None}
+    mixed = mixing.mixed(df)
+    got = Counter((r.doc_id, r.text, r.source, r.size) for r in mixed.collect())
+    assert mixed.columns == df.columns and got == {r: copies[r[0], 20 + r[3]] for r in table if copies[r[0], 20 + r[3]]}
+    rest = [(r[3], copies[r[0], 20 + r[3]]) for r in table if r[0] is None and r[2] == "c"]
+    assert max(n for n, c in rest if c) > min(n for n, c in rest if not c)  # not the shortest ones first
+
+
 def test_mix_is_native(docs):
     plan = mixing.mix(docs)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
