@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import exact, language, mixing, neardup, quality, substrings, tokens, toxicity
+from cuelake.llm import exact, language, mixing, neardup, quality, substrings, tokens, toxicity, urls
 from cuelake.llm.common import documents
 from cuelake.session import ship
 
@@ -130,3 +130,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_id")
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(documents(spark, sf_dir))
+
+
+def _host_words() -> str:
+    return " OR ".join(f"contains(host, '{r.glob.strip('*')}')" for r in urls.GLOB_RULES)
+
+
+@query("op13_url_filter", f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+fits AS (SELECT p.*, r.host || r.path AS rule, r.action FROM p, (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+           ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r(action, host, path)
+         WHERE (p.host = r.host OR suffix(p.host, '.' || r.host)) AND prefix(p.path, r.path)),
+best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM fits GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.action, CASE WHEN {_host_words()} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best ON best.page_id = p.page_id""")
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("glob")
