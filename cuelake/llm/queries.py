@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import exact, hardneg, language, mixing, neardup, quality, substrings, tokens, toxicity, urls
+from cuelake.llm import exact, hardneg, language, mixing, neardup, quality, repair, substrings, tokens, toxicity, urls
 from cuelake.llm.common import documents
 from cuelake.session import ship
 
@@ -167,3 +167,8 @@ FROM pos p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positiv
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 3""")
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))).drop("repaired")
