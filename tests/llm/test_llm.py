@@ -288,12 +288,37 @@ def test_quality(docs, nothing):
 
 
 def test_quality_rules_decide(spark):
-    good = " ".join(["The house of the man and his dog is there, and it was for them."] + [f"he said it number{i} was with that" for i in range(20)])
+    good = " ".join(["The house of the man and his dog is there, and it was for them."] + [f"he{i} said it{i} with number{i} was" for i in range(20)])
     table = [(1, good), (2, good.replace(" ", "$$$ ")), (3, good.upper().replace(" ", "!! ")), (4, prose(1, 100))]
     got = dict(quality.quality_rules(spark.createDataFrame(table, "doc_id long, text string")).select("doc_id", "kept").collect())
     assert got == {1: True, 2: False, 3: False, 4: False}
 
 
+def test_quality_filters(spark):
+    """Filters, joins and counts on the result cost what the result costs: the measures are made once per text."""
+    import time
+    table = [(i, prose(50 + i, 40 * i, 90)) for i in range(12)] + [(99, prose(9, 100_000, 9000))]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    found = quality.quality_rules(df)
+    want = {r.doc_id: (r.kept, r.n_repeat_words) for r in found.collect()}
+    assert want[99][1] == quality_brute(table[-1][1])[4]
+    started = time.monotonic()
+    assert {r.doc_id for r in found.where("kept").collect()} == {i for i, (k, _) in want.items() if k}
+    assert {r.doc_id for r in found.where("n_repeat_words > 30 and not base_failed").collect()} == {
+        r.doc_id for r in found.collect() if r.n_repeat_words > 30 and not r.base_failed}
+    assert found.join(df, "doc_id").where("kept").count() == sum(k for k, _ in want.values())
+    assert found.where("symbol_ratio < 0.1").count() == len([1 for i, t in table if t.split()])
+    assert time.monotonic() - started < 60
+
+
+def test_stop_words(spark):
+    texts = ["The of, AND! the.. (the) the-the l' für Für? DIE: y y. y,, é als", "", None, "."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = set(quality.STOP_WORDS)
+    want = {i: sum(w.lower() in held or (w[-1] in ".,;:!?" and w[:-1].lower() in held) for w in (t or "").split()) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_stop_words for r in quality.measures(df).collect()} == want
+
+
 # Tokens
 
 ODD = "abcdefgthe  ing'sXYZÉéßÖñ0123.,!?#-'\n\t\r\x0b\x1c\x85\xa0 İςΣﬁǺ½中文字😀<|endoftext|>"
@@ -410,9 +435,11 @@ def test_mix(docs, nothing):
 
 def test_mix_comes_near(spark):
     table = [(i, "w " * random.Random(i).randrange(1, 60), "big" if i % 3 else f"s{i % 7}") for i in range(3000)]
-    found = mixing.mix(spark.createDataFrame(table, "doc_id long, text string, source string")).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    df = spark.createDataFrame(table, "doc_id long, text string, source string")
+    per_source = mixing.mix(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source", "target")  # sources may share a target
+    found = per_source.agg(F.sum("taken").alias("taken")).collect()
     assert all(abs(r.taken - r.target) <= 60 for r in found)
-    mixed = mixing.mixed(spark.createDataFrame(table, "doc_id long, text string, source string"))
+    mixed = mixing.mixed(df)
     assert mixed.columns == ["doc_id", "text", "source"]
     assert abs(mixed.select(F.sum(F.size(F.split(F.trim("text"), " ")))).first()[0] - sum(len(t.split()) for _, t, _ in table)) < 500
 
