@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import SPACE, bare
+from cuelake.llm.common import SPACE, WORD, bare
 
 SYMBOLS = "#*$%&|<>"
 
@@ -46,9 +46,8 @@ CLOSING_MARKS = [".", ",", ";", ":", "!", "?"]  # one of them may stand behind a
 
 
 def _is_stop_word(word: Column, stop_words: tuple[str, ...] | list[str]) -> Column:
-    held = sorted(set(stop_words))
-    bare_word = F.substring(word, F.lit(1), F.length(word) - 1)
-    return F.lower(word).isin(held) | (F.right(word, F.lit(1)).isin(CLOSING_MARKS) & F.lower(bare_word).isin(held))
+    unmarked = F.when(F.right(word, F.lit(1)).isin(CLOSING_MARKS), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+    return F.lower(unmarked).isin(sorted(set(stop_words)))
 
 
 def measures(docs: DataFrame, stop_words: tuple[str, ...] | list[str] = STOP_WORDS) -> DataFrame:
@@ -63,7 +62,7 @@ def measures(docs: DataFrame, stop_words: tuple[str, ...] | list[str] = STOP_WOR
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = bare(docs, doc_id="doc_id", text=text)
     rows = rows.withColumn("words", F.filter(F.split("text", SPACE + "+"), lambda w: w != ""))
-    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda line: F.trim(F.translate(line, "\t\x0b\x0c\r", "    ")) != ""))
+    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD)))
     rows = rows.withColumn("n_words", F.size("words").cast("bigint")).withColumn("n_lines", F.size("lines").cast("bigint"))
     numbered = F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 3), lambda i: F.struct(
         F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("p")))
