@@ -13,7 +13,7 @@ from cuelake.functions import patterns
 from cuelake.operators.ordered import ordinal, running_sum
 from cuelake.session import cut
 
-_REF = patterns.REFERENCE
+REFERENCE = _REF = patterns.REFERENCE
 _MARK = "\u0000"
 
 
@@ -318,11 +318,11 @@ def extend(requests: DataFrame, topics: DataFrame, covered: DataFrame) -> DataFr
         F.array_sort(F.collect_list(F.struct("seq", "branch_no", "text"))), lambda b: b["text"]), "|").alias("added"))
     return base.join(added, "name").select(
         "name", "pattern",
-        F.when(F.col("own_folds"), F.concat(F.lit("(?i:"), _inner(F.col("pattern")), F.lit("|"), "added", F.lit(")")))
-        .otherwise(F.concat(_inner(F.col("pattern")), F.lit("|"), "added")).alias("grown"))
+        F.when(F.col("own_folds"), F.concat(F.lit("(?i:"), inner_pattern(F.col("pattern")), F.lit("|"), "added", F.lit(")")))
+        .otherwise(F.concat(inner_pattern(F.col("pattern")), F.lit("|"), "added")).alias("grown"))
 
 
 @F.pandas_udf(StringType())
-def _inner(pattern: pd.Series) -> pd.Series:
+def inner_pattern(pattern: pd.Series) -> pd.Series:
     """Pattern without its outer wrappers."""
     return pattern.map(lambda p: patterns.unwrap(p)[0])

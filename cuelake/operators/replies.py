@@ -86,35 +86,100 @@ def literal_union(spellings: Column) -> Column:
     return F.concat(F.lit("(?i:"), F.array_join(F.transform(spellings, literal_pattern), "|"), F.lit(")"))
 
 
-def consolidate_terms(entries: DataFrame, covered: DataFrame, taken: DataFrame, order: list[str]) -> DataFrame:
-    """One term, one topic: (name, term, kind, gloss, pattern).
-
-    A spelling belongs to the first entry that brings it (aggregated per key before the shuffle).
-    The spellings of one case-folded term form one alternation; its topic is born with the first
-    entry that brings something new and takes the next free number; kind and gloss keep the first
-    non-empty word from there on.
+def consolidate_terms(entries: DataFrame, topics: DataFrame, order: list[str], stem: str = "term") -> DataFrame:
+    """One term, one topic: (name, term, kind, gloss, pattern, attached), as if entries joined the catalogue one by one.
+
+    ``topics`` is (seq, name, fragments), ``order`` names the columns that order the entries.  The topic of a
+    case-folded term is settled by its first entry that brings a spelling nobody has (a new topic with the next free
+    number), or, if earlier, by its first entry whose spellings are all covered and most of them by one ``stem`` topic
+    of the catalogue that has no term yet: the term attaches to that topic, and its later spellings grow it.  Of equally
+    wide covers the earliest topic counts; a new topic may be the widest, and then the entry says nothing.  A topic
+    grows only if it is one case-folding fragment without references; else later spellings of its term stay free for
+    other terms.  Kind and gloss keep the first non-empty word from the settling entry on.
     """
     placed = entries.withColumn("at", F.struct(*order)).withColumn("folded", F.lower("term"))
-    patterned = placed.select(F.to_json("at").alias("entry"), "at", "folded", "term", "kind", "means", "gloss",
-                              literal_union(F.col("kept")).alias("pattern"))
-    patterned = cut(patterned)
-    branches = catalog.pattern_branches(patterned, ["entry"]).join(covered.select("key"), "key", "left_anti")
-    rows = branches.join(patterned.select("entry", "at", "folded"), "entry")
-    first = rows.groupBy("key").agg(F.min(F.struct("at", "branch_no", "text", "folded")).alias("f")).select("f.*")
-    grown = first.groupBy("folded").agg(F.min("at").alias("born"), F.array_sort(F.collect_list(
-        F.struct("at", "branch_no", "text"))).alias("t"))
-    pattern = F.concat(F.lit("(?i:"), F.array_join(F.transform("t", lambda x: x["text"]), "|"), F.lit(")"))
-    grown = cut(grown.select("folded", "born", pattern.alias("pattern")))
-    shown = F.when(F.col("means") == "", F.col("gloss")).otherwise(
-        F.concat("term", F.lit(" = "), "means", F.lit(". "), "gloss"))
-    info = patterned.select("folded", "at", "term", "kind", shown.alias("gloss")).join(grown, "folded").where("at >= born")
+    patterned = cut(placed.select(F.to_json("at").alias("entry"), "at", "folded", "term", "kind", "means", "gloss",
+                                  literal_union(F.col("kept")).alias("pattern")))
+    expanded = cut(catalog.expand_topics(topics))
+    held = catalog.pattern_branches(expanded.where("pattern is not null"), ["seq", "name"]).select("seq", "name", "key").distinct()
+    mine = F.col("name").rlike(f"^{stem}[0-9]+$")
+    known = held.groupBy("key").agg(F.collect_list(F.when(mine, F.struct("seq", "name"))).alias("owners"))
+    rows = catalog.pattern_branches(patterned, ["entry"]).groupBy("entry", "key").agg(F.min(F.struct("branch_no", "text")).alias("b"))
+    rows = cut(rows.join(known, "key", "left").join(patterned.select("entry", "at", "folded"), "entry")
+               .select("entry", "at", "folded", "key", "b.branch_no", "b.text", "owners"))
+    settled = _attachments(rows, _growing(topics, expanded))
+    new = _placed(rows, settled)
+    grown = new.groupBy("folded").agg(F.min("at").alias("born"), F.array_sort(F.collect_list(F.struct("at", "branch_no", "text"))).alias("t"))
+    added = F.array_join(F.transform("t", lambda x: x["text"]), "|")
+    fresh = grown.join(settled, "folded", "left_anti").select("folded", F.col("born").alias("since"), F.concat(
+        F.lit("(?i:"), added, F.lit(")")).alias("pattern"), F.lit(False).alias("attached"))
+    lead = order[0]
+    fresh = catalog.free_numbers(cut(fresh.withColumn("__order", F.col(f"since.{lead}"))), "__order", expanded, stem,
+                                 ties=[F.col(f"since.{c}") for c in order[1:]])
+    own = topics.select("name", F.array_join("fragments", "").alias("own"))
+    old = settled.join(own, "name").join(grown.select("folded", added.alias("added")), "folded", "left").select(
+        "folded", "since", F.when(F.col("added").isNull(), F.col("own")).otherwise(
+            F.concat(F.lit("(?i:"), catalog.inner_pattern(F.col("own")), F.lit("|"), "added", F.lit(")"))).alias("pattern"),
+        F.lit(True).alias("attached"), "name")
+    topic = fresh.select("folded", "since", "pattern", "attached", "name").unionByName(old)
+    shown = F.when(F.col("means") == "", F.col("gloss")).otherwise(F.concat("term", F.lit(" = "), "means", F.lit(". "), "gloss"))
+    info = patterned.select("folded", "at", "term", "kind", shown.alias("gloss")).join(topic.select("folded", "since"), "folded").where("at >= since")
     info = info.groupBy("folded").agg(
-        F.min_by("term", "at").alias("term"), F.min_by("gloss", "at").alias("gloss"),
+        F.min_by("term", "at").alias("term"), F.coalesce(F.min_by("gloss", F.when(F.col("gloss") != "", F.col("at"))), F.lit("")).alias("gloss"),
         F.coalesce(F.min_by("kind", F.when(F.col("kind") != "", F.col("at"))), F.lit("")).alias("kind"))
-    lead = order[0]
-    numbered = catalog.free_numbers(
-        grown.withColumn("__order", F.col(f"born.{lead}")), "__order", taken, "term", ties=[F.col(f"born.{c}") for c in order[1:]])
-    return numbered.join(info, "folded").select("name", "term", "kind", "gloss", "pattern")
+    return topic.join(info, "folded").select("name", "term", "kind", "gloss", "pattern", "attached")
+
+
+def _growing(topics: DataFrame, expanded: DataFrame) -> DataFrame:
+    """Names of the topics that spellings can be added to."""
+    single = topics.where((F.size("fragments") == 1) & ~F.get("fragments", F.lit(0)).rlike(catalog.REFERENCE)).select("name")
+    return catalog.pattern_branches(expanded.join(single, "name").where("pattern is not null"), ["name"]).where("folds and not opaque").select("name").distinct()
+
+
+def _placed(rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """(key, at, branch_no, text, folded): the first entry that brings a spelling nobody has and whose topic can take it."""
+    stuck = settled.where("not grows").select("folded", F.col("since").alias("__stuck"))
+    free = rows.where("owners is null").join(stuck, "folded", "left").where("__stuck is null or at <= __stuck")
+    return free.groupBy("key").agg(F.min(F.struct("at", "branch_no", "text", "folded")).alias("p")).select("key", "p.*")
+
+
+def _attachments(rows: DataFrame, growing: DataFrame) -> DataFrame:
+    """(folded, since, name, grows): the terms that attach to topics of the catalogue.
+
+    What an entry decides depends on earlier entries only, so all are decided at once under the last round's
+    attachments until a round changes nothing: each round settles at least the earliest decision that was open, and
+    all that depend on settled ones.
+    """
+    settled = rows.select("folded", F.col("at").alias("since"), F.lit("").alias("name"), F.lit(False).alias("grows")).limit(0)
+    said = None
+    while True:
+        new = cut(_placed(rows, settled))
+        born = new.groupBy("folded").agg(F.min("at").alias("born"))
+        # Entries all of whose spellings are covered, of terms not yet settled by a new topic.
+        quiet = rows.join(new.select(F.col("at").alias("__new")).distinct(), F.col("at") == F.col("__new"), "left_anti")
+        quiet = quiet.join(born, "folded", "left").where("born is null or at < born").select("entry", "at", "folded", "key", "owners")
+        of = new.select("key", F.col("at").alias("__at"), F.col("folded").alias("__by")).join(
+            settled.select(F.col("folded").alias("__by"), F.col("since").alias("__since"), F.col("name").alias("__name")), "__by", "left")
+        grown = of.select("key", "__at", "__by", F.when(F.col("__since") <= F.col("__at"), F.col("__name")).alias("__name"))
+        by_growth = quiet.where("owners is null").join(grown, "key").where("__at < at").select(
+            "entry", "at", "folded", F.col("__name").alias("name"), F.when(F.col("__name").isNull(), F.col("__by")).alias("by"))
+        by_birth = quiet.select("entry", "at", "folded", F.explode("owners").alias("o")).select(
+            "entry", "at", "folded", F.col("o.name").alias("name"), F.lit(None).cast("string").alias("by"))
+        seqs = rows.select(F.explode("owners").alias("o")).select("o.name", "o.seq").distinct()
+        counts = by_birth.unionByName(by_growth).groupBy("entry", "at", "folded", "name", "by").agg(F.count("*").alias("n"))
+        counts = counts.join(seqs, "name", "left")  # topics of the catalogue come before new ones
+        best = counts.groupBy("entry", "at", "folded").agg(F.max_by(F.struct("name"), F.struct(F.col("n"), F.col("seq").isNotNull(), -F.col("seq"))).alias("b"))
+        best = best.select("at", "folded", "b.name").where("name is not null")
+        taken = settled.select("name", F.col("since").alias("__taken"), F.col("folded").alias("__by"))
+        open_ = best.join(taken, "name", "left").where("__taken is null or __by = folded or at < __taken")
+        first = open_.groupBy("folded").agg(F.min(F.struct("at", "name")).alias("f")).select("folded", "f.*")
+        won = first.groupBy("name").agg(F.min(F.struct("at", "folded")).alias("w")).select("name", F.col("w.at").alias("since"), F.col("w.folded").alias("folded"))
+        settled = cut(won.join(growing.withColumn("grows", F.lit(True)), "name", "left")
+                      .select("folded", "since", "name", F.coalesce("grows", F.lit(False)).alias("grows")))
+        total = settled.agg(F.count("*"), F.sum(F.xxhash64("folded", "since", "name").cast("decimal(38,0)"))).first()
+        if total == said:
+            return settled
+        said = total
 
 
 def regex_line(text: Column) -> Column:

@@ -60,21 +60,75 @@ def validate_terms(spark, sf):
                        R.literal_union(F.col("kept")).alias("pattern"))
 
 
-@query("consolidate_terms", _REPLIES + """
-, held AS (SELECT *, lower('T' || word[1:2]) AS folded FROM told WHERE k IN (1, 4) AND word <> ''),
-fresh AS (SELECT word, min(seq * 100000 + window_no) AS pos FROM held WHERE word NOT IN ('wh', 'pour') GROUP BY word),
-bring AS (SELECT f.word, f.pos, lower('T' || f.word[1:2]) AS folded FROM fresh f),
-born AS (SELECT folded, min(pos) AS pos, '(?i:' || string_agg(word, '|' ORDER BY pos) || ')' AS pattern FROM bring GROUP BY folded),
-info AS (SELECT h.folded, arg_min('T' || word[1:2], seq * 100000 + window_no) AS term,
-  arg_min(CASE WHEN k = 4 THEN 'T' || word[1:2] || ' = more. about ' || word ELSE 'about ' || word END, seq * 100000 + window_no) AS gloss
-  FROM held h JOIN born x ON x.folded = h.folded AND h.seq * 100000 + h.window_no >= x.pos GROUP BY h.folded)
-SELECT 'term' || (1 + row_number() OVER (ORDER BY pos)) AS name, term, 'word' AS kind, gloss, pattern FROM born JOIN info USING (folded)""")
+# Term topics that cover frequent words: with common words, by hand, in two fragments, without case folding.
+TERM_TOPICS = [
+    (0, "by_hand", ["(?i:in|er)"]), (1, "term1", ["(?i:wh|he|nd)"]), (2, "term2", ["(?i:he|the|es)"]), (3, "term3", ["(?i:as", "|le)"]),
+    (4, "term4", ["re|and|que"]), (5, "term7", ["(?i:eux|hat|on)"])]
+
+# A reply per window names a word of every eighth line: (n, folded, term, kind, gloss, w) in staging order.
+_TOLD_WORDS = WINDOWS + """
+, picked AS (SELECT s.seq, s.window_no, l.cue_no, regexp_extract(l.line, '[a-z]{2,}') AS word
+             FROM staged s JOIN lines l ON l.video_id = s.video_id AND l.cue_no BETWEEN s.first_cue AND s.last_cue AND l.cue_no % 8 = 0),
+ent AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq, window_no) AS n, seq, window_no, list(word ORDER BY cue_no) AS said FROM picked WHERE word <> '' GROUP BY seq, window_no
+                     HAVING (seq + window_no) % 5 <> 0),
+e AS MATERIALIZED (SELECT n, 'T' || said[1][1:2] AS term, lower('T' || said[1][1:2]) AS folded, CASE WHEN (seq + window_no) % 5 = 1 THEN '' ELSE 'word' END AS kind,
+  CASE WHEN (seq + window_no) % 5 = 2 THEN 'T' || said[1][1:2] || ' = more. about ' || said[1] ELSE 'about ' || said[1] END AS gloss,
+  list_filter(said, lambda x, i: list_position(said, x) = i) AS w FROM ent)
+"""
+
+
+def told_words(spark, sf):
+    """Replies to all windows: a term block over the words of its lines, behind it one that fails; every fifth says NONE."""
+    w = windows(spark, sf).select("id", "seq", "window_no", "video_id", "first_cue", "last_cue")
+    lines = b.lines(spark, sf).where("cue_no % 8 = 0").select("video_id", "cue_no", F.regexp_extract("line", "[a-z]{2,}", 0).alias("word")).where("word <> ''")
+    said = w.join(lines, "video_id").where("cue_no between first_cue and last_cue").groupBy(*w.columns).agg(
+        F.array_sort(F.collect_list(F.struct("cue_no", "word"))).alias("said"))
+    k, first = (F.col("seq") + F.col("window_no")) % 5, F.get("said", F.lit(0))["word"]
+    seen = F.array_join(F.transform("said", lambda x: x["word"]), " | ")
+    cues = F.array_join(F.transform("said", lambda x: F.concat(F.lit("#"), x["cue_no"].cast("string"))), " ")
+    block = F.concat(F.lit("TERM: T"), F.substring(first, 1, 2), F.when(k == 1, F.lit("")).otherwise(F.lit("\nKIND: Word")),
+                     F.when(k == 2, F.lit("\nMEANS: more")).otherwise(F.lit("")), F.lit("\nGLOSS: about "), first, F.lit("\nSEEN: never said | "), seen,
+                     F.lit("\nCUES: "), cues, F.lit("\n\nTERM: lost\nSEEN: "), seen, F.lit("\nCUES: "), cues)
+    return said.select(*w.columns, F.when(k == 0, F.lit("NONE")).otherwise(block).alias("text"))
+
+
+@query("consolidate_terms", _TOLD_WORDS + """
+, walk AS (
+  SELECT CAST(0 AS BIGINT) AS n, 'none' AS act, CAST(-1 AS BIGINT) AS owner, CAST([] AS VARCHAR[]) AS put, CAST([] AS VARCHAR[]) AS idx_f, CAST([] AS BIGINT[]) AS idx_o,
+    [{'k': 'in', 'o': CAST(-1 AS BIGINT)}, {'k': 'er', 'o': -1}, {'k': 'wh', 'o': 1}, {'k': 'he', 'o': 1}, {'k': 'nd', 'o': 1}, {'k': 'he', 'o': 2}, {'k': 'the', 'o': 2},
+     {'k': 'es', 'o': 2}, {'k': 'as', 'o': 3}, {'k': 'le', 'o': 3}, {'k': 'eux', 'o': 5}, {'k': 'hat', 'o': 5}, {'k': 'on', 'o': 5}] AS pairs
+  UNION ALL
+  SELECT n, act, owner, put, CASE WHEN act IN ('new', 'attach') THEN list_append(idx_f, folded) ELSE idx_f END,
+    CASE WHEN act IN ('new', 'attach') THEN list_append(idx_o, owner) ELSE idx_o END,
+    list_concat(pairs, list_transform(put, lambda x: {'k': x, 'o': owner}))
+  FROM (SELECT *, CASE WHEN act IN ('new', 'grow') THEN novel ELSE CAST([] AS VARCHAR[]) END AS put FROM (
+    SELECT n, folded, pairs, idx_f, idx_o, novel,
+      CASE WHEN own IS NOT NULL THEN CASE WHEN own <> 3 AND len(novel) > 0 THEN 'grow' ELSE 'none' END
+           WHEN len(novel) > 0 THEN 'new'
+           WHEN cover BETWEEN 0 AND 999 AND NOT list_contains(idx_o, cover) THEN 'attach' ELSE 'none' END AS act,
+      CASE WHEN own IS NOT NULL THEN own WHEN len(novel) > 0 THEN 1000 + n ELSE cover END AS owner
+    FROM (SELECT *, CASE WHEN len(os) > 0 THEN (list_min(list_transform(list_distinct(os), lambda o: o - 1000000000 * len(list_filter(os, lambda y: y = o))))
+                         % 1000000000 + 1000000000) % 1000000000 END AS cover
+      FROM (SELECT e.n, e.folded, w.pairs, w.idx_f, w.idx_o, w.idx_o[list_position(w.idx_f, e.folded)] AS own,
+              list_filter(e.w, lambda x: NOT list_contains(list_transform(w.pairs, lambda p: p.k), x)) AS novel,
+              list_transform(list_filter(w.pairs, lambda p: p.o >= 0 AND list_contains(e.w, p.k)), lambda p: p.o) AS os
+            FROM walk w JOIN e ON e.n = w.n + 1)))))
+, since AS (SELECT e.folded, w.owner, w.n, w.act FROM walk w JOIN e USING (n) WHERE w.act IN ('new', 'attach')),
+numbered AS (SELECT *, CASE WHEN act = 'new' THEN row_number() OVER (PARTITION BY act ORDER BY n) END AS k FROM since),
+grown AS (SELECT owner, string_agg(array_to_string(put, '|'), '|' ORDER BY n) AS added FROM walk WHERE len(put) > 0 GROUP BY owner),
+info AS (SELECT s.folded, arg_min(term, e.n) AS term, arg_min(gloss, e.n) AS gloss, coalesce(arg_min(kind, e.n) FILTER (kind <> ''), '') AS kind
+         FROM since s JOIN e ON e.folded = s.folded AND e.n >= s.n GROUP BY s.folded),
+old(owner, name, own, mid) AS (VALUES (1, 'term1', '(?i:wh|he|nd)', 'wh|he|nd'), (2, 'term2', '(?i:he|the|es)', 'he|the|es'), (3, 'term3', '(?i:as|le)', ''),
+     (5, 'term7', '(?i:eux|hat|on)', 'eux|hat|on'))
+SELECT CASE WHEN act = 'new' THEN 'term' || CASE WHEN k <= 2 THEN k + 4 ELSE k + 5 END ELSE old.name END AS name, term, kind, gloss,
+  CASE WHEN act = 'new' THEN '(?i:' || added || ')' WHEN added IS NULL THEN old.own ELSE '(?i:' || old.mid || '|' || added || ')' END AS pattern, act = 'attach' AS attached
+FROM numbered s JOIN info USING (folded) LEFT JOIN grown g ON g.owner = s.owner LEFT JOIN old ON old.owner = s.owner""")
 def consolidate_terms(spark, sf):
-    replies = term_replies(spark, sf)
+    replies = told_words(spark, sf)
     held = R.validate_terms(R.parse_term_replies(replies, ["id"]), replies, b.lines(spark, sf))
     held = held.join(replies.select("id", "seq", "window_no"), "id")
-    known = _catalogue(spark)
-    return R.consolidate_terms(held, catalog.corpus_keys(known), known, ["seq", "window_no", "block_no"])
+    topics = spark.createDataFrame(TERM_TOPICS, "seq INT, name STRING, fragments ARRAY<STRING>")
+    return R.consolidate_terms(held, topics, ["seq", "window_no", "block_no"])
 
 
 @query("prefix_replay", _REPLIES + """
