@@ -6,7 +6,8 @@ cover in both documents, wherever they begin: it is enough to hash short windows
 compare those.  Only around anchors that occur in several documents are whole 50-word windows compared.
 
 1. anchors are hashed and counted by hash, combined before the shuffle; those of two or more documents remain;
-2. they are joined back to the anchors (a plain equi-join, whose hot keys Spark splits) and gathered per document;
+2. they are written, joined back to the anchors (both sides are shuffled for the join, so Spark may split a hot key)
+   and gathered per document;
 3. texts of documents with such anchors extend them to every 50-word window around, a hash of 96 bits each; the
    smallest document of each window is found the same way, and joined back;
 4. each text drops the words of its windows that have a smaller document.
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,12 +68,14 @@ class _Words:
 
 
 def _by_place(docs: DataFrame) -> DataFrame:
+    """Documents with their place in the order; ``own`` tells those without id, which share a place, apart by their texts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     return bare(docs, doc_id=F.col("doc_id").cast("bigint"), place=F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)),
-                text=F.coalesce(F.col("text"), F.lit("")))
+                own=F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.lit(0)), text=text)
 
 
 def anchors(texts: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """``place, pos, h``: hashes of the windows at cover positions."""
+    """``place, own, pos, h``: hashes of the windows at cover positions."""
     width, residues = window - period + 1, np.array(sorted(cover))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,20 +85,21 @@ def anchors(texts: DataFrame, window: int, period: int, cover: tuple[int, ...])
             on = np.isin(pos % period, residues)
             text, pos = text[on], pos[on]
             h = words.window_hash(words.begins[text] + pos, width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("place").to_numpy()[text]), pa.array(pos.astype(np.int32)), pa.array(h)],
-                                             names=["place", "pos", "h"])
+            place, own = (pa.array(batch.column(c).to_numpy()[text]) for c in ("place", "own"))
+            yield pa.RecordBatch.from_arrays([place, own, pa.array(pos.astype(np.int32)), pa.array(h)], names=["place", "own", "pos", "h"])
 
-    return texts.where(F.length("text") >= 2 * window - 1).select("place", "text").mapInArrow(run, "place bigint, pos int, h bigint")
+    return texts.where(F.length("text") >= 2 * window - 1).select("place", "own", "text").mapInArrow(run, "place bigint, own bigint, pos int, h bigint")
 
 
 def shared_anchors(found: DataFrame) -> DataFrame:
-    """``place, marks``: of each document, the anchors that other documents have too.
+    """``place, own, marks``: of each document, the anchors that other documents have too.
 
     A mark is four times the position, plus 1 if an earlier document has the anchor, plus 2 if a later one has.
     """
-    repeated = found.groupBy("h").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo < hi")
+    repeated = stored(found.groupBy("h").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo < hi"), "repeated-anchors")
     mark = F.col("pos").cast("bigint") * 4 + (F.col("lo") < F.col("place")).cast("int") + 2 * (F.col("hi") > F.col("place")).cast("int")
-    return found.join(repeated, "h").select("place", mark.alias("mark")).groupBy("place").agg(F.collect_list("mark").alias("marks"))
+    return (found.join(repeated, "h").select("place", "own", mark.alias("mark"))
+            .groupBy("place", "own").agg(F.collect_set("mark").alias("marks")))  # a set: copies of a text have the same marks
 
 
 def _near(marks: np.ndarray, n: int, period: int) -> np.ndarray:
@@ -111,7 +116,7 @@ def _sha(words: list[bytes]) -> str:
 
 def candidates(texts: DataFrame, marks: DataFrame) -> DataFrame:
     """Every document: the result where no earlier document shares an anchor, the text and marks where any other does."""
-    schema = "doc_id bigint, place bigint, n_words bigint, kept_sha256 string, text string, marks array<bigint>"
+    schema = "doc_id bigint, place bigint, own bigint, n_words bigint, kept_sha256 string, text string, marks array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -119,16 +124,16 @@ def candidates(texts: DataFrame, marks: DataFrame) -> DataFrame:
             words = [t.encode().split() for t in texts]
             later = [bool(m) and any(x & 1 for x in m) for m in marks]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("place"), pa.array([len(w) for w in words], pa.int64()),
+                batch.column("doc_id"), batch.column("place"), batch.column("own"), pa.array([len(w) for w in words], pa.int64()),
                 pa.array([None if open_ else _sha(w) for w, open_ in zip(words, later)], pa.string()),
                 pa.array([t if m else None for t, m in zip(texts, marks)], pa.string()),
-                pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "place", "n_words", "kept_sha256", "text", "marks"])
+                pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "place", "own", "n_words", "kept_sha256", "text", "marks"])
 
-    return texts.join(marks, "place", "left").select("doc_id", "place", "text", "marks").mapInArrow(run, schema)
+    return texts.join(marks, ["place", "own"], "left").select("doc_id", "place", "own", "text", "marks").mapInArrow(run, schema)
 
 
 def windows(held: DataFrame, window: int, period: int) -> DataFrame:
-    """``w1, w2, place, pos, later``: the windows around shared anchors; ``later`` if an earlier document has the anchor."""
+    """``w1, w2, place, own, pos, later``: the windows around shared anchors; ``later`` if an earlier document has the anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=1 << 20):
             words = _Words(batch.column("text").to_pylist())
@@ -150,10 +155,11 @@ def windows(held: DataFrame, window: int, period: int) -> DataFrame:
             at = words.begins[text] + pos
             yield pa.RecordBatch.from_arrays([
                 pa.array(words.window_hash(at, window).view(np.int64)), pa.array(_short(words, at, window)),
-                pa.array(batch.column("place").to_numpy()[text]), pa.array(pos.astype(np.int32)), pa.array(np.concatenate(laters))],
-                names=["w1", "w2", "place", "pos", "later"])
+                *[pa.array(batch.column(c).to_numpy()[text]) for c in ("place", "own")], pa.array(pos.astype(np.int32)), pa.array(np.concatenate(laters))],
+                names=["w1", "w2", "place", "own", "pos", "later"])
 
-    return held.where("text is not null").select("place", "text", "marks").mapInArrow(run, "w1 bigint, w2 int, place bigint, pos int, later boolean")
+    return held.where("text is not null").select("place", "own", "text", "marks").mapInArrow(
+        run, "w1 bigint, w2 int, place bigint, own bigint, pos int, later boolean")
 
 
 def _short(words: _Words, at: np.ndarray, window: int) -> np.ndarray:
@@ -161,11 +167,11 @@ def _short(words: _Words, at: np.ndarray, window: int) -> np.ndarray:
 
 
 def removed_windows(found: DataFrame) -> DataFrame:
-    """``place, removed``: of each document, the windows that an earlier document has (position and half of the hash)."""
-    least = found.groupBy("w1", "w2").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo < hi").drop("hi")
+    """``place, own, removed``: of each document, the windows that an earlier document has (position and half of the hash)."""
+    least = stored(found.groupBy("w1", "w2").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo < hi").drop("hi"), "repeated-windows")
     packed = F.shiftleft(F.col("pos").cast("bigint"), 32).bitwiseOR(F.col("w2").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return (found.where("later").join(least, ["w1", "w2"]).where("lo < place").select("place", packed.alias("window"))
-            .groupBy("place").agg(F.collect_list("window").alias("removed")))
+    return (found.where("later").join(least, ["w1", "w2"]).where("lo < place").select("place", "own", packed.alias("window"))
+            .groupBy("place", "own").agg(F.collect_set("window").alias("removed")))
 
 
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
@@ -175,19 +181,21 @@ def _cut(held: DataFrame, removed: DataFrame, window: int, texts_too: bool) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = _Words(batch.column("text").to_pylist())
+            held = batch.column("removed")
+            counts = pc.fill_null(pc.list_value_length(held), 0).to_numpy().astype(np.int64)
+            packed = pc.list_flatten(held).to_numpy()
+            text = np.repeat(np.arange(len(counts)), counts)
+            pos, half = packed >> 32, packed.astype(np.uint32).view(np.int32)
+            inside = pos <= words.sizes[text] - window  # a row of the same id may have another text
+            text, pos, half = text[inside], pos[inside], half[inside]
+            same = _short(words, words.begins[text] + pos, window) == half
+            begins = words.begins[text[same]] + pos[same]
+            edge = np.zeros(len(words.hashes) + 1, dtype=np.int64)
+            np.add.at(edge, begins, 1)
+            np.add.at(edge, begins + window, -1)  # windows end within their text
+            stays = np.cumsum(edge)[:-1] == 0
             gone_counts, shas, kept_texts = [], [], []
-            for i, removed in enumerate(batch.column("removed")):
-                own = words.words[i]
-                gone = np.zeros(len(own) + 1, dtype=np.int64)
-                if removed.is_valid and len(own) >= window:
-                    packed = removed.values.to_numpy()
-                    pos, half = packed >> 32, packed.astype(np.uint32).view(np.int32)
-                    inside = pos <= len(own) - window
-                    pos, half = pos[inside], half[inside]
-                    pos = pos[_short(words, words.begins[i] + pos, window) == half]  # a row of the same id may have another text
-                    np.add.at(gone, pos, 1)
-                    np.add.at(gone, pos + window, -1)
-                stay = np.cumsum(gone)[:len(own)] == 0
+            for own, stay in zip(words.words, np.split(stays, words.begins[1:])):
                 kept = own if stay.all() else [own[j] for j in np.flatnonzero(stay)]
                 gone_counts.append(len(own) - len(kept))
                 shas.append(_sha(kept))
@@ -196,7 +204,7 @@ def _cut(held: DataFrame, removed: DataFrame, window: int, texts_too: bool) -> D
                 batch.column("doc_id"), pa.array(words.sizes), pa.array(gone_counts, pa.int64()), pa.array(shas, pa.string()),
                 pa.array(kept_texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return held.join(removed, "place", "left").select("doc_id", "text", "removed").mapInArrow(run, RESULT)
+    return held.join(removed, ["place", "own"], "left").select("doc_id", "text", "removed").mapInArrow(run, RESULT)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER,
@@ -219,4 +227,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     removed = stored(removed_windows(windows(held, window, period)), "removed-windows")
     whole = held.where("kept_sha256 is not null").select(
         "doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
-    return whole.unionByName(_cut(held.where("kept_sha256 is null").select("doc_id", "place", "text"), removed, window, texts_too))
+    return whole.unionByName(_cut(held.where("kept_sha256 is null").select("doc_id", "place", "own", "text"), removed, window, texts_too))

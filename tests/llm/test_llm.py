@@ -156,6 +156,15 @@ def test_substrings_at_every_offset(spark):
     assert collected(substrings.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256") == substring_brute(table)
 
 
+def test_substrings_of_many_documents_without_id(spark):
+    """They share a place, but each has marks and windows of its own; copies among them remove nothing."""
+    passage = prose(31, 55)
+    table = [(None, prose(300 + i, 30) + " " + (passage + " " if i % 3 else "") + prose(600 + i, 30)) for i in range(60)]
+    table += [(None, table[1][1])] * 20 + [(4, prose(32, 10) + " " + passage), (7, prose(33, 80)), (7, passage + " tail"), (7, prose(34, 70))]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    assert collected(substrings.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256") == substring_brute(table)
+
+
 def test_difference_cover():
     assert substrings.covers(substrings.COVER, substrings.PERIOD)
     assert not substrings.covers((1, 2, 3), 31)
