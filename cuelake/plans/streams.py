@@ -2,38 +2,76 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from cuelake import schemas
 from cuelake.plans import bindings as b
 from cuelake.plans.registry import query
-from cuelake.plans.timeline import DRIFT_SQL, _CUE_AT
+from cuelake.plans.timeline import _CUE_AT
 from cuelake.plans.worklist import _EVENTS
+from cuelake.session import checkpoint_root
 from cuelake.streaming import streams as S
 
 
+ADMITTED = 256  # files that one micro-batch takes
+IDLE_MS = 2 * 86_400_000  # of the queries: a session silent for two days begins anew
+
+
 def event_stream(spark, sf):
-    raw = spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf)
+    raw = (spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet")
+           .option("maxFilesPerTrigger", ADMITTED).parquet(sf))
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def position_stream(spark, sf):
-    return event_stream(spark, sf).select(
+    return _positions(event_stream(spark, sf))
+
+
+def _positions(events):
+    return events.select(
         "event_id", F.col("user_id").alias("session"), (F.col("user_id") % 100).alias("video_id"), "ts",
         F.floor(F.col("value") * 100).cast("bigint").alias("t_ms"))
 
 
 @query("follow_stream", _CUE_AT + """
 SELECT session, event_id, CAST(coalesce(cue_no, -1) AS BIGINT) AS cue_no FROM (
-  SELECT *, lag(coalesce(cue_no, -1), 1, -1) OVER (PARTITION BY session ORDER BY ts, event_id) AS was FROM located)
+  SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 DAY AND lag(video_id) OVER w = video_id THEN lag(coalesce(cue_no, -1)) OVER w ELSE -1 END AS was
+  FROM located WINDOW w AS (PARTITION BY session ORDER BY ts, event_id))
 WHERE coalesce(cue_no, -1) <> was""")
 def follow_stream(spark, sf):
-    return S.drain(S.follow_stream(position_stream(spark, sf), b.overlap(spark, sf))).select("session", "event_id", "cue_no")
-
-
-@query("drift_stream", DRIFT_SQL)
+    return S.drain(S.follow_stream(position_stream(spark, sf), b.overlap(spark, sf), idle_ms=IDLE_MS)).select("session", "event_id", "cue_no")
+
+
+@query("drift_stream", """
+, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS rn FROM positions),
+fold AS (
+  SELECT session, event_id, video_id, t_ms, ts, rn, t_ms AS kept, video_id AS on_video, true AS keep FROM r WHERE rn = 1
+  UNION ALL
+  SELECT session, event_id, video_id, t_ms, ts, rn, CASE WHEN keep THEN t_ms ELSE kept END, video_id, keep
+  FROM (SELECT r.*, f.kept, f.on_video <> r.video_id OR abs(f.kept - r.t_ms) >= 500 OR r.ts - f.ts > INTERVAL 2 DAY AS keep
+        FROM fold f JOIN r ON r.session = f.session AND r.rn = f.rn + 1))
+SELECT session, event_id, video_id, t_ms FROM fold WHERE keep""")
 def drift_stream(spark, sf):
-    return S.drain(S.drift_stream(position_stream(spark, sf)))
+    return S.drain(S.drift_stream(position_stream(spark, sf), idle_ms=IDLE_MS))
+
+
+@query("late_positions", """
+, part AS (SELECT *, CASE event_id % 97 WHEN 5 THEN 2 WHEN 6 THEN 1 ELSE 0 END AS batch, epoch_us(ts) // 1000 AS ms FROM positions),
+mark AS (SELECT max(ms) FILTER (batch = 0) - 86400000 AS late, max(ms) - 86400000 AS gone FROM part),
+seen AS (SELECT session, max(ms) AS last FROM part, mark WHERE batch < 2 OR ms > late GROUP BY session)
+SELECT (SELECT count(*) FROM part, mark WHERE batch = 2 AND ms <= late) AS n_late,
+       (SELECT count(*) FROM seen, mark WHERE last + 172800000 > gone) AS n_held""")
+def late_positions(spark, sf):
+    """Late rows and sessions held at the end of a position stream: every 97th position comes two micro-batches after its time."""
+    events = b.table(spark, sf, "events")
+    root, k = f"{checkpoint_root(spark)}/late-{uuid4().hex}", F.col("event_id") % 97
+    for part in (~k.isin(5, 6), k == 6, k == 5):
+        events.where(part).coalesce(1).write.mode("append").parquet(root)  # one file a micro-batch
+    raw = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", 1).parquet(root).withColumn("ts", F.col("ts").cast("timestamp"))
+    said = S.drained(S.drift_stream(_positions(raw), delay="1 day", idle_ms=IDLE_MS))[1]
+    return spark.createDataFrame([(said["n_late"], said["n_state"])], "n_late bigint, n_held bigint")
 
 
 @query("stall_stream", """
@@ -68,26 +106,35 @@ m AS (SELECT video_id, max(n) AS last FROM c GROUP BY video_id)
 SELECT video_id, round(sum(0.5 * pow(0.5, CAST(last - n AS DOUBLE))), 6) AS heat, last AS n FROM c JOIN m USING (video_id) GROUP BY video_id, last""")
 def heat_stream(spark, sf):
     opens = event_stream(spark, sf).where("event_type = 'view'").select(
-        (F.col("event_id") % 100).alias("video_id"), F.expr("event_id div 500").alias("n"), F.lit(0.5).alias("add"))
+        "ts", (F.col("event_id") % 100).alias("video_id"), F.expr("event_id div 500").alias("n"), F.lit(0.5).alias("add"))
     out = S.drain(S.heat_stream(opens), "update")
     last = out.groupBy("video_id").agg(F.max(F.struct("n", "heat")).alias("l"))
     return last.select("video_id", F.round("l.heat", 6).alias("heat"), "l.n")
 
 
-@query("first_seen_hits", "SELECT DISTINCT user_id AS video_id, CAST(floor(value) AS BIGINT) AS hit_ms FROM events WHERE event_type <> 'error'")
+@query("first_seen_hits", """
+, h AS (SELECT user_id AS video_id, CAST(floor(value / 40) AS BIGINT) AS hit_ms, event_id, ts, event_type = 'error' AS aborted FROM events)
+SELECT video_id, hit_ms, event_id FROM (
+  SELECT *, coalesce(lag(aborted) OVER w, true) OR ts - lag(ts) OVER w > INTERVAL 10 DAY AS open FROM h
+  WINDOW w AS (PARTITION BY video_id, hit_ms ORDER BY ts, event_id)) WHERE open AND NOT aborted""")
 def first_seen_hits(spark, sf):
-    hits = event_stream(spark, sf).select(F.col("user_id").alias("video_id"), F.floor("value").alias("hit_ms"), "ts",
+    """Hits of forty units each, so that they come again and again; errors abort."""
+    hits = event_stream(spark, sf).select("event_id", F.col("user_id").alias("video_id"), F.floor(F.col("value") / 40).alias("hit_ms"), "ts",
                                           (F.col("event_type") == "error").alias("aborted"))
-    return S.drain(S.first_seen_hits(hits, "60 days"))
+    return S.drain(S.first_seen_hits(hits, memory_ms=10 * 86_400_000))
 
 
-@query("one_completion", "SELECT DISTINCT user_id AS task_id, user_id % 3 AS epoch FROM events WHERE event_id % 3 = user_id % 3 AND event_id % 4 <> 1")
+@query("one_completion", """
+, r AS (SELECT user_id AS task_id, event_id % 3 AS epoch, CASE event_id % 4 WHEN 1 THEN 'old' WHEN 2 THEN 'u' ELSE 't' END AS target FROM events)
+SELECT DISTINCT task_id, epoch, target FROM r WHERE epoch = task_id % 3 AND (target = 't' OR target = 'u' AND task_id % 2 = 0)""")
 def one_completion(spark, sf):
-    owed = b.table(spark, sf, "events").select(F.col("user_id").alias("task_id"), (F.col("user_id") % 3).alias("epoch"),
-                                               F.lit("t").alias("target")).distinct()
+    """Every task owes one request, every second one another; outcomes of old generations and targets do not count."""
+    users = b.table(spark, sf, "events").select(F.col("user_id").alias("task_id")).distinct()
+    targets = F.when(F.col("task_id") % 2 == 0, F.array(F.lit("t"), F.lit("u"))).otherwise(F.array(F.lit("t")))
+    owed = users.select("task_id", (F.col("task_id") % 3).alias("epoch"), F.explode(targets).alias("target"))
     replies = event_stream(spark, sf).select(
         F.col("user_id").alias("task_id"), (F.col("event_id") % 3).alias("epoch"), "ts",
-        F.when(F.col("event_id") % 4 == 1, F.lit("old")).otherwise(F.lit("t")).alias("target"))
+        F.when(F.col("event_id") % 4 == 1, F.lit("old")).when(F.col("event_id") % 4 == 2, F.lit("u")).otherwise(F.lit("t")).alias("target"))
     return S.drain(S.one_completion(replies, owed, "60 days"))
 
 
@@ -124,14 +171,17 @@ def parse_player_events(spark, sf):
 
 
 @query("player_switches", """
-, c AS (SELECT user_id AS session, ts, event_id, event_id % 40 AS seq FROM events WHERE event_type = 'click' AND event_id % 40 < 30)
-SELECT session, event_id, seq FROM (SELECT *, lag(seq, 1, -1) OVER (PARTITION BY session ORDER BY ts, event_id) AS was FROM c) WHERE seq <> was""")
+, n AS (SELECT count(*) AS n_videos FROM videos),
+c AS (SELECT user_id AS session, ts, event_id, event_id % (n_videos + n_videos // 3) AS seq, n_videos FROM events, n WHERE event_type = 'click')
+SELECT session, event_id, seq FROM (
+  SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 DAY THEN lag(seq) OVER w ELSE -1 END AS was FROM c WHERE seq < n_videos
+  WINDOW w AS (PARTITION BY session ORDER BY ts, event_id)) WHERE seq <> was""")
 def player_switches(spark, sf):
-    parsed = S.parse_player_events(player_lines(event_stream(spark, sf), 40)).where("path is not null")
-    # A playlist of thirty entries taken from the table's own first documents.
-    playlist = b.videos(spark, sf).where("seq < 30").select(
-        "seq", F.concat(F.lit("/list/"), F.col("seq").cast("string")).alias("path"))
-    return S.drain(S.player_switches(parsed.select("session", "ts", "event_id", "path"), playlist))
+    """Paths of the whole playlist, and a third as many that it does not have."""
+    playlist = b.videos(spark, sf).select("seq", F.concat(F.lit("/list/"), F.col("seq").cast("string")).alias("path"))
+    n = playlist.count()
+    parsed = S.parse_player_events(player_lines(event_stream(spark, sf), n + n // 3)).where("path is not null")
+    return S.drain(S.player_switches(parsed.select("session", "ts", "event_id", "path"), playlist, idle_ms=IDLE_MS))
 
 
 @query("incremental_ingest", "SELECT video_id, cue_no, start_ms, end_ms, line AS text, line FROM lines")

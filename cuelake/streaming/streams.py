@@ -2,7 +2,11 @@
 
 Each operator maps a streaming DataFrame to a streaming DataFrame and has a batch twin.  Rows of one
 key are put in time order inside a micro-batch; how many there can be is bounded by the source's
-admission limit (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).  Rows later than the watermark are dropped.
+admission limit (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
+
+Every stateful operator has a watermark: rows later than ``delay`` behind the newest are dropped and counted
+(``drained`` returns the counter).  A key that stays silent for ``idle_ms`` of event time is forgotten: a timer drops its
+state, and a row that comes after a longer silence finds none, in whichever micro-batch it comes.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, Str
 
 from cuelake import schemas
 from cuelake.operators.ordered import file_intervals
+from cuelake.operators.tasks import COLD_FLOOR, HEAT_KEEP
 from cuelake.operators.timeline import DRIFT_MS, STALL_MS, cue_spans
 from cuelake.session import checkpoint_root
 from cuelake.sources.srt import decode_text, srt_scan
@@ -30,8 +35,16 @@ def _struct(**fields) -> StructType:
     return StructType([StructField(n, kinds[k]) for n, k in fields.items()])
 
 
+DELAY, IDLE_MS = "10 minutes", 30 * 86_400_000  # how late a row may be; when a silent key is forgotten
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available now into Parquet under the shared folder; read it back.
+    """Run a stream over what is available now into Parquet under the shared folder; read it back."""
+    return drained(stream, mode)[0]
+
+
+def drained(stream: DataFrame, mode: str = "append") -> tuple[DataFrame, dict[str, int]]:
+    """As ``drain``, with figures: rows dropped as late, and rows of state held at the end.
 
     The number of state stores is fixed for the life of a stream: one per core.  The session gets its settings back.
     """
@@ -48,7 +61,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def _drain(stream: DataFrame, mode: str) -> DataFrame:
+def _drain(stream: DataFrame, mode: str) -> tuple[DataFrame, dict[str, int]]:
     spark = stream.sparkSession
     root = f"{checkpoint_root(spark)}/stream-{uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
@@ -60,7 +73,14 @@ def _drain(stream: DataFrame, mode: str) -> DataFrame:
             batch.write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
         query = writer.foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    return spark.read.schema(stream.schema).parquet(f"{root}/out"), figures(query)
+
+
+def figures(query) -> dict[str, int]:
+    """Late rows over the kept progress reports of a query, and the rows of state after the last one."""
+    reports = [[op for op in p["stateOperators"]] for p in query.recentProgress]
+    return {"n_late": sum(op["numRowsDroppedByWatermark"] for ops in reports for op in ops),
+            "n_state": sum(op["numRowsTotal"] for op in reports[-1]) if reports else 0}
 
 
 def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -83,58 +103,100 @@ class _Keyed(StatefulProcessor):
         pass
 
 
+class _Session(_Keyed):
+    """A fold over the rows of a key in time order; its state ends with the time of the last row.
+
+    ``step`` takes the state (None for a key that is new or was silent too long) and a row, and returns the new state
+    and the row to put out, or None.
+    """
+
+    columns: list[str]
+    reads: list[str]
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def arranged(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows
+
+    def step(self, state: tuple | None, row: tuple) -> tuple[tuple, tuple | None]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues):
+        rows, out = self.arranged(_in_order(rows, ["ts", "event_id"])), []
+        held = self.read()
+        state, at = (tuple(held[:-1]), held[-1]) if held is not None else (None, None)
+        for ms, *row in zip(rows["ms"], *[rows[c] for c in self.reads]):
+            ms = int(ms)
+            if at is not None and ms - at > self.idle_ms:
+                state = None
+            state, said = self.step(state, row)
+            at = ms if at is None else max(at, ms)
+            if said is not None:
+                out.append((*key, *said))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at + self.idle_ms)
+        self.state.update((*state, at))
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        yield pd.DataFrame([], columns=self.columns)
+
+
 def _keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, out: StructType, mode: str = "append",
            time: str = "none") -> DataFrame:
     return stream.groupBy(*keys).transformWithStateInPandas(processor, out, mode, time)
 
 
+def _timed(rows: DataFrame, delay: str, *columns) -> DataFrame:
+    return rows.withWatermark("ts", delay).select("ts", F.unix_millis("ts").alias("ms"), *columns)
+
+
 # ---- positions ----------------------------------------------------------------------------------
 
-class _Changes(_Keyed):
-    state_schema = _struct(video_id="long", cue_no="long")
+class _Changes(_Session):
+    state_schema = _struct(video_id="long", cue_no="long", at="long")
+    columns, reads = ["session", "event_id", "video_id", "cue_no"], ["event_id", "video_id", "cue_no"]
 
-    def handleInputRows(self, key, rows, timerValues):
-        rows = _in_order(rows, ["ts", "event_id"])
-        rows = rows.groupby(["ts", "event_id", "video_id"], sort=False, as_index=False)["cue_no"].max()
-        last, out = self.read(), []
-        for event, video, cue in zip(rows["event_id"], rows["video_id"], rows["cue_no"]):
-            cue = -1 if pd.isna(cue) else int(cue)
-            was = last[1] if last is not None and last[0] == video else -1
-            if cue != was:
-                out.append((key[0], int(event), int(video), cue))
-            last = (int(video), cue)
-        self.state.update(last)
-        yield pd.DataFrame(out, columns=["session", "event_id", "video_id", "cue_no"])
-
-
-def follow_stream(positions: DataFrame, cues: DataFrame) -> DataFrame:
+    def arranged(self, rows):
+        return rows.groupby(["ts", "ms", "event_id", "video_id"], sort=False, as_index=False)["cue_no"].max()
+
+    def step(self, state, row):
+        event, video, cue = row
+        cue = -1 if pd.isna(cue) else int(cue)
+        was = state[1] if state is not None and state[0] == video else -1
+        return (int(video), cue), (int(event), int(video), cue) if cue != was else None
+
+
+def follow_stream(positions: DataFrame, cues: DataFrame, delay: str = DELAY, idle_ms: int = IDLE_MS) -> DataFrame:
     """Active cue per session, a row per change; cue_no -1 means none."""
     spans = cue_spans(cues)
-    located = file_intervals(positions, spans, ["video_id"], "t_ms", "lo", "hi")
-    rows = located.select("session", "ts", "event_id", "video_id", F.col("cue_no").cast("bigint").alias("cue_no"))
-    return _keyed(rows, ["session"], _Changes(), _struct(session="long", event_id="long", video_id="long", cue_no="long"))
+    located = file_intervals(positions.withWatermark("ts", delay), spans, ["video_id"], "t_ms", "lo", "hi")
+    rows = located.select("session", "ts", F.unix_millis("ts").alias("ms"), "event_id", "video_id", F.col("cue_no").cast("bigint").alias("cue_no"))
+    return _keyed(rows, ["session"], _Changes(idle_ms), _struct(session="long", event_id="long", video_id="long", cue_no="long"), time="eventtime")
 
 
-class _Drift(_Keyed):
-    state_schema = _struct(video_id="long", t_ms="long")
+class _Drift(_Session):
+    state_schema = _struct(video_id="long", t_ms="long", at="long")
+    columns, reads = ["session", "event_id", "video_id", "t_ms"], ["event_id", "video_id", "t_ms"]
 
-    def __init__(self, epsilon_ms: int):
+    def __init__(self, idle_ms: int, epsilon_ms: int):
+        super().__init__(idle_ms)
         self.epsilon_ms = epsilon_ms
 
-    def handleInputRows(self, key, rows, timerValues):
-        rows, kept, out = _in_order(rows, ["ts", "event_id"]), self.read(), []
-        for event, video, t in zip(rows["event_id"], rows["video_id"], rows["t_ms"]):
-            if kept is None or kept[0] != video or abs(kept[1] - t) >= self.epsilon_ms:
-                kept = (int(video), int(t))
-                out.append((key[0], int(event), *kept))
-        self.state.update(kept)
-        yield pd.DataFrame(out, columns=["session", "event_id", "video_id", "t_ms"])
+    def step(self, state, row):
+        event, video, t = map(int, row)
+        if state is not None and state[0] == video and abs(state[1] - t) < self.epsilon_ms:
+            return state, None
+        return (video, t), (event, video, t)
 
 
-def drift_stream(positions: DataFrame, epsilon_ms: int = DRIFT_MS) -> DataFrame:
+def drift_stream(positions: DataFrame, epsilon_ms: int = DRIFT_MS, delay: str = DELAY, idle_ms: int = IDLE_MS) -> DataFrame:
     """Positions that moved at least ``epsilon_ms`` from the last kept one."""
-    rows = positions.select("session", "ts", "event_id", "video_id", "t_ms")
-    return _keyed(rows, ["session"], _Drift(epsilon_ms), _struct(session="long", event_id="long", video_id="long", t_ms="long"))
+    rows = _timed(positions, delay, "session", "event_id", "video_id", "t_ms")
+    return _keyed(rows, ["session"], _Drift(idle_ms, epsilon_ms), _struct(session="long", event_id="long", video_id="long", t_ms="long"), time="eventtime")
 
 
 class _Stall(_Keyed):
@@ -176,18 +238,13 @@ def stall_stream(events: DataFrame, silence_ms: int = STALL_MS, delay: str = "1
                   time="eventtime")
 
 
-class _Switch(_Keyed):
-    state_schema = _struct(seq="long")
+class _Switch(_Session):
+    state_schema = _struct(seq="long", at="long")
+    columns, reads = ["session", "event_id", "seq"], ["event_id", "seq"]
 
-    def handleInputRows(self, key, rows, timerValues):
-        rows, state, out = _in_order(rows, ["ts", "event_id"]), self.read(), []
-        at = state[0] if state is not None else None
-        for event, seq in zip(rows["event_id"], rows["seq"]):
-            if seq != at:
-                at = int(seq)
-                out.append((key[0], int(event), at))
-        self.state.update((at,))
-        yield pd.DataFrame(out, columns=["session", "event_id", "seq"])
+    def step(self, state, row):
+        event, seq = map(int, row)
+        return (seq,), (event, seq) if state is None or state[0] != seq else None
 
 
 def parse_player_events(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -204,14 +261,14 @@ def parse_player_events(lines: DataFrame, value: str = "value") -> DataFrame:
         F.when(on("path") & (kind == "STRING"), ev["data"]).alias("path"))
 
 
-def player_switches(events: DataFrame, playlist: DataFrame) -> DataFrame:
+def player_switches(events: DataFrame, playlist: DataFrame, delay: str = DELAY, idle_ms: int = IDLE_MS) -> DataFrame:
     """Path events that name another playlist entry; unknown paths and echoes are ignored.
 
     ``events`` is (session, ts, event_id, path), ``playlist`` (seq, path); of equal paths the first counts.
     """
     known = playlist.groupBy("path").agg(F.min("seq").alias("seq"))
-    rows = events.join(known, "path").select("session", "ts", "event_id", "seq")
-    return _keyed(rows, ["session"], _Switch(), _struct(session="long", event_id="long", seq="long"))
+    rows = _timed(events, delay, "session", "event_id", "path").join(known, "path").drop("path")
+    return _keyed(rows, ["session"], _Switch(idle_ms), _struct(session="long", event_id="long", seq="long"), time="eventtime")
 
 
 # ---- searches -----------------------------------------------------------------------------------
@@ -224,38 +281,78 @@ def debounced_pattern(searches: DataFrame, quiet: str = "300 milliseconds", dela
 
 
 class _Heat(_Keyed):
-    state_schema = _struct(heat="double", n="long")
+    state_schema = _struct(heat="double", n="long", at="long")
 
-    def __init__(self, keep: float):
-        self.keep = keep
+    def __init__(self, idle_ms: int, keep: float):
+        self.idle_ms, self.keep = idle_ms, keep
 
     def handleInputRows(self, key, rows, timerValues):
         rows, state = _in_order(rows, ["n"]), self.read()
-        heat, at = state if state is not None else (0.0, int(rows["n"].iloc[0]))
+        heat, at, last = state if state is not None else (0.0, int(rows["n"].iloc[0]), 0)
+        first = int(rows["ms"].min())
+        if state is not None and first - last > self.idle_ms:
+            heat = 0.0
         for n, add in zip(rows["n"], rows["add"]):
-            heat, at = heat * self.keep ** (int(n) - at) + float(add), int(n)
-        self.state.update((heat, at))
+            n = int(n)
+            # One that comes late has faded by now; what is there does not grow from it.
+            heat = heat * self.keep ** max(n - at, 0) + float(add) * self.keep ** max(at - n, 0)
+            at = max(at, n)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if heat < COLD_FLOOR:
+            heat = 0.0
+            self.state.clear()
+        else:
+            last = max(last, int(rows["ms"].max()))
+            self.handle.registerTimer(last + self.idle_ms)
+            self.state.update((heat, at, last))
         yield pd.DataFrame([(key[0], heat, at)], columns=["video_id", "heat", "n"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        yield pd.DataFrame([], columns=["video_id", "heat", "n"])
+
 
-def heat_stream(contributions: DataFrame, keep: float = 0.5) -> DataFrame:
-    """Interest per video as of its latest contribution (video_id, n, add); it fades by n when read."""
-    return _keyed(contributions.select("video_id", "n", "add"), ["video_id"], _Heat(keep),
-                  _struct(video_id="long", heat="double", n="long"), mode="update")
+def heat_stream(contributions: DataFrame, keep: float = HEAT_KEEP, delay: str = DELAY, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Interest per video as of its latest contribution (ts, video_id, n, add); it fades by n when read.
+
+    A contribution that comes out of order has faded by its distance.  A video whose heat falls below the floor is
+    cold: heat 0, and forgotten; so is one without a contribution for ``idle_ms``.
+    """
+    return _keyed(_timed(contributions, delay, "video_id", "n", "add"), ["video_id"], _Heat(idle_ms, keep),
+                  _struct(video_id="long", heat="double", n="long"), mode="update", time="eventtime")
 
 
 # ---- hits, replies, tasks -----------------------------------------------------------------------
 
-def first_seen_hits(hits: DataFrame, memory: str = "1 hour") -> DataFrame:
-    """A (video, time) hit once while it is remembered; an aborted one is not remembered."""
-    return (hits.where("not aborted").withWatermark("ts", memory)
-            .dropDuplicatesWithinWatermark(["video_id", "hit_ms"]).select("video_id", "hit_ms"))
+class _FirstSeen(_Session):
+    """Accepted or open; an abort opens again."""
+
+    state_schema = _struct(accepted="bool", at="long")
+    columns, reads = ["video_id", "hit_ms", "event_id"], ["event_id", "aborted"]
+
+    def step(self, state, row):
+        event, aborted = row
+        if aborted:
+            return (False,), None
+        return (True,), None if state is not None and state[0] else (int(event),)
+
+
+def first_seen_hits(hits: DataFrame, delay: str = DELAY, memory_ms: int = IDLE_MS) -> DataFrame:
+    """Acceptances (video_id, hit_ms, event_id): a (video, time) hit once, and again after each abort.
+
+    ``hits`` is (ts, event_id, video_id, hit_ms, aborted).  A hit is remembered while it keeps coming and for
+    ``memory_ms`` after that.
+    """
+    rows = _timed(hits, delay, "video_id", "hit_ms", "event_id", "aborted")
+    return _keyed(rows, ["video_id", "hit_ms"], _FirstSeen(memory_ms), _struct(video_id="long", hit_ms="long", event_id="long"), time="eventtime")
 
 
 def one_completion(replies: DataFrame, owed: DataFrame, memory: str = "1 hour") -> DataFrame:
-    """One outcome per accepted request of the current generation; ``owed`` is (task_id, epoch, target)."""
-    current = replies.join(owed, ["task_id", "epoch", "target"], "left_semi")
-    return current.withWatermark("ts", memory).dropDuplicatesWithinWatermark(["task_id"]).select("task_id", "epoch")
+    """One outcome per accepted request of the current generation; ``owed`` is (task_id, epoch, target), a row per request."""
+    request = ["task_id", "epoch", "target"]
+    current = replies.join(owed, request, "left_semi")
+    return current.withWatermark("ts", memory).dropDuplicatesWithinWatermark(request).select(*request)
 
 
 class _Tasks(_Keyed):
