@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 from cuelake.functions import patterns
-from cuelake.operators.ordered import ordinal, running_sum
+from cuelake.operators.ordered import RANGES, ordinal, running_sum
 from cuelake.session import cut
 
 REFERENCE = _REF = patterns.REFERENCE
@@ -267,12 +267,12 @@ def free_numbers(adopted: DataFrame, order: str, taken: DataFrame, stem: str, ti
     """
     used = taken.where(F.col("name").rlike(f"^{stem}[1-9][0-9]*$")).select(
         F.expr(f"cast(substring(name, {len(stem) + 1}) as bigint)").alias("n")).distinct()
-    used = ordinal(used, [], ["n"], "__j").select((F.col("n") - F.col("__j")).alias("__at"), F.lit(1).alias("__kind"),
+    used = ordinal(used, [], ["n"], "__j", RANGES).select((F.col("n") - F.col("__j")).alias("__at"), F.lit(1).alias("__kind"),
                                                   F.lit(1).cast("bigint").alias("__one"))
     names = [f"__tie{i}" for i in range(len(ties))]
-    ranked = ordinal(adopted.withColumns(dict(zip(names, ties))) if ties else adopted, [], [order, *names], "__k").drop(*names)
+    ranked = ordinal(adopted.withColumns(dict(zip(names, ties))) if ties else adopted, [], [order, *names], "__k", RANGES).drop(*names)
     marks = ranked.select(F.col("__k").alias("__at"), F.lit(0).alias("__kind"), F.lit(0).cast("bigint").alias("__one"))
-    counted = running_sum(marks.unionByName(used), [], ["__at", "__kind"], "__one", "__taken")
+    counted = running_sum(marks.unionByName(used), [], ["__at", "__kind"], "__one", "__taken", RANGES)
     numbers = counted.where("__kind = 0").select(F.col("__at").alias("__k"), "__taken")
     return (ranked.join(numbers, "__k")
             .withColumn("name", F.concat(F.lit(stem), (F.col("__k") + F.col("__taken")).cast("string")))
@@ -326,3 +326,9 @@ def extend(requests: DataFrame, topics: DataFrame, covered: DataFrame) -> DataFr
 def inner_pattern(pattern: pd.Series) -> pd.Series:
     """Pattern without its outer wrappers."""
     return pattern.map(lambda p: patterns.unwrap(p)[0])
+
+
+@F.pandas_udf(IntegerType())
+def capture_count(pattern: pd.Series) -> pd.Series:
+    """Number of capture groups, of catalogue patterns."""
+    return pattern.map(patterns.capture_count)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.operators import catalog
 from cuelake.operators.ordered import (
     block_of, carry_forward, interval_lookup, neighbours, ordinal, running_sum)
 from cuelake.session import cut
@@ -15,8 +16,6 @@ UNROLL_BYTES = 1 << 20
 # Size of one broadcast slice of a larger catalogue.
 SLICE_BYTES = 8 << 20
 
-ATTRIBUTED = 64  # groupings whose components are constants of one scan
-
 EVIDENCE_CAP = 500  # listing cap per video; counts are never capped
 
 
@@ -227,21 +226,29 @@ def step_video(videos: DataFrame) -> DataFrame:
 def attribute_components(hits: DataFrame, plan: DataFrame) -> DataFrame:
     """Components that fired in a hit line: (topic, video_id, cue_no, part), each once.
 
-    A component fired when its named group took part in any of the successive matches of the line.
-    Patterns and group ordinals are constants of the scan, a slice of the plan at a time.
+    A component fired when its group took part in any of the successive matches of the line, be it with nothing in it.
+    Hits meet the plan by topic; both sides may be of any size.
+    """
+    named = plan.where(F.size("parts") > 0).select(F.col("name").alias("topic"), "pattern", "parts", catalog.capture_count(F.col("pattern")).alias("n"))
+    named = named.withColumn("probe", participation("pattern", "parts"))
+    met = hits.select("topic", "video_id", "cue_no", "line").join(named, "topic")
+
+    def some(group: Column) -> Column:
+        return F.exists(F.regexp_extract_all("line", F.col("probe"), group), lambda x: x != "")
+
+    def fired(part: Column, i: Column) -> Column:
+        nothing = (F.col("line") == "") & F.rlike(F.col("line"), F.concat(F.lit("(?>"), "pattern", F.lit(")(?=\\"), part["group_idx"].cast("string"), F.lit(")")))
+        return some(part["group_idx"]) | some(F.col("n") + 2 * i + 1) | some(F.col("n") + 2 * i + 2) | nothing
+
+    return met.select("topic", "video_id", "cue_no", F.explode(F.array_distinct(F.transform(F.filter("parts", fired), lambda p: p["part"]))).alias("part"))
+
+
+def participation(pattern: str, parts: str) -> Column:
+    """The pattern with two groups more per part, one of which holds a character where the part took part with nothing.
+
+    A reference back to a group fails if the group took no part.  Behind the whole pattern (atomic, so that its matches
+    stay what they are) each part's reference is tried; if it holds, the character in front of it or behind it is noted.
+    Only an empty line has neither.
     """
-    rows = plan.where(F.size("parts") > 0).select("name", "pattern", "parts").orderBy("name").collect()
-    found = hits.select("topic", "video_id", "cue_no", F.lit("").alias("part")).where("false")
-    for begin in range(0, len(rows), ATTRIBUTED):
-        found = found.unionByName(_attributed(hits, rows[begin:begin + ATTRIBUTED]))
-    return found
-
-
-def _attributed(hits: DataFrame, rows: list) -> DataFrame:
-    fired = F.lit(None).cast("array<string>")
-    for r in rows:
-        took = [F.when(F.exists(F.regexp_extract_all("line", F.lit(r["pattern"]), F.lit(p["group_idx"])),
-                                lambda x: x != ""), F.lit(p["part"])) for p in r["parts"]]
-        fired = F.when(F.col("topic") == r["name"], F.array_distinct(F.array_compact(F.array(*took)))).otherwise(fired)
-    named = hits.where(F.col("topic").isin([r["name"] for r in rows]))
-    return named.select("topic", "video_id", "cue_no", F.explode(fired).alias("part"))
+    note = F.transform(parts, lambda p: F.concat(F.lit("(?:(?=\\"), p["group_idx"].cast("string"), F.lit(r")(?:(?<=((?s:.)))|(?=((?s:.))))|)")))
+    return F.concat(F.lit("(?>"), pattern, F.lit(")"), F.array_join(note, ""))

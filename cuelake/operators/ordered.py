@@ -3,6 +3,9 @@
 A plain ``partitionBy(key)`` window puts a whole key into one task.  The helpers here cut every
 key into blocks of its order column, work inside (key, block) and carry one summary row per block
 across the key, so a task sees at most one block of rows plus the summaries.
+
+Blocks are runs of a dense order column (``block_of``), or, where the order is of any kind, ranges of about equal
+numbers of rows (``RANGES``), however the rows are spread over keys and times.
 """
 
 from __future__ import annotations
@@ -14,16 +17,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows per block of a dense order column (cue numbers, playlist positions).
+from cuelake.session import cut
+
+# Rows per block of a dense order column (cue numbers, playlist positions), and per range.
 BLOCK = 1 << 16
+RANGES = "ranges"
 
 _BLK = "__blk"
+Blocks = Column | str | None  # a block number, RANGES, or blocks of the first order column
 
 
 def block_of(order: str, width: int = BLOCK) -> Column:
     return F.expr(f"cast(floor({order} / {width}) as bigint)")
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = BLOCK, out: str = _BLK) -> DataFrame:
+    """``df`` with the number of its range in (keys, order); ranges hold about ``rows`` rows each, and follow one another.
+
+    The bounds are sampled by Spark's range partitioning; the result is written, so that every reader sees the same ranges.
+    """
+    n = -(-df.count() // rows)
+    if n <= 1:
+        return df.withColumn(out, F.lit(0).cast("bigint"))
+    return cut(df.repartitionByRange(n, *keys, *order).withColumn(out, F.spark_partition_id().cast("bigint")))
+
+
+def _blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Blocks) -> DataFrame:
+    if isinstance(block, str):
+        return ranged(df, keys, order)
+    return df.withColumn(_BLK, block if block is not None else block_of(order[0]))
+
+
 def _within(keys: Sequence[str], order: Sequence[str]) -> Window:
     return Window.partitionBy(*keys, _BLK).orderBy(*order)
 
@@ -33,10 +57,10 @@ def _across(keys: Sequence[str]):
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | Column, out: str,
-                block: Column | None = None) -> DataFrame:
+                block: Blocks = None) -> DataFrame:
     """Inclusive running sum of ``value`` per key in ``order``."""
     value = F.col(value) if isinstance(value, str) else value
-    blocked = df.withColumn(_BLK, block if block is not None else block_of(order[0])).withColumn("__v", value)
+    blocked = _blocked(df, keys, order, block).withColumn("__v", value)
     sums = blocked.groupBy(*keys, _BLK).agg(F.sum("__v").alias("__s"))
     before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*keys, _BLK, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
@@ -49,17 +73,16 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
-            block: Column | None = None) -> DataFrame:
+            block: Blocks = None) -> DataFrame:
     """1-based position per key (over everything when ``keys`` is empty)."""
     return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, block)
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
                nxt: str | None = None, prev: str | None = None, first: str | None = None,
-               last: str | None = None, block: Column | None = None) -> DataFrame:
+               last: str | None = None, block: Blocks = None) -> DataFrame:
     """The next, previous, first and last ``value`` of each row's key."""
-    blocked = (df.withColumn(_BLK, block if block is not None else block_of(order[0]))
-               .withColumn("__v", F.struct(value.alias("v"))))
+    blocked = _blocked(df, keys, order, block).withColumn("__v", F.struct(value.alias("v")))
     at = F.struct(*order)
     edges = blocked.groupBy(*keys, _BLK).agg(
         F.min_by("__v", at).alias("__head"), F.max_by("__v", at).alias("__tail"))
@@ -83,9 +106,9 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 
 
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str],
-                  block: Column) -> DataFrame:
+                  block: Blocks) -> DataFrame:
     """Latest non-null value of each column up to and including the row: ``{source: output}``."""
-    blocked = df.withColumn(_BLK, block)
+    blocked = _blocked(df, keys, order, block)
     at = F.struct(*order)
     last = blocked.groupBy(*keys, _BLK).agg(*[
         F.max_by(src, F.when(F.col(src).isNotNull(), at)).alias(f"__l_{out}") for src, out in columns.items()])

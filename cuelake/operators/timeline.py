@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.operators.ordered import block_of, carry_forward, interval_lookup, neighbours, sorted_fold
+from cuelake.operators import drift
+from cuelake.operators.ordered import BLOCK, RANGES, block_of, carry_forward, interval_lookup, neighbours, ranged, sorted_fold
 
 # ---- fixed values -------------------------------------------------------------------------------
 STALL_MS = 6000          # silence after which a player counts as unresponsive
@@ -19,10 +20,6 @@ RECENT_FILES = 20
 # -------------------------------------------------------------------------------------------------
 
 
-def day_of(ts: str) -> Column:
-    return F.floor(F.unix_millis(ts) / 86_400_000).cast("bigint")
-
-
 def cue_spans(cues: DataFrame) -> DataFrame:
     """Stretches in which a cue is the active one: (video_id, cue_no, lo, hi), never overlapping.
 
@@ -44,14 +41,14 @@ def cue_at(points: DataFrame, cues: DataFrame, point: str = "t_ms") -> DataFrame
 def cue_changes(at: DataFrame, order: list[str] = ["ts", "event_id"]) -> DataFrame:
     """Rows whose active cue differs from the session's previous one; a new video starts without a cue."""
     seen = F.struct("video_id", F.coalesce("cue_no", F.lit(-1)).alias("cue"))
-    before = neighbours(at, ["session"], order, seen, prev="__p", block=day_of(order[0]))
+    before = neighbours(at, ["session"], order, seen, prev="__p", block=RANGES)
     was = F.when(F.col("__p.video_id") == F.col("video_id"), F.col("__p.cue")).otherwise(F.lit(-1))
     return before.where(F.coalesce("cue_no", F.lit(-1)) != was).drop("__p")
 
 
 def stall_gaps(events: DataFrame, silence_ms: int = STALL_MS) -> DataFrame:
     """Stretches without any event for at least ``silence_ms``, ended by the next event."""
-    n = neighbours(events, ["session"], ["ts", "event_id"], F.col("ts"), prev="stalled_from", block=day_of("ts"))
+    n = neighbours(events, ["session"], ["ts", "event_id"], F.col("ts"), prev="stalled_from", block=RANGES)
     gap = F.unix_millis("ts") - F.unix_millis("stalled_from")
     return n.where(gap >= silence_ms).select("session", "event_id", "stalled_from", F.col("ts").alias("answered_at"),
                                              gap.alias("silence_ms"))
@@ -59,22 +56,28 @@ def stall_gaps(events: DataFrame, silence_ms: int = STALL_MS) -> DataFrame:
 
 def facet_state(actions: DataFrame, facets: list[str] = ["video_id", "cursor", "pattern"]) -> DataFrame:
     """State after each step: every facet at its latest recorded value."""
-    return carry_forward(actions, ["session"], ["ts", "event_id"], {f: f"now_{f}" for f in facets}, day_of("ts"))
+    return carry_forward(actions, ["session"], ["ts", "event_id"], {f: f"now_{f}" for f in facets}, RANGES)
 
 
-def drift_breadcrumbs(positions: DataFrame, epsilon_ms: int = DRIFT_MS) -> DataFrame:
-    """Positions at least ``epsilon_ms`` away from the last kept one; a new video starts afresh."""
-    def step(state, rows):
-        out = []
-        for event, video, t in zip(rows["event_id"], rows["video_id"], rows["t_ms"]):
-            if state is None or state[0] != video or abs(state[1] - t) >= epsilon_ms:
-                state = (video, t)
-                out.append((event, video, t))
-        return state, out
+def drift_breadcrumbs(positions: DataFrame, epsilon_ms: int = DRIFT_MS, rows: int = BLOCK) -> DataFrame:
+    """Positions at least ``epsilon_ms`` away from the last kept one; a new video starts afresh.
 
-    return sorted_fold(positions.select("session", "ts", "event_id", "video_id", "t_ms"), ["session"],
-                       ["ts", "event_id"], lambda: None, step,
-                       "session BIGINT, event_id BIGINT, video_id BIGINT, t_ms BIGINT")
+    Every row has a successor: the first later row of its session that would be kept if it were.  A session that lies
+    over several ranges enters a range with a kept position of an earlier one.  Only one within ``epsilon_ms`` of the
+    range's first position matters, and positions are whole milliseconds, so a range is summed up by a bounded table:
+    from entering position to leaving position.  These tables are folded along the session, and each range then
+    follows its successors from where it is really entered.
+    """
+    held = ranged(positions.select("session", "ts", "event_id", "video_id", "t_ms"), ["session"], ["ts", "event_id"], rows, "block")
+    kept = "session bigint, event_id bigint, video_id bigint, t_ms bigint"
+    edge = ("session bigint, block bigint, first_video bigint, first_t bigint, end_video bigint, end_t bigint, "
+            "reach array<bigint>, ends array<struct<video_id: bigint, t_ms: bigint>>")
+    tables = held.groupBy("block").applyInArrow(lambda t: drift.edges(t, epsilon_ms), edge)
+    spans = tables.groupBy("session").agg(F.count("*").alias("n")).where("n > 1").select("session")
+    entries = sorted_fold(tables.join(spans, "session"), ["session"], ["block"], lambda: None,
+                          lambda state, run: drift.walk(state, run, epsilon_ms), "session BIGINT, block BIGINT, video_id BIGINT, t_ms BIGINT")
+    return held.groupBy("block").cogroup(entries.toDF("session", "at", "video_id", "t_ms").groupBy("at")).applyInArrow(
+        lambda t, e: drift.kept(t, e, epsilon_ms), kept)
 
 
 def failure_latch(outcomes: DataFrame, strikes: int = STRIKES) -> DataFrame:
@@ -85,7 +88,7 @@ def failure_latch(outcomes: DataFrame, strikes: int = STRIKES) -> DataFrame:
     rows = outcomes.where("outcome <> 'cancel'").select(
         "session", "ts", "event_id", (F.col("outcome") == "refused").alias("r0"))
     for i in range(1, strikes):
-        rows = neighbours(rows, ["session"], ["ts", "event_id"], F.col(f"r{i - 1}"), prev=f"r{i}", block=day_of("ts"))
+        rows = neighbours(rows, ["session"], ["ts", "event_id"], F.col(f"r{i - 1}"), prev=f"r{i}", block=RANGES)
     run = reduce(lambda a, c: a & c, [F.coalesce(f"r{i}", F.lit(False)) for i in range(strikes)])
     return rows.where(run).groupBy("session").agg(F.min("ts").alias("offline_at"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import base_name, sha_head
-from cuelake.operators.ordered import ordinal
+from cuelake.operators.ordered import RANGES, ordinal
 from cuelake.session import spread
 
 # A small literal catalogue: (seq, name, fragments).
@@ -57,7 +57,7 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 def videos(spark: SparkSession, sf: str) -> DataFrame:
     """The playlist: one entry per document; names collide and subtitles are shared on purpose."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    ranked = ordinal(docs, [], ["doc_id"], "pos")
+    ranked = ordinal(docs, [], ["doc_id"], "pos", RANGES)
     pair = F.expr("doc_id div 2")
     stem = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("Clip né ")).otherwise(F.lit("clip né ")),
                     pair.cast("string"))
@@ -116,10 +116,9 @@ def search_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """Frame vectors, one per second of a video (the vectors are brought to the 0..255 range)."""
-    from cuelake.operators.ordered import block_of
     e = ordinal(table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("video_id"),
                                                       "embedding"),
-                ["video_id"], ["vec_id"], "pos", block_of("vec_id"))
+                ["video_id"], ["vec_id"], "pos", RANGES)
     return e.select("video_id", ((F.col("pos") - 1) * 1000).alias("t_ms"),
                     F.transform("embedding", lambda x: F.round(x.cast("double") * 100).cast("int")).alias("px"))
 

@@ -230,3 +230,16 @@ def attribute_components(spark, sf):
     items = plan(spark)
     found = match.topic_scope(match.scan_hits(b.lines(spark, sf), items), b.video_topics(spark, sf))
     return match.attribute_components(found, items)
+
+
+# Two components that may take part with nothing in front of the letter that decides.
+EMPTY_PARTS = ("vowels", "(?<g0>o*)u|(?<g1>(?:e(e))*)nt|q", [("round", 1), ("even", 2)])
+
+
+@query("attribute_empty_components", """
+, m AS (SELECT video_id, cue_no, regexp_extract_all(line, 'o*u|(?:ee)*nt|q') AS found FROM lines)
+SELECT 'vowels' AS topic, video_id, cue_no, 'round' AS part FROM m WHERE len(list_filter(found, lambda x: suffix(x, 'u'))) > 0
+UNION ALL SELECT 'vowels', video_id, cue_no, 'even' FROM m WHERE len(list_filter(found, lambda x: suffix(x, 't'))) > 0""")
+def attribute_empty_components(spark, sf):
+    items = spark.createDataFrame([(0, *EMPTY_PARTS)], "seq INT, name STRING, pattern STRING, parts ARRAY<STRUCT<part: STRING, group_idx: INT>>")
+    return match.attribute_components(match.scan_hits(b.lines(spark, sf), items), items)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import sha_head
 from cuelake.operators import chunking, match, tasks as T
-from cuelake.operators.ordered import neighbours, running_sum
+from cuelake.operators.ordered import RANGES, neighbours, running_sum
 from cuelake.plans import bindings as b
 from cuelake.plans.matching import plan
 from cuelake.plans.oracle import EXCERPT, GRAPH, TIERS, TREE
@@ -202,10 +202,10 @@ h AS (SELECT video_id, 2.0 * m / sum(m) OVER (PARTITION BY pattern) * weight AS
 SELECT video_id, round(sum(h), 6) AS heat FROM h GROUP BY video_id HAVING sum(h) >= 1e-6""")
 def search_heat(spark, sf):
     acts = b.actions(spark, sf)
-    order, day = ["ts", "event_id"], F.floor(F.unix_millis("ts") / 86_400_000).cast("bigint")
-    searched = neighbours(acts.where("pattern is not null"), [], order, F.col("pattern"), prev="was", block=day)
+    order = ["ts", "event_id"]
+    searched = neighbours(acts.where("pattern is not null"), [], order, F.col("pattern"), prev="was", block=RANGES)
     changes = searched.where(~F.col("pattern").eqNullSafe(F.col("was"))).select("event_id", F.lit(1).alias("c"))
-    numbered = running_sum(acts.join(changes, "event_id", "left"), [], order, F.coalesce("c", F.lit(0)).cast("bigint"), "n", day)
+    numbered = running_sum(acts.join(changes, "event_id", "left"), [], order, F.coalesce("c", F.lit(0)).cast("bigint"), "n", RANGES)
     plan_ = spark.createDataFrame([(p, p) for p in b.SEARCHES], "name STRING, pattern STRING")
     hits = match.match_join(b.lines(spark, sf), plan_)
     counts = F.lit(0)
