@@ -232,17 +232,85 @@ def excerpt_text(hits: DataFrame, sections: DataFrame, videos: DataFrame) -> Dat
                                  lambda x: x["t"]), "").alias("excerpt"))
 
 
-def pair_overlap(scans: DataFrame, keys: DataFrame, fan: int = PAIR_FAN) -> DataFrame:
-    """Each scan with its best earlier partners by shared hit videos: (later, earlier, overlap, nth).
+RARE = 64  # scans that share a key of the first pass
+GROUP_LATER, GROUP_EARLIER, KEYS_AT_ONCE = 1 << 10, 1 << 14, 512  # of a cell of the second pass
 
-    ``scans`` is (seq, name), ``keys`` is (name, key).  The names under one key come from the
-    size-checked catalogue, so their pairs are counted inside the row and combined map-side; what is
-    shuffled is at most one count per pair of names and task.
+
+def pair_overlap(scans: DataFrame, keys: DataFrame, fan: int = PAIR_FAN, rare: int = RARE) -> DataFrame:
+    """Each scan with its best earlier partners by shared quoted subtitles: (later, earlier, overlap, nth).
+
+    ``scans`` is (seq, name, generated); generated ones neither look for partners nor are any.  ``keys`` is (name, key).
+    More shared keys come first, then the younger partner.
+
+    Keys of at most ``rare`` scans are paired; each pair's whole overlap is then the pairs it has plus what the scans share
+    of their frequent keys, listed per scan.  A partner that shares no rare key cannot have more than the scan's frequent
+    keys, so a scan whose ``fan`` partners all have more is done.  Only the others count their frequent keys against all
+    earlier scans, in cells of bounded size that keep ``fan`` per scan; no key of n scans makes n^2 rows.
     """
-    numbered = keys.join(scans.select("seq", "name"), "name").select("key", "seq").distinct()
-    together = numbered.groupBy("key").agg(F.array_sort(F.collect_set("seq")).alias("s")).where(F.size("s") > 1)
-    pairs = together.select(F.explode("s").alias("later"), "s").select(
+    live = scans.where("not generated").select("seq", "name")
+    held = cut(keys.join(live, "name").select("key", "seq").distinct())
+    sizes = held.groupBy("key").agg(F.count("*").alias("n"))
+    marked = held.join(sizes.where("n > 1"), "key")
+    frequent = cut(marked.where(F.col("n") > rare).groupBy("seq").agg(F.collect_list(F.xxhash64("key")).alias("often")))
+    sets = marked.where(F.col("n") <= rare).groupBy("key").agg(F.array_sort(F.collect_list("seq")).alias("s"))
+    pairs = sets.select(F.explode("s").alias("later"), "s").select(
         "later", F.explode(F.filter("s", lambda x: x < F.col("later"))).alias("earlier"))
-    counts = pairs.groupBy("later", "earlier").agg(F.count("*").alias("overlap"))
+    counted = pairs.groupBy("later", "earlier").agg(F.count("*").alias("n"))
+    often = lambda side: frequent.select(F.col("seq").alias(side), F.col("often").alias(f"of_{side}"))
+    shared = F.coalesce(F.size(F.array_intersect("of_later", "of_earlier")), F.lit(0))
+    near = counted.join(often("later"), "later", "left").join(often("earlier"), "earlier", "left").select(
+        "later", "earlier", (F.col("n") + F.when(F.col("of_later").isNull() | F.col("of_earlier").isNull(), 0).otherwise(shared)).alias("overlap"))
+    near = cut(_best(near, fan))
+    settled = near.where(F.col("nth") == fan).select(F.col("later").alias("seq"), F.col("overlap").alias("least"))
+    open_ = frequent.join(settled, "seq", "left").where("least is null or least <= size(often)").select("seq", "often")
+    far = _frequent_overlap(open_, frequent, fan)
+    return _best(near.drop("nth").unionByName(far).groupBy("later", "earlier").agg(F.max("overlap").alias("overlap")), fan)
+
+
+def _best(pairs: DataFrame, fan: int) -> DataFrame:
     rank = Window.partitionBy("later").orderBy(F.desc("overlap"), F.desc("earlier"))
-    return counts.withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= fan)
+    return pairs.withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= fan)
+
+
+def _frequent_overlap(later: DataFrame, earlier: DataFrame, fan: int) -> DataFrame:
+    """(later, earlier, overlap): of every cell of later and earlier scans, the ``fan`` that share most."""
+    n_later, n_earlier = later.count(), earlier.count()
+    over, along = -(-n_later // GROUP_LATER), -(-n_earlier // GROUP_EARLIER)
+    schema = "later bigint, earlier bigint, overlap bigint"
+    if not over or not along:
+        return later.sparkSession.createDataFrame([], schema)
+
+    def dealt(n: int):
+        return F.pmod(F.xxhash64("seq"), F.lit(n)).cast("int")
+
+    left = later.select(F.col("seq").cast("bigint").alias("seq"), "often", dealt(over).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(along - 1))).alias("b"))
+    right = earlier.select(F.col("seq").cast("bigint").alias("seq"), "often", F.explode(F.sequence(F.lit(0), F.lit(over - 1))).alias("a"), dealt(along).alias("b"))
+    right = right.toDF(*right.columns)
+
+    def cell(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if one.empty or other.empty:
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("later", "earlier", "overlap")})
+        mine, theirs = one.sort_values("seq"), other.sort_values("seq", ascending=False)
+        known = np.unique(np.concatenate(mine["often"].to_list()))
+        counts = np.zeros((len(mine), len(theirs)), dtype=np.float32)  # whole numbers below 2^24
+        for begin in range(0, len(known), KEYS_AT_ONCE):
+            part = known[begin:begin + KEYS_AT_ONCE]
+            counts += _incidence(mine["often"], part) @ _incidence(theirs["often"], part).T
+        x, y = mine["seq"].to_numpy(), theirs["seq"].to_numpy()
+        counts[y[None, :] >= x[:, None]] = 0
+        top = np.argsort(-counts, axis=1, kind="stable")[:, :fan]  # equal counts: the younger stands in front
+        row = np.repeat(np.arange(len(x)), top.shape[1])
+        found = counts[row, top.ravel()]
+        some = found > 0
+        return pd.DataFrame({"later": x[row][some], "earlier": y[top.ravel()][some], "overlap": found[some].astype(np.int64)})
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(cell, schema)
+
+
+def _incidence(lists: pd.Series, keys: np.ndarray) -> np.ndarray:
+    flat, sizes = np.concatenate(lists.to_list()), lists.map(len).to_numpy()
+    at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+    held = keys[at] == flat
+    out = np.zeros((len(lists), len(keys)), dtype=np.float32)
+    out[np.repeat(np.arange(len(lists)), sizes)[held], at[held]] = 1
+    return out

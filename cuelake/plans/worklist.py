@@ -7,8 +7,8 @@ from functools import cache
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import sha_head
-from cuelake.operators import chunking, match, tasks as T
-from cuelake.operators.ordered import RANGES, neighbours, running_sum
+from cuelake.operators import catalog, chunking, match, tasks as T
+from cuelake.operators.ordered import RANGES, neighbours, ordinal, running_sum
 from cuelake.plans import bindings as b
 from cuelake.plans.matching import plan
 from cuelake.plans.oracle import EXCERPT, GRAPH, TIERS, TREE
@@ -63,14 +63,33 @@ def excerpt_text(spark, sf):
     return out.select("topic", "n_sections", F.sha2("excerpt", 256).alias("excerpt_sha"))
 
 
-@query("pair_overlap", """
-, k AS (SELECT DISTINCT p.seq, h.video_id FROM hits h JOIN plan p ON p.name = h.topic),
-c AS (SELECT b.seq AS later, a.seq AS earlier, count(*) AS overlap FROM k a JOIN k b ON a.video_id = b.video_id AND a.seq < b.seq GROUP BY ALL)
+_PARTNERS = """
+c AS (SELECT b.seq AS later, a.seq AS earlier, count(*) AS overlap FROM k a JOIN k b ON a.srt_id = b.srt_id AND a.seq < b.seq GROUP BY ALL)
 SELECT later, earlier, overlap, CAST(nth AS INTEGER) AS nth FROM (
-  SELECT *, row_number() OVER (PARTITION BY later ORDER BY overlap DESC, earlier DESC) AS nth FROM c) WHERE nth <= 3""")
+  SELECT *, row_number() OVER (PARTITION BY later ORDER BY overlap DESC, earlier DESC) AS nth FROM c) WHERE nth <= 3"""
+
+
+@query("pair_overlap", EXCERPT.replace("BUDGET", "49152") + """
+, k AS (SELECT DISTINCT p.seq, s.srt_id FROM sections s JOIN plan p ON p.name = s.topic AND p.kind = 'main'),""" + _PARTNERS)
 def pair_overlap(spark, sf):
-    hits = match.scan_hits(b.lines(spark, sf), plan(spark))
-    return chunking.pair_overlap(plan(spark), hits.select(F.col("topic").alias("name"), F.col("video_id").alias("key")))
+    """Dives of the catalogue by the subtitles they quote; generated scans stay out."""
+    quoted = chunking.excerpt_sections(match.scan_hits(b.lines(spark, sf), plan(spark)), b.videos(spark, sf))
+    scans = catalog.machine_topics(plan(spark)).select("seq", "name", (F.col("role") != "main").alias("generated"))
+    return chunking.pair_overlap(scans, quoted.select(F.col("topic").alias("name"), F.col("srt_id").alias("key")))
+
+
+@query("pair_overlap_words", """
+, said AS (SELECT DISTINCT word AS name, srt_id FROM (SELECT video_id, unnest(regexp_extract_all(line, '[a-z]{2,3}')) AS word FROM lines WHERE cue_no % 4 = 0)
+           JOIN videos USING (video_id)),
+num AS (SELECT name, row_number() OVER (ORDER BY encode(name)) AS seq FROM (SELECT DISTINCT name FROM said)),
+k AS (SELECT seq, srt_id FROM said JOIN num USING (name) WHERE seq % 5 <> 3),""" + _PARTNERS)
+def pair_overlap_words(spark, sf):
+    """A scan per short word, many of them with thousands of subtitles in common; every fifth is generated."""
+    lines = b.lines(spark, sf).where("cue_no % 4 = 0")
+    words = lines.select("video_id", F.explode(F.regexp_extract_all("line", F.lit("[a-z]{2,3}"), F.lit(0))).alias("name"))
+    said = words.join(b.videos(spark, sf).select("video_id", "srt_id"), "video_id").select("name", F.col("srt_id").alias("key")).distinct()
+    scans = ordinal(said.select("name").distinct(), [], ["name"], "seq", RANGES)
+    return chunking.pair_overlap(scans.select("seq", "name", (F.col("seq") % 5 == 3).alias("generated")), said)
 
 
 @query("unique_sources", "SELECT srt_id AS id, min(seq) AS first_seq, row_number() OVER (ORDER BY min(seq)) - 1 AS pos "

@@ -98,3 +98,10 @@ def test_extend_and_cover(spark):
     incoming = spark.createDataFrame([(0, "(?i:b|x)"), (1, "(?i:b|z)"), (2, "none")], "seq INT, pattern STRING")
     got = {r.seq: r.owner for r in catalog.cover_of(incoming, catalog.expand_topics(t), "term").collect()}
     assert got == {0: "term1", 1: "term4"}
+
+
+@pytest.mark.parametrize(("text", "shown"), [
+    ("[abc]x", "[a-c]x"), ("[cab]", "[a-c]"), ("[ab]", "[ab]"), ("[a-cx]", "[a-cx]"), ("[-a]", "[\\-a]"), ("[+--]", "[+-\\-]"), ("[\\da]", "[a\\d]"), ("[^b-a]", "[^b-a]"),
+    ("[^ba]", "[^ab]"), ("[a\\]]", "[\\]a]"), ("[0-46-9]", "[0-46-9]"), ("[z-a]", "[z-a]"), ("[\\x41]", "[\\x41]"), ("x[[:alpha:]]y", "x[[:alpha:]]y")])
+def test_classes_are_shown_as_runs(text, shown):
+    assert P.branch_key(text, False) == shown
