@@ -3,7 +3,7 @@
 A tokenizer's pre-tokens never reach over certain places in a text, so the ids of a text are the ids of its pieces
 in order.  Word frequencies fall off steeply; each Python worker keeps the results of the pieces it has met, and only
 new pieces reach an encoder.  Which encoder that is makes the difference between the operators: the library as it
-is (`library_ids`), halves that are encoded apart and joined (`tree_encode`), or whole batches of pre-tokens merged
+is (`SpacedEncoder`), halves that are encoded apart and joined (`tree_encode`), or whole batches of pre-tokens merged
 in step (`merge_ranks`).
 """
 
@@ -91,7 +91,7 @@ def memo_for(name: str, path: str, fill: Callable[[], Callable[[list], list]]) -
 def forget() -> None:
     """Give the memory of all memos back; for tasks that only read."""
     for held in worker_cache().values():
-        if isinstance(held, Memo):
+        if hasattr(held, "clear") and not isinstance(held, dict):
             held.clear()
 
 
@@ -101,7 +101,7 @@ class Pieces:
     Plain texts are cut and numbered by Arrow; ``cut`` gives the pieces of any other text.
     """
 
-    def __init__(self, texts: pa.Array, unsure: str, split: Callable[[pa.Array], pa.ListArray], cut: Callable[[str], list], lead: Callable[[str], object] | None = None):
+    def __init__(self, texts: pa.Array, unsure: str, split: Callable[[pa.Array], pa.ListArray], cut: Callable[[str], list]):
         odd = pc.match_substring_regex(texts, unsure).to_numpy(zero_copy_only=False)
         lists = split(pc.if_else(pa.array(odd), "", texts))
         coded = lists.flatten().dictionary_encode()
@@ -112,10 +112,6 @@ class Pieces:
         def number(piece: object) -> int:
             return more.setdefault(piece, len(self.distinct) + len(more))
 
-        if lead is not None and len(numbers):  # the first piece of a text is of another kind
-            numbers = numbers.copy()
-            for i in (np.cumsum(counts) - counts)[counts > 0].tolist():
-                numbers[i] = number(lead(self.distinct[numbers[i]]))
         if odd.any():
             parts = np.split(numbers, np.cumsum(counts)[:-1])
             for i in np.flatnonzero(odd).tolist():
@@ -144,59 +140,149 @@ class Pieces:
 
 # Byte-level text with white space kept (byte_bpe)
 
+PIECES = 1_500_000  # pieces that a worker remembers, of about 40 bytes each
+LONGEST = 64  # bytes of a piece that is remembered
 
-class Lead(str):
-    """A piece without a blank before it."""
 
-    __slots__ = ()
+_OF_BYTE, _BASE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64), np.uint64(0x9E3779B97F4A7C15)
 
-    def __hash__(self) -> int:
-        return hash(("lead", str(self)))
 
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, Lead) and str.__eq__(self, other)
+_ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_MARK = np.array([b < 128 and not chr(b).isalnum() and b != 32 for b in range(256)])
 
 
-def spaced_pieces(texts: pa.Array) -> Pieces:
-    """Pieces at each blank, which goes to the piece after it (and is left out of its key).
+def _ends_letter(data: np.ndarray) -> np.ndarray:
+    """Bytes that end a letter of ASCII, or of U+00C0 to U+017F (all letters but the signs of multiplication and division)."""
+    out = _ASCII_LETTER[data]
+    lead, last = data[:-1], data[1:]
+    out[1:] |= (lead >= 0xC3) & (lead <= 0xC5) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+    return out
 
-    No byte-level pre-token reaches over such an edge if the blank stands alone.  Texts with any other
-    white space beside a blank, or with unsure characters, are one piece.
-    """
-    return Pieces(texts, UNSURE_SPACED, lambda t: pc.split_pattern(t, " "), lambda t: [Lead(t)], Lead)
 
+class SpacedEncoder:
+    """The tokenizers library over texts, with the ids of pieces met before kept in arrays.
 
-class LibraryEncoder:
-    """The tokenizers library over many short pieces: a hundred are encoded as one text.
+    A text is cut in front of each blank, and where a letter is followed by a mark or a line's end; no byte-level pre-token
+    reaches over the one edge if the blank stands alone, and over the other at all.
+    Pieces are told apart by two 64-bit hashes, made for all of a slice at once; the ids of a remembered piece are a
+    stretch of one array, so that a slice's ids are gathered without a loop.  Only new pieces reach the library, a
+    hundred as one text: a piece begins with its blank and ends in another character, so no pre-token reaches from one
+    into the next, and the ids are dealt back by the bytes that each token stands for.
 
-    A piece begins with its blank and ends in another character, so no pre-token reaches from one into the next; the
-    ids are dealt back to the pieces by the bytes that each token stands for.
+    Texts with other white space beside a blank, with unsure characters or special strings are encoded whole and not remembered, nor are
+    pieces of more than ``LONGEST`` bytes.  Beyond ``most`` pieces the half used longest ago is dropped.
     """
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer: Tokenizer, most: int = PIECES):
+        self.tokenizer, self.most = tokenizer, most
         vocab = tokenizer.get_vocab()
         self.length = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.length[i] = len(token)  # one character per byte
+        self.added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
 
-    def _ids(self, texts: list[str]) -> np.ndarray:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return np.fromiter((i for e in encoded for i in e.ids), dtype="<u4")
-
-    def __call__(self, pieces: list[str]) -> list[bytes]:
-        out: list = [None] * len(pieces)
-        at = [i for i, p in enumerate(pieces) if p and not isinstance(p, Lead) and not p[-1].isspace()]
-        texts = [" " + pieces[i] for i in at]
-        ids = self._ids(["".join(texts[i:i + RUN]) for i in range(0, len(texts), RUN)])
-        ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(t.encode()) for t in texts])) + 1
-        raw, begin = ids.tobytes(), 0
-        for i, end in zip(at, (4 * ends).tolist()):
-            out[i], begin = raw[begin:end], end
-        for i, piece in enumerate(pieces):
-            if out[i] is None:
-                out[i] = self._ids([piece if isinstance(piece, Lead) else " " + piece]).tobytes()
-        return out
+    def clear(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.sizes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.now = np.zeros(0, "<u4"), 0
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        return np.fromiter((i for ids in encoded for i in ids), "<u4", int(sizes.sum())), sizes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and how many each text has."""
+        odd = pc.match_substring_regex(texts, UNSURE_SPACED).to_numpy(zero_copy_only=False)
+        for special in self.added:
+            odd = odd | pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        ids, sizes = self._plain(texts.filter(pa.array(~odd)))
+        if not odd.any():
+            return ids, sizes
+        odd_ids, odd_sizes = self._library(texts.filter(pa.array(odd)).to_pylist())
+        all_sizes = np.zeros(len(texts), np.int64)
+        all_sizes[~odd], all_sizes[odd] = sizes, odd_sizes
+        out, is_odd = np.empty(len(ids) + len(odd_ids), "<u4"), np.repeat(odd, all_sizes)
+        out[~is_odd], out[is_odd] = ids, odd_ids
+        return out, all_sizes
+
+    @staticmethod
+    def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two sums over the bytes of each piece, the second over terms whose bits are mixed once more."""
+        powers = np.full(int(lengths.max()), _BASE, np.uint64)
+        powers[0] = 1
+        terms = _OF_BYTE[data]
+        terms *= np.cumprod(powers)[np.arange(len(data)) - np.repeat(starts, lengths)]
+        first = np.add.reduceat(terms, starts) + lengths.astype(np.uint64)
+        terms ^= terms >> np.uint64(29)
+        return first, np.add.reduceat(terms, starts)
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = texts.cast(pa.string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        raw = texts.buffers()[2].to_pybytes()[offsets[0]:offsets[-1]] if offsets[-1] > offsets[0] else b""
+        if not raw:
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(raw, np.uint8)
+        edges = offsets.astype(np.int64) - offsets[0]
+        at_edge = data == 32
+        at_edge[1:] |= _ends_letter(data)[:-1] & _MARK[data[1:]]
+        at_edge[edges[:-1][np.diff(edges) > 0]] = True
+        starts = np.flatnonzero(at_edge)
+        lengths = np.diff(np.append(starts, len(data)))
+        hashes, checks = self._hashes(data, starts, lengths)
+        keys, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        if (checks[first][number] != checks).any():  # two pieces of one hash: about never
+            return self._library(texts.to_pylist())
+        start, size, pool = self._known(raw, keys, checks[first], starts[first], lengths[first])
+        counts = size[number]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = pool[np.repeat(start[number] - upto[:-1], counts) + np.arange(int(upto[-1]))]
+        per_text = np.searchsorted(starts, edges)  # pieces in front of each text
+        return ids, np.diff(upto[per_text])
+
+    def _known(self, raw: bytes, keys: np.ndarray, checks: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each distinct piece stand in the returned pool; new pieces are encoded and remembered."""
+        self.now += 1
+        at = np.searchsorted(self.keys, keys)
+        near = np.minimum(at, max(len(self.keys) - 1, 0))
+        same = self.keys[near] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        hit = same & (self.checks[near] == checks) if len(self.keys) else same
+        self.used[near[hit]] = self.now
+        start, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        start[hit], size[hit] = self.starts[near[hit]], self.sizes[near[hit]]
+        new = np.flatnonzero(~hit)
+        ids, sizes = self._pieces([raw[b:b + n].decode() for b, n in zip(begin[new].tolist(), length[new].tolist())])
+        start[new], size[new] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+        pool = np.concatenate([self.ids, ids])
+        kept = new[(length[new] <= LONGEST) & ~same[new]]
+        self.ids = pool
+        for name, values in (("checks", checks), ("starts", start), ("sizes", size), ("used", np.full(len(keys), self.now)), ("keys", keys)):
+            setattr(self, name, np.insert(getattr(self, name), at[kept], values[kept]))
+        if len(self.keys) > self.most or len(self.ids) > 8 * self.most:
+            self._shrink()
+        return start, size, pool
+
+    def _shrink(self) -> None:
+        n = min(len(self.keys), self.most // 2)
+        stay = np.sort(np.argsort(-self.used, kind="stable")[:n])
+        self.keys, self.checks, self.starts, self.sizes, self.used = (x[stay] for x in (self.keys, self.checks, self.starts, self.sizes, self.used))
+        upto = np.cumsum(self.sizes)
+        self.ids = self.ids[np.repeat(self.starts - (upto - self.sizes), self.sizes) + np.arange(int(upto[-1]) if n else 0)]
+        self.starts = upto - self.sizes
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.array([len(p) > 1 and p[0] == " " and not p[-1].isspace() for p in pieces], dtype=bool)
+        runs = [p for p, ok in zip(pieces, plain.tolist()) if ok]
+        ids, _ = self._library(["".join(runs[i:i + RUN]) for i in range(0, len(runs), RUN)])
+        ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(p.encode()) for p in runs])) + 1 if runs else np.zeros(0, np.int64)
+        rest_ids, rest_sizes = self._library([p for p, ok in zip(pieces, plain.tolist()) if not ok])
+        sizes = np.zeros(len(pieces), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(np.append(0, ends)), rest_sizes
+        out, is_plain = np.empty(len(ids) + len(rest_ids), "<u4"), np.repeat(plain, sizes)
+        out[is_plain], out[~is_plain] = ids, rest_ids
+        return out, sizes
 
 
 def word_pieces(texts: pa.Array, words: WordBpe) -> Pieces:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm import bpe
-from cuelake.llm.common import bare, fresh_path, slices
+from cuelake.llm.common import bare, fresh_path, slices, worker_cache
 
 LIMIT = 2048  # tokens of a context
 END_ID = 0  # closes each document in a token file
@@ -117,10 +117,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         shard, offset = TaskContext.get().partitionId(), 0
-        memo = bpe.memo_for("library ids", tokenizer, lambda: bpe.LibraryEncoder(bpe.tokenizer_at(tokenizer)))
+        encoder = worker_cache().setdefault(("spaced", tokenizer), None) or bpe.SpacedEncoder(bpe.tokenizer_at(tokenizer))
+        worker_cache()["spaced", tokenizer] = encoder
         for batch in slices(batches, most_bytes=6 << 20):
-            pieces = bpe.spaced_pieces(batch.column("text"))
-            ids, sizes = pieces.joined(memo.get(pieces.distinct))
+            ids, sizes = encoder.encode(batch.column("text"))
             ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             ends = np.cumsum(sizes)
             values = pa.array(ids.astype(np.int32))
@@ -132,7 +132,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     rows = _texts(docs)
     shards = shards or max(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-    ordered = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    by_id = F.col("doc_id").asc_nulls_first()
+    ranges = rows.repartitionByRange(shards, by_id, F.substring("text", 1, 32))  # rows of one id, or without, fill several ranges
+    ordered = ranges.sortWithinPartitions(by_id, "text")
     ordered.mapInArrow(run, FILE_SCHEMA).write.options(**FILE_OPTIONS).parquet(f"{path}/tokens")
     per = read_token_files(spark, path, indexed=False).groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"))
     before = F.sum("n_tokens").over(_by_shard())

@@ -358,13 +358,26 @@ def test_any_text(texts):
     import pyarrow as pa
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     words = bpe.word_bpe(WORD)
-    for pieces, fill, path in ((bpe.word_pieces(pa.array(texts), words), words.filler(bpe.RankMerger(words), lambda ids: ids.tobytes(), b"".join), WORD),
-                               (bpe.spaced_pieces(pa.array(texts)), bpe.LibraryEncoder(bpe.tokenizer_at(BYTE)), BYTE)):
-        ids, sizes = pieces.joined(bpe.Memo(fill).get(pieces.distinct))
+    pieces = bpe.word_pieces(pa.array(texts), words)
+    for (ids, sizes), path in ((pieces.joined(bpe.Memo(words.filler(bpe.RankMerger(words), lambda ids: ids.tobytes(), b"".join)).get(pieces.distinct)), WORD),
+                               (bpe.SpacedEncoder(bpe.tokenizer_at(BYTE)).encode(pa.array(texts, pa.string())), BYTE)):
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [
             e.ids for e in bpe.tokenizer_at(path).encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("most", [10, 300, 1_500_000])
+def test_spaced_encoder_over_slices(most):
+    """Slice after slice, with pieces remembered, dropped and met again; sliced arrays, long and odd pieces."""
+    import pyarrow as pa
+    texts = odd_texts() + [prose(i, 60, 300) for i in range(60)] + [" lead", "", "a", " ", "trail ", "x" * 200 + " y " + "x" * 200, "Привет мир это текст"] * 3
+    r, encoder, tokenizer = random.Random(1), bpe.SpacedEncoder(bpe.tokenizer_at(BYTE), most), Tokenizer.from_file(BYTE)
+    for _ in range(12):
+        part = r.sample(texts, 70)
+        ids, sizes = encoder.encode(pa.array(["cut off", *part], pa.string()).slice(1))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert len(encoder.keys) <= max(most, 10) and (np.diff(encoder.keys.astype(object)) > 0).all()
+
+
 def library(path, table):
     return [e.ids for e in Tokenizer.from_file(path).encode_batch([r[1] or "" for r in table], add_special_tokens=False)]
 
