@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from cuelake.operators import export, match
 from cuelake.plans import bindings as b
 from cuelake.plans.matching import expanded, plan
 from cuelake.plans.registry import query
+from cuelake.session import checkpoint_root
 from cuelake.sources import sinks
 
 
@@ -95,15 +98,45 @@ def digest_export(spark, sf):
     return rows.select("digest", "seq", "video_id", "cue_no", "text")
 
 
-@query("provenance_lines", """
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'leaf ' WHEN 1 THEN 'node.' || (doc_id % 5) || ' ' ELSE 'dive ' END || left(sha256(text), 16)
-  || CASE WHEN doc_id % 3 = 2 THEN ' [' || lang || ']' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' (supportive)' END
-  || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' <- ' || lang || ' ' || source END AS line FROM documents""")
-def provenance_lines(spark, sf):
+def _journal_tasks(spark, sf):
     k = F.col("doc_id") % 3
-    tasks = b.table(spark, sf, "documents").select(
+    return b.table(spark, sf, "documents").select(
         "doc_id", F.when(k == 0, F.lit("leaf")).when(k == 1, F.lit("node")).otherwise(F.lit("dive")).alias("kind"),
         (F.col("doc_id") % 5).alias("tier"), F.substring(F.sha2("text", 256), 1, 16).alias("id"),
         F.when(k == 2, F.col("lang")).alias("note"), (F.col("doc_id") % 2 == 0).alias("exported"),
         F.when(k == 0, F.array().cast("array<string>")).otherwise(F.array("lang", "source")).alias("deps"))
-    return sinks.journal_line(tasks).select("doc_id", "line")
+
+
+_JOURNAL = """
+, j AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'leaf ' WHEN 1 THEN 'node.' || (doc_id % 5) || ' ' ELSE 'dive ' END || left(sha256(text), 16)
+  || CASE WHEN doc_id % 3 = 2 THEN ' [' || lang || ']' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' (supportive)' END
+  || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' <- ' || lang || ' ' || source END AS line FROM documents)
+"""
+
+
+@query("provenance_lines", _JOURNAL + "SELECT doc_id, line FROM j")
+def provenance_lines(spark, sf):
+    return sinks.journal_line(_journal_tasks(spark, sf)).select("doc_id", "line")
+
+
+@query("provenance_append", _JOURNAL + "SELECT CAST(doc_id % 3 + 1 AS INTEGER) AS run, line AS value FROM j")
+def provenance_append(spark, sf):
+    """Three runs append to one journal, the second one twice (a retry); read back."""
+    tasks, path = _journal_tasks(spark, sf), f"{checkpoint_root(spark)}/journal-{uuid4().hex}"
+    runs = [sinks.append_journal(tasks.where(F.col("doc_id") % 3 == k), path) for k in range(3)]
+    sinks.append_journal(tasks.where("doc_id % 3 = 1"), path, run=runs[1])
+    return sinks.read_journal(spark, path)
+
+
+@query("versioned_write", """
+SELECT version, lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents, (VALUES (1), (2), (3)) v(version)
+WHERE version = 1 OR doc_id % version = 0 GROUP BY ALL""")
+def versioned_write(spark, sf):
+    """Three versions, one claimed number without a version between them (a writer that died), as they lie there."""
+    docs, root = b.table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), f"{checkpoint_root(spark)}/versions-{uuid4().hex}"
+    numbers = [sinks.write_version(docs, root), sinks.write_version(docs.where("doc_id % 2 = 0"), root)]
+    sinks.claim(spark, root)
+    numbers.append(sinks.write_version(docs.where("doc_id % 3 = 0"), root))
+    place = F.array_position(F.array(*[F.lit(n) for n in numbers]), F.col("version")).cast("int")
+    return sinks.read_versions(spark, root, "doc_id BIGINT, lang STRING, n_chars BIGINT").groupBy(place.alias("version"), "lang").agg(
+        F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))

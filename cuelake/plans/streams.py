@@ -12,6 +12,7 @@ from cuelake.plans.registry import query
 from cuelake.plans.timeline import _CUE_AT
 from cuelake.plans.worklist import _EVENTS
 from cuelake.session import checkpoint_root
+from cuelake.sources import versions
 from cuelake.streaming import streams as S
 
 
@@ -188,3 +189,31 @@ def player_switches(spark, sf):
 def incremental_ingest(spark, sf):
     docs = spark.readStream.schema(schemas.DOCUMENTS).option("pathGlobFilter", "documents.parquet").parquet(sf)
     return S.drain(S.incremental_ingest(b.render_srt(docs.select(F.col("doc_id").alias("video_id"), "text"))))
+
+
+@query("ingest_versions", """
+, k AS (SELECT doc_id AS video_id, doc_id % 50 AS k, len(string_split(text, chr(10))) AS n FROM documents)
+SELECT video_id, CAST(n + CASE WHEN k = 7 THEN 1 ELSE 0 END AS BIGINT) AS n_cues, k = 9 AS waiting FROM k WHERE k <> 11
+UNION ALL SELECT video_id, 0, true FROM k WHERE k = 11""")
+def ingest_versions(spark, sf):
+    """Subtitle files, read twice: between the runs some are edited and some broken; some are broken from the start."""
+    root = f"{checkpoint_root(spark)}/ingest-{uuid4().hex}"
+    docs = b.table(spark, sf, "documents").select(F.col("doc_id").alias("video_id"), "text")
+    k = F.col("video_id") % 50
+
+    def put(rows, mode):
+        files = b.render_srt(rows, canonical=True).select("video_id", F.col("content").cast("string").alias("value"))
+        files = files.withColumn("value", F.when(F.col("video_id") % 50 == 11, F.lit("no cue in it")).otherwise(F.col("value")))
+        files.repartition("video_id").write.mode(mode).partitionBy("video_id").option("partitionOverwriteMode", "dynamic").text(f"{root}/in")
+
+    options = {"glob": "*.txt", "name": F.regexp_extract("path", "video_id=([0-9]+)", 1)}
+    put(docs, "append")
+    versions.ingest_changes(spark, f"{root}/in", f"{root}/lake", **options)
+    put(docs.where(k == 7).withColumn("text", F.concat("text", F.lit("\nan added line"))), "overwrite")
+    broken = docs.where(k == 9).select("video_id", F.lit("nothing to see").alias("value"))
+    broken.repartition("video_id").write.mode("overwrite").partitionBy("video_id").option("partitionOverwriteMode", "dynamic").text(f"{root}/in")
+    versions.ingest_changes(spark, f"{root}/in", f"{root}/lake", **options)
+    number = F.col("file.name").cast("bigint").alias("video_id")
+    cues = versions.ingested(spark, f"{root}/lake").groupBy(number).agg(F.count("*").alias("n_cues"))
+    waiting = versions.quarantined(spark, f"{root}/lake").select(number).distinct().withColumn("waiting", F.lit(True))
+    return cues.join(waiting, "video_id", "full").select("video_id", F.coalesce("n_cues", F.lit(0)).alias("n_cues"), F.coalesce("waiting", F.lit(False)).alias("waiting"))

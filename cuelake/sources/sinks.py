@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---- fixed values -------------------------------------------------------------------------------
@@ -20,11 +22,47 @@ def write_lines(rows: DataFrame, path: str, order: list[str], by: list[str] = []
     spread.select(*by, text).write.mode(mode).partitionBy(*by).text(path)
 
 
-def write_version(df: DataFrame, root: str, version: int, fmt: str = "parquet") -> str:
-    """A new version never overwrites an older one or the loaded source."""
-    target = f"{root}/version={version}"
-    df.write.mode("errorifexists").format(fmt).save(target)
-    return target
+def claim(spark: SparkSession, root: str, kind: str = "version") -> int:
+    """The next free number under ``root``, ours alone.
+
+    A folder with a token of ours inside is renamed to the number.  Renaming is one step; where the number is taken the
+    folder ends up elsewhere, or below it, and the token is not found in its place: the next number is tried.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    folder, token = place(f"{root}/_claims"), uuid4().hex
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    taken = [int(s.getPath().getName().rpartition("=")[2]) for s in fs.listStatus(folder) if s.getPath().getName().startswith(f"{kind}=")]
+    number = max(taken, default=0)
+    while True:
+        number += 1
+        ours, mark = place(folder, f"_{token}-{number}"), place(folder, f"{kind}={number}")
+        fs.mkdirs(ours)
+        fs.create(place(ours, token)).close()
+        fs.rename(ours, mark)
+        if fs.exists(place(mark, token)):
+            return number
+
+
+def write_version(df: DataFrame, root: str, version: int | None = None, fmt: str = "parquet") -> int:
+    """Write a new version, never over an older one, and return its number (the next free one, if none is given).
+
+    A version is there once its folder is complete; a writer that dies leaves a number without one.
+    """
+    number = claim(df.sparkSession, root) if version is None else version
+    df.write.mode("errorifexists").format(fmt).save(f"{root}/version={number}")
+    return number
+
+
+def read_versions(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """All complete versions, with their number as ``version``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")]
+    whole = [str(f) for f in folders if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    if not whole:
+        return spark.createDataFrame([], f"{schema}, version INT")
+    return spark.read.option("basePath", root).schema(f"{schema}, version INT").parquet(*whole)
 
 
 def next_version(versions: DataFrame) -> DataFrame:
@@ -43,8 +81,16 @@ def journal_line(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("line", line)
 
 
-def append_journal(tasks: DataFrame, path: str) -> None:
-    journal_line(tasks).select(F.col("line").alias("value")).write.mode("append").text(path)
+def append_journal(tasks: DataFrame, path: str, run: int | None = None) -> int:
+    """Append the lines of a run; a run that is written again (a retried job) replaces its own lines only."""
+    number = claim(tasks.sparkSession, path, "run") if run is None else run
+    journal_line(tasks).select(F.col("line").alias("value")).write.mode("overwrite").text(f"{path}/run={number}")
+    return number
+
+
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    """(value, run) of all runs."""
+    return spark.read.schema("value STRING, run INT").text(path)
 
 
 def snippet(time: Column, prev_line: Column, line: Column, next_line: Column) -> Column:
