@@ -11,7 +11,7 @@ from pyspark.sql.types import IntegerType, StringType
 
 from cuelake.functions import patterns
 from cuelake.operators.ordered import RANGES, ordinal, running_sum
-from cuelake.session import cut
+from cuelake.session import cut, cut_counted
 
 REFERENCE = _REF = patterns.REFERENCE
 _MARK = "\u0000"
@@ -36,12 +36,12 @@ def closure(edges: DataFrame, keys: list[str], src: str, dst: str) -> DataFrame:
     depth = 1
     while True:
         depth += 1
-        frontier = cut(
+        frontier, seen = cut_counted(
             frontier.select(*keys, "src", "dst").join(hop, [*keys, "dst"])
             .select(*keys, "src", F.col("__far").alias("dst")).distinct()
             .join(reach, [*keys, "src", "dst"], "left_anti")
             .withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        if not seen.n:
             break
         reach = reach.unionByName(frontier)
         if depth % 16 == 0:
@@ -75,8 +75,9 @@ def expand_topics(topics: DataFrame, scope: list[str] = []) -> DataFrame:
     tainted = bad_names.union(
         reach.join(bad_names.withColumnRenamed("name", "ref"), [*scope, "ref"], "left_semi")
         .select(*scope, "name")).distinct()
-    good = bodies.join(tainted, [*scope, "name"], "left_anti")
-    while not good.where(F.col("pattern").rlike(_REF)).isEmpty():
+    open_ = F.count_if(F.col("pattern").rlike(_REF)).alias("open")
+    good, seen = cut_counted(bodies.join(tainted, [*scope, "name"], "left_anti"), open_)
+    while seen.open:
         parts = good.select(*scope, "seq", "name", F.posexplode(_pieces(F.col("pattern"))).alias("pos", "piece"))
         target = good.select(*scope, F.col("name").alias("piece"), F.col("pattern").alias("__body"),
                              F.lit(1).alias("__odd"))
@@ -84,9 +85,9 @@ def expand_topics(topics: DataFrame, scope: list[str] = []) -> DataFrame:
             parts.withColumn("__odd", F.col("pos") % 2).join(target, [*scope, "piece", "__odd"], "left")
             .withColumn("text", F.when(F.col("__odd") == 1, F.concat(F.lit("(?:"), "__body", F.lit(")")))
                         .otherwise(F.col("piece"))))
-        good = cut(filled.groupBy(*scope, "seq", "name").agg(
+        good, seen = cut_counted(filled.groupBy(*scope, "seq", "name").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))),
-                                     lambda p: p["text"]), "").alias("pattern")))
+                                     lambda p: p["text"]), "").alias("pattern")), open_)
     lost = bodies.join(tainted, [*scope, "name"], "left_semi").withColumn("pattern", F.lit(None).cast("string"))
     return good.unionByName(lost)
 
@@ -228,36 +229,54 @@ def hygienic(pattern: Column) -> Column:
 def adopt_novel(incoming: DataFrame, covered: DataFrame) -> DataFrame:
     """Branches the catalogue lacks, first occurrence wins: (seq, pattern, rebuilt).
 
-    ``incoming`` is (seq, pattern) in adoption order.  A branch that was adopted covers exactly its
-    own key, so the sequential rule is a first-per-key aggregate, combined before the shuffle.
-    A rebuilt pattern that fails the hygiene rules is withdrawn and its branches fall to the next
-    pattern that offers them, until nothing is withdrawn.  What a later pattern is left with depends on
-    the fate of earlier ones, so of patterns that share branches, directly or over others, only the
-    first failing one is withdrawn at a time: the outcome is that of adopting one after the other.
+    ``incoming`` is (seq, pattern) in adoption order.  A branch that was adopted covers exactly its own key, so the
+    sequential rule is a first-per-key aggregate, combined before the shuffle.  A rebuilt pattern that fails the hygiene
+    rules is withdrawn, and its branches fall to the next pattern that offers them: the outcome is that of adopting one
+    after the other.
     """
     rows = pattern_branches(incoming.where(F.col("pattern") != ""), ["seq"])
-    fresh = cut(rows.join(covered.select("key"), "key", "left_anti"))
-    while True:
-        first = fresh.groupBy("key").agg(F.min(F.struct("seq", "branch_no", "text", "folds")).alias("b")).select("b.*")
-        rebuilt = _rebuild(first, ["seq"], "rebuilt")
-        refused = cut(rebuilt.where(~hygienic(F.col("rebuilt"))).select("seq"))
-        if refused.isEmpty():
-            return incoming.join(rebuilt, "seq")
-        earliest = refused.join(_sharing(fresh), "seq").groupBy("group").agg(F.min("seq").alias("seq"))
-        fresh = cut(fresh.join(earliest, "seq", "left_anti"))
-
-
-def _sharing(rows: DataFrame) -> DataFrame:
-    """(seq, group): patterns that share a key, directly or over others, have the same group (their smallest seq)."""
-    pairs = cut(rows.select("seq", "key").distinct())
-    groups, said = pairs.select("seq").distinct().withColumn("group", F.col("seq")), None
-    while True:
-        by_key = pairs.join(groups, "seq").groupBy("key").agg(F.min("group").alias("group"))
-        groups = cut(pairs.join(by_key, "key").groupBy("seq").agg(F.min("group").alias("group")))
-        total = groups.agg(F.sum(F.col("group").cast("decimal(38,0)"))).first()[0]
-        if total == said:
-            return groups
-        said = total
+    fresh = cut(rows.join(covered.select("key"), "key", "left_anti").groupBy("seq", "key", "folds").agg(
+        F.min(F.struct("branch_no", "text")).alias("b")).select("seq", "key", "folds", "b.*"))
+    lost = _withdrawn(fresh)
+    first = fresh.join(lost, "seq", "left_anti").groupBy("key").agg(F.min(F.struct("seq", "branch_no", "text", "folds")).alias("b")).select("b.*")
+    return incoming.join(_rebuild(first, ["seq"], "rebuilt"), "seq")
+
+
+def _withdrawn(rows: DataFrame) -> DataFrame:
+    """(seq): the patterns that fail when their turn comes.
+
+    A branch belongs to a pattern for certain once no earlier pattern that offers it can still be adopted, and cannot
+    belong to it once an earlier one is sure to be adopted.  In a round every pattern is decided whose branches are all
+    settled, or that will fail, or pass, whatever it is left with; rounds are as many as decisions really build on one
+    another, and each is one job.
+    """
+    text = F.col("text")
+    broken = text.rlike(r"[\r\n]") | text.rlike(_REF)  # fails wherever it stands
+    rows = rows.select("seq", "key", "branch_no", "text", "folds", broken.alias("broken"), (
+        broken | text.rlike(r"^[ \t]|[ \t\r]$|\\\{|:\}") | (text == "")).alias("risky"))
+    status = rows.groupBy("seq").agg(F.when(F.bool_or("risky"), F.lit("open")).otherwise(F.lit("kept")).alias("status"))
+    status, seen = cut_counted(status, F.count_if(F.col("status") == "open").alias("open"))
+    while seen.open:
+        live = rows.join(status.where("status <> 'lost'"), "seq")
+        owners = live.groupBy("key").agg(F.min("seq").alias("any"), F.min(F.when(F.col("status") == "kept", F.col("seq"))).alias("firm"))
+        mine = live.where("status = 'open'").join(owners, "key").where(F.col("firm").isNull() | (F.col("seq") < F.col("firm")))
+        mine = mine.withColumn("sure", F.col("any") == F.col("seq"))
+        part = F.struct("branch_no", "text", "sure", "folds")
+        judged = mine.groupBy("seq").agg(
+            F.bool_and("sure").alias("settled"), F.bool_or(F.col("sure") & F.col("broken")).alias("broken"), F.bool_or("risky").alias("risky"),
+            F.min(part).alias("head"), F.max(part).alias("tail"), F.array_sort(F.collect_list(part)).alias("parts"))
+        edge = ((F.col("head.sure") & F.col("head.text").rlike(r"^[ \t]") & ~F.col("head.folds"))
+                | (F.col("tail.sure") & F.col("tail.text").rlike(r"[ \t\r]$") & ~F.col("tail.folds")))
+        body = F.array_join(F.transform("parts", lambda p: p["text"]), "|")
+        whole = F.when(F.col("head.folds"), F.concat(F.lit("(?i:"), body, F.lit(")"))).otherwise(body)
+        verdict = (F.when(F.col("broken") | edge, F.lit("lost")).when(F.col("settled"), F.when(hygienic(whole), F.lit("kept")).otherwise(F.lit("lost")))
+                   .when(~F.col("risky"), F.lit("kept")))
+        judged = judged.select("seq", verdict.alias("now"), F.lit(True).alias("met"))
+        # An open pattern that is left without a branch is not there any more, and takes nothing from others.
+        status = status.join(judged, "seq", "left").select("seq", F.when(F.col("status") != "open", F.col("status")).when(
+            F.col("met").isNull(), F.lit("kept")).otherwise(F.coalesce("now", F.lit("open"))).alias("status"))
+        status, seen = cut_counted(status, F.count_if(F.col("status") == "open").alias("open"))
+    return status.where("status = 'lost'").select("seq")
 
 
 def free_numbers(adopted: DataFrame, order: str, taken: DataFrame, stem: str, ties: list[Column] = []) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import sha_head
 from cuelake.operators.ordered import ordinal, running_sum
-from cuelake.session import cut
+from cuelake.session import cut, cut_counted
 
 # ---- fixed values -------------------------------------------------------------------------------
 KIND_BASE = {"leaf": 3.0, "node": 2.0, "terms": 1.5, "dive": 1.0, "focus": 0.5, "probe": 0.45}
@@ -135,8 +135,10 @@ def task_states(events: DataFrame) -> DataFrame:
 
 
 def backlog(states: DataFrame) -> DataFrame:
+    """Per plan the open tasks, all tasks, and the tasks in each state."""
     open_ = F.col("state").isin("pending", "running")
-    return states.groupBy("plan").agg(F.count_if(open_).alias("backlog"), F.count("*").alias("n_tasks"))
+    by_state = [F.count_if(F.col("state") == s).alias(f"n_{s}") for s in ("pending", "running", "done", "parked")]
+    return states.groupBy("plan").agg(F.count_if(open_).alias("backlog"), F.count("*").alias("n_tasks"), *by_state)
 
 
 def ready_tasks(tasks: DataFrame, deps: DataFrame) -> DataFrame:
@@ -164,8 +166,8 @@ def inherited_score(tasks: DataFrame, deps: DataFrame, passes: int = LIFT_PASSES
     rising = scores
     for _ in range(passes):
         offers = edges.join(rising, "id").groupBy(F.col("dep").alias("id")).agg(F.max("eff").alias("offer"))
-        rising = cut(offers.join(scores, "id").where("offer > eff").select("id", F.col("offer").alias("eff")))
-        if rising.isEmpty():
+        rising, seen = cut_counted(offers.join(scores, "id").where("offer > eff").select("id", F.col("offer").alias("eff")))
+        if not seen.n:
             break
         raised = rising.withColumnRenamed("eff", "__up")
         scores = cut(scores.join(raised, "id", "left").select("id", F.coalesce("__up", "eff").alias("eff")))
@@ -208,27 +210,34 @@ def content_chain(tasks: DataFrame, deps: DataFrame, artifacts: DataFrame, hash_
     and pairs, the sections of one excerpt for dives.
     """
     facts = artifacts.select(F.col("plan_id").alias("id"), "bytes_hash")
-    leaves = tasks.where("kind = 'leaf'")
-    done = cut(leaves.where("witness is not null").select(
-        "id", hash_fn(F.concat(F.lit("leaf"), "witness")).alias("suffix")))
+    leaves = tasks.where("kind = 'leaf'").where("witness is not null").select("id", hash_fn(F.concat(F.lit("leaf"), "witness")).alias("suffix"))
     others = tasks.where("kind <> 'leaf'").select("id", "kind")
-    wanted = cut(deps.join(others, "id").select("id", "kind", "ord", "dep"))
-    counts = cut(wanted.groupBy("id").agg(F.count("*").alias("n")))
-    ready, met = done, None
     pair = F.col("kind").isin("focus", "probe")
     key = F.when(pair, F.col("dep")).otherwise(F.lpad(F.col("ord").cast("string"), 20, "0"))
-    while not ready.isEmpty():
-        # Each dependency meets its fingerprint once, in the round after it got one.
-        fresh = ready.join(facts, "id").select(F.col("id").alias("dep"), "suffix", "bytes_hash")
-        new = wanted.join(fresh, "dep").select("id", "kind", key.alias("k"), F.concat("suffix", "bytes_hash").alias("v"))
-        met = cut(new if met is None else met.unionByName(new))
-        whole = met.groupBy("id", "kind").agg(
-            F.count("*").alias("m"), F.array_sort(F.collect_list(F.struct("k", "v"))).alias("parts"))
-        whole = whole.join(counts, "id").where("m = n")
-        ready = cut(whole.select("id", hash_fn(F.concat("kind", "id", F.array_join(
-            F.transform("parts", lambda p: p["v"]), ""))).alias("suffix")))
-        done = done.unionByName(ready)
-        met = met.join(ready, "id", "left_anti")
+    wanted = deps.join(others, "id").select("id", "kind", "dep", key.alias("k"))
+    counts = wanted.groupBy("id").agg(F.count("*").alias("n"))
+    wanted = cut(wanted.join(counts, "id"))
+
+    def whole(met: DataFrame) -> DataFrame:
+        """Tasks that have met all their dependencies, with their fingerprints."""
+        grouped = met.groupBy("id", "kind", "n").agg(F.count("*").alias("m"), F.array_sort(F.collect_list(F.struct("k", "v"))).alias("parts"))
+        joined = F.array_join(F.transform("parts", lambda p: p["v"]), "")
+        return grouped.where("m = n").select("id", hash_fn(F.concat("kind", "id", joined)).alias("suffix"))
+
+    # A level is one job: what its tasks with a new fingerprint hand to their dependents.  Only dependents that were
+    # handed something are looked at again, with all that they have met.
+    ready, met, level = leaves, None, 0
+    while True:
+        fresh = ready.join(facts, "id").select(F.col("id").alias("dep"), F.concat("suffix", "bytes_hash").alias("v"))
+        new, seen = cut_counted(wanted.join(fresh, "dep").select("id", "kind", "n", "k", "v"))
+        if not seen.n:
+            break
+        level += 1
+        met = new if met is None else met.unionByName(new)
+        if level % 16 == 0:
+            met = cut(met)
+        ready = whole(met.join(new.select("id").distinct(), "id", "left_semi"))
+    done = leaves if met is None else leaves.unionByName(whole(met))
     return tasks.select("id", "kind").join(done, "id", "left")
 
 
@@ -264,17 +273,18 @@ def retention_sweep(placed: DataFrame, listing: DataFrame) -> DataFrame:
 def invalidate_descendants(changed: DataFrame, deps: DataFrame) -> DataFrame:
     """Tasks whose fingerprint moves when the given ids change: (id, depth)."""
     edges = cut(deps.select("id", "dep").distinct())
-    frontier = cut(changed.select("id").distinct().withColumn("depth", F.lit(0)))
-    reached = frontier
+    reached = frontier = cut(changed.select("id").distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while True:
         depth += 1
-        frontier = cut(edges.join(frontier.select(F.col("id").alias("dep")), "dep", "left_semi").select("id").distinct()
-                       .join(reached, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
+        frontier, seen = cut_counted(
+            edges.join(frontier.select(F.col("id").alias("dep")), "dep", "left_semi").select("id").distinct()
+            .join(reached, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        if not seen.n:
+            return reached
         reached = reached.unionByName(frontier)
-    return reached
+        if depth % 16 == 0:
+            reached = cut(reached)
 
 
 def locate_any(listing: DataFrame) -> DataFrame:

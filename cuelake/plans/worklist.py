@@ -161,7 +161,8 @@ def task_states(spark, sf):
 
 
 @query("backlog", _EVENTS + "SELECT plan, count(*) FILTER (WHERE state IN ('pending', 'running')) AS backlog, "
-                            "count(*) AS n_tasks FROM states GROUP BY plan")
+                            "count(*) AS n_tasks, " + ", ".join(f"count(*) FILTER (WHERE state = '{s}') AS n_{s}" for s in ("pending", "running", "done", "parked"))
+       + " FROM states GROUP BY plan")
 def backlog(spark, sf):
     return T.backlog(T.task_states(task_log(spark, sf)))
 

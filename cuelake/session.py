@@ -6,7 +6,8 @@ import sys
 import tempfile
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the operators rely on; anything the cluster already sets wins at submit time.
 DEFAULTS = {
@@ -56,6 +57,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame, *counts: Column) -> tuple[DataFrame, Row]:
+    """``cut``, with counts over the rows (their number as ``n`` if none is given) taken by the job that writes them."""
+    seen = Observation()
+    held = cut(df.observe(seen, *(counts or [F.count(F.lit(1)).alias("n")])))
+    return held, Row(**seen.get)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition an input that has fewer splits than the cluster has cores.
 

@@ -74,3 +74,51 @@ def test_every_slice_of_a_large_catalogue_is_matched(spark, monkeypatch):
     cues = spark.createDataFrame([(i, f"say word{i}; now") for i in range(60)], "cue_no int, line string")
     got = {(r.cue_no, r.name) for r in match.match_slices(cues, plan).collect()}
     assert got == {(i, f"term{i}") for i in range(60)}
+
+
+def rounds_of(monkeypatch, run):
+    """The result of ``run`` and how many loop levels were written."""
+    written, real = [], catalog.cut_counted
+    monkeypatch.setattr(catalog, "cut_counted", lambda *args: written.append(1) or real(*args))
+    return run(), len(written)
+
+
+def test_failing_patterns_of_one_branch_fall_together(spark, monkeypatch):
+    """Each has a line's end of its own and one common branch: none depends on another, all go in one round."""
+    rows = [(i, f"own{i}\nend|common") for i in range(40)] + [(99, "common|last")]
+    none = spark.createDataFrame([], "key string")
+    got, rounds = rounds_of(monkeypatch, lambda: {x.seq: x.rebuilt for x in catalog.adopt_novel(
+        spark.createDataFrame(rows, "seq long, pattern string"), none).collect()})
+    assert got == {99: "common|last"} and rounds <= 3
+
+
+def test_adoption_with_long_dependence(spark):
+    """Random patterns full of edge blanks, so that fates hang on one another."""
+    r, words = random.Random(4), [" a", "b ", "c", " d", "e ", "f", " g ", "h", "i", " j"]
+    rows = [(i, "|".join(r.sample(words, r.randint(1, 4)))) for i in range(60)]
+    got = {x.seq: x.rebuilt for x in catalog.adopt_novel(spark.createDataFrame(rows, "seq long, pattern string"), spark.createDataFrame([], "key string")).collect()}
+    assert got == walk(rows)
+
+
+def test_chain_with_dependencies_of_all_levels(spark):
+    """Against the plain recursion; some artifacts and witnesses are missing."""
+    import hashlib
+    r = random.Random(2)
+    kinds = ["leaf" if i < 20 else r.choice(["node", "focus", "dive"]) for i in range(140)]
+    deps = {i: r.sample(range(max(0, i - 40), i), 2 if kinds[i] != "dive" else r.randint(1, 5)) for i in range(140) if kinds[i] != "leaf"}
+    made = {i for i in range(140) if r.random() < 0.97}
+    name = lambda i: f"t{i:03}"
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()[:16]
+    want = {}
+    for i in range(140):
+        if kinds[i] == "leaf":
+            want[i] = None if i % 9 == 4 else sha("leaf" + f"w{i}")
+        elif all(want[d] and d in made for d in deps[i]):
+            order = sorted(deps[i]) if kinds[i] == "focus" else deps[i]
+            want[i] = sha(kinds[i] + name(i) + "".join(want[d] + f"b{d}" for d in order))
+        else:
+            want[i] = None
+    t = spark.createDataFrame([(name(i), kinds[i], None if kinds[i] != "leaf" or i % 9 == 4 else f"w{i}") for i in range(140)], "id string, kind string, witness string")
+    d = spark.createDataFrame([(name(i), o, name(x)) for i, xs in deps.items() for o, x in enumerate(xs)], "id string, ord int, dep string")
+    files = spark.createDataFrame([(name(i), f"b{i}") for i in made], "plan_id string, bytes_hash string")
+    assert {x.id: x.suffix for x in tasks.content_chain(t, d, files).collect()} == {name(i): s for i, s in want.items()}
