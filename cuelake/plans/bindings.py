@@ -79,12 +79,21 @@ def video_topics(spark: SparkSession, sf: str) -> DataFrame:
                        .otherwise(F.lit("article")).alias("topic"))
 
 
+@cache
+def n_documents(spark: SparkSession, sf: str) -> int:
+    return table(spark, sf, "documents").count()
+
+
 def positions(spark: SparkSession, sf: str) -> DataFrame:
-    """Playback positions: one per event; the position lies inside the first lines of a video."""
-    events = table(spark, sf, "events")
+    """Playback positions: one per event, each day of a session in another video."""
+    return positions_of(table(spark, sf, "events"), n_documents(spark, sf))
+
+
+def positions_of(events: DataFrame, n: int) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
     return events.select(
         F.col("event_id"), F.col("user_id").alias("session"),
-        (F.col("user_id") % 100).alias("video_id"), F.col("ts").cast("timestamp").alias("ts"),
+        ((F.col("user_id") * 13 + F.floor(F.unix_micros(ts) / 86_400_000_000)) % n).alias("video_id"), ts.alias("ts"),
         F.floor(F.col("value") * 100).cast("bigint").alias("t_ms"))
 
 
@@ -96,7 +105,7 @@ def actions(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
         F.when(kind == "error", F.lit("undo")).when(kind == "purchase", F.lit("redo"))
         .otherwise(F.lit("act")).alias("op"),
-        F.when(kind == "view", F.col("event_id") % 100).alias("video_id"),
+        F.when(kind == "view", F.col("event_id") % n_documents(spark, sf)).alias("video_id"),
         F.when(kind == "click", F.floor(F.col("value") * 10).cast("bigint")).alias("cursor"),
         F.when(kind == "signup", F.get(F.array(*[F.lit(p) for p in SEARCHES]), (F.col("event_id") % len(SEARCHES))
                                        .cast("int"))).alias("pattern"))
@@ -183,11 +192,12 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Three words of each document's first line."""
-    words = F.regexp_extract_all(F.substring_index("text", "\n", 1), F.lit("[a-z]+"), F.lit(0))
-    pick = lambda i, other: F.coalesce(F.get(words, F.lit(i)), F.lit(other))
-    return table(spark, sf, "documents").select(
-        "doc_id", pick(0, "xx").alias("w1"), pick(1, "yy").alias("w2"), pick(2, "zz").alias("w3"))
+    """The first, the middle and the last word of each whole text."""
+    words = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
+    docs = table(spark, sf, "documents").select("doc_id", words.alias("w"))
+    pick = lambda i, other: F.coalesce(F.get("w", i), F.lit(other))
+    return docs.select("doc_id", pick(F.lit(0), "xx").alias("w1"), pick(F.expr("cast(size(w) div 2 as int)"), "yy").alias("w2"),
+                       pick(F.size("w") - 1, "zz").alias("w3"))
 
 
 def doc_patterns(spark: SparkSession, sf: str) -> DataFrame:

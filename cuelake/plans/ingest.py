@@ -177,12 +177,12 @@ def resolve_paths(spark, sf):
 @query("line_to_time", """
 SELECT event_id AS request_id, video_id, greatest(CASE WHEN top < 2 THEN 0
          ELSE least((top - 2) // 4, n - 1) * 3000 END - 500, 0)::BIGINT AS seek_ms
-FROM (SELECT event_id, event_id % 100 AS video_id,
-             CAST(floor(value) AS BIGINT) % 60 + CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS top FROM events) e
+FROM (SELECT event_id, event_id % n AS video_id,
+             CAST(floor(value) AS BIGINT) % 60 + CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS top FROM events, n_docs) e
 JOIN (SELECT video_id, count(*) AS n FROM lines GROUP BY video_id) l USING (video_id)""")
 def line_to_time(spark, sf):
     requests = b.table(spark, sf, "events").select(
-        F.col("event_id").alias("request_id"), (F.col("event_id") % 100).alias("video_id"),
+        F.col("event_id").alias("request_id"), (F.col("event_id") % b.n_documents(spark, sf)).alias("video_id"),
         (F.floor("value") % 60).alias("top"), (F.col("event_id") % 2 == 0).alias("zero_based"),
         F.lit(500).alias("preroll_ms"))
     return media.line_to_time(requests, srt.line_times(srt.decode_text(b.srt_files(spark, sf, canonical=True))))

@@ -182,8 +182,8 @@ def next_hit(spark, sf):
 
 
 @query("landing_hit", """
-, anchors AS (SELECT event_id AS anchor_id, event_id % 100 AS video_id, CAST(floor(value) % 40 AS INTEGER) AS anchor_cue
-              FROM events),
+, anchors AS (SELECT event_id AS anchor_id, event_id % n AS video_id, CAST(floor(value) % 40 AS INTEGER) AS anchor_cue
+              FROM events, n_docs),
 h AS (SELECT video_id, CAST(cue_no AS BIGINT) AS hit FROM hits WHERE topic = 'article')
 SELECT anchor_id, a.video_id, anchor_cue,
        coalesce((SELECT min(hit) FROM h WHERE h.video_id = a.video_id AND hit >= anchor_cue),
@@ -193,7 +193,7 @@ SELECT anchor_id, a.video_id, anchor_cue,
 FROM anchors a""")
 def landing_hit(spark, sf):
     anchors = b.table(spark, sf, "events").select(
-        F.col("event_id").alias("anchor_id"), (F.col("event_id") % 100).alias("video_id"),
+        F.col("event_id").alias("anchor_id"), (F.col("event_id") % b.n_documents(spark, sf)).alias("video_id"),
         (F.floor("value") % 40).cast("int").alias("anchor_cue"))
     return match.landing_hit(anchors, hits(spark, sf).where("topic = 'article'"))
 

@@ -40,21 +40,22 @@ hits AS (
 scoped AS (
   SELECT h.* FROM hits h LEFT JOIN video_topics s ON s.video_id = h.video_id
   WHERE s.video_id IS NULL OR s.topic = h.topic),
+n_docs AS (SELECT count(*) AS n FROM documents),
 positions AS (
-  SELECT event_id, user_id AS session, user_id % 100 AS video_id, ts,
+  SELECT event_id, user_id AS session, (user_id * 13 + epoch_us(ts) // 86400000000) % n AS video_id, ts,
          CAST(floor(value * 100) AS BIGINT) AS t_ms
-  FROM events),
+  FROM events, n_docs),
 actions AS (
   SELECT user_id AS session, ts, event_id,
          CASE event_type WHEN 'error' THEN 'undo' WHEN 'purchase' THEN 'redo' ELSE 'act' END AS op,
-         CASE WHEN event_type = 'view' THEN event_id % 100 END AS video_id,
+         CASE WHEN event_type = 'view' THEN event_id % n END AS video_id,
          CASE WHEN event_type = 'click' THEN CAST(floor(value * 10) AS BIGINT) END AS cursor,
          CASE WHEN event_type = 'signup' THEN ({_SEARCHES})[event_id % {len(SEARCHES)} + 1] END AS pattern
-  FROM events),
+  FROM events, n_docs),
 search_log AS (SELECT event_id, ts, session, pattern FROM actions WHERE pattern IS NOT NULL),
 words AS (
-  SELECT doc_id, coalesce(w[1], 'xx') AS w1, coalesce(w[2], 'yy') AS w2, coalesce(w[3], 'zz') AS w3
-  FROM (SELECT doc_id, regexp_extract_all(split_part(text, chr(10), 1), '[a-z]+') AS w FROM documents)),
+  SELECT doc_id, coalesce(w[1], 'xx') AS w1, coalesce(w[len(w) // 2 + 1], 'yy') AS w2, coalesce(w[len(w)], 'zz') AS w3
+  FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]+') AS w FROM documents)),
 patterns AS (
   SELECT doc_id AS seq, w1, w2, w3, CASE doc_id % 4 WHEN 0 THEN w1 || '|' || w2
          WHEN 1 THEN '(?i:' || upper(w1[1]) || w1[2:] || '|' || w3 || ')'

@@ -27,13 +27,7 @@ def event_stream(spark, sf):
 
 
 def position_stream(spark, sf):
-    return _positions(event_stream(spark, sf))
-
-
-def _positions(events):
-    return events.select(
-        "event_id", F.col("user_id").alias("session"), (F.col("user_id") % 100).alias("video_id"), "ts",
-        F.floor(F.col("value") * 100).cast("bigint").alias("t_ms"))
+    return b.positions_of(event_stream(spark, sf), b.n_documents(spark, sf))
 
 
 @query("follow_stream", _CUE_AT + """
@@ -71,7 +65,7 @@ def late_positions(spark, sf):
     for part in (~k.isin(5, 6), k == 6, k == 5):
         events.where(part).coalesce(1).write.mode("append").parquet(root)  # one file a micro-batch
     raw = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", 1).parquet(root).withColumn("ts", F.col("ts").cast("timestamp"))
-    said = S.drained(S.drift_stream(_positions(raw), delay="1 day", idle_ms=IDLE_MS))[1]
+    said = S.drained(S.drift_stream(b.positions_of(raw, b.n_documents(spark, sf)), delay="1 day", idle_ms=IDLE_MS))[1]
     return spark.createDataFrame([(said["n_late"], said["n_state"])], "n_late bigint, n_held bigint")
 
 
@@ -102,12 +96,12 @@ def debounced_pattern(spark, sf):
 
 
 @query("heat_stream", """
-, c AS (SELECT event_id % 100 AS video_id, event_id // 500 AS n FROM events WHERE event_type = 'view'),
+, c AS (SELECT event_id % n AS video_id, event_id // 500 AS n FROM events, n_docs WHERE event_type = 'view'),
 m AS (SELECT video_id, max(n) AS last FROM c GROUP BY video_id)
 SELECT video_id, round(sum(0.5 * pow(0.5, CAST(last - n AS DOUBLE))), 6) AS heat, last AS n FROM c JOIN m USING (video_id) GROUP BY video_id, last""")
 def heat_stream(spark, sf):
     opens = event_stream(spark, sf).where("event_type = 'view'").select(
-        "ts", (F.col("event_id") % 100).alias("video_id"), F.expr("event_id div 500").alias("n"), F.lit(0.5).alias("add"))
+        "ts", (F.col("event_id") % b.n_documents(spark, sf)).alias("video_id"), F.expr("event_id div 500").alias("n"), F.lit(0.5).alias("add"))
     out = S.drain(S.heat_stream(opens), "update")
     last = out.groupBy("video_id").agg(F.max(F.struct("n", "heat")).alias("l"))
     return last.select("video_id", F.round("l.heat", 6).alias("heat"), "l.n")

@@ -23,7 +23,8 @@ def cue_at(spark, sf):
 
 @query("cue_changes", _CUE_AT + """
 SELECT session, event_id, cue_no FROM (
-  SELECT *, lag(coalesce(cue_no, -1), 1, -1) OVER (PARTITION BY session ORDER BY ts, event_id) AS was FROM located)
+  SELECT *, CASE WHEN lag(video_id) OVER w = video_id THEN lag(coalesce(cue_no, -1)) OVER w ELSE -1 END AS was FROM located
+  WINDOW w AS (PARTITION BY session ORDER BY ts, event_id))
 WHERE coalesce(cue_no, -1) <> was""")
 def cue_changes(spark, sf):
     at = tl.cue_at(b.positions(spark, sf), b.overlap(spark, sf))
@@ -52,9 +53,8 @@ DRIFT_SQL = """
 fold AS (
   SELECT session, event_id, video_id, t_ms, rn, t_ms AS kept, true AS keep FROM r WHERE rn = 1
   UNION ALL
-  SELECT r.session, r.event_id, r.video_id, r.t_ms, r.rn,
-         CASE WHEN abs(f.kept - r.t_ms) >= 500 THEN r.t_ms ELSE f.kept END, abs(f.kept - r.t_ms) >= 500
-  FROM fold f JOIN r ON r.session = f.session AND r.rn = f.rn + 1)
+  SELECT session, event_id, video_id, t_ms, rn, CASE WHEN keep THEN t_ms ELSE kept END, keep
+  FROM (SELECT r.*, f.kept, f.video_id <> r.video_id OR abs(f.kept - r.t_ms) >= 500 AS keep FROM fold f JOIN r ON r.session = f.session AND r.rn = f.rn + 1))
 SELECT session, event_id, video_id, t_ms FROM fold WHERE keep"""
 
 
