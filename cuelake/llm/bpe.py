@@ -88,13 +88,6 @@ def memo_for(name: str, path: str, fill: Callable[[], Callable[[list], list]]) -
     return cache[name, path]
 
 
-def forget() -> None:
-    """Give the memory of all memos back; for tasks that only read."""
-    for held in worker_cache().values():
-        if hasattr(held, "clear") and not isinstance(held, dict):
-            held.clear()
-
-
 class Pieces:
     """The pieces of some texts as numbers into a list of distinct pieces, and where each text begins.
 

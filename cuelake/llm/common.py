@@ -59,6 +59,13 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_cuelake_llm_cache", {})
 
 
+def forget() -> None:
+    """Give the memory of all memos back; for tasks of other operators that run in the same workers."""
+    for held in worker_cache().values():
+        if hasattr(held, "clear") and not isinstance(held, dict):
+            held.clear()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows whose texts add up to ``most_bytes`` at most (or one longer text)."""
     for batch in batches:

@@ -7,20 +7,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import bare, hashed_part, slices, stored
+from cuelake.llm.common import bare, forget, hashed_part, slices, stored
 from cuelake.llm.linear import Ftrl, Rates, bounded_sample, softmax
 
 DIMS = 1 << 15  # hashed n-grams of one to three letters, a word's edges counting as letters
 TRAIN_ROWS = 6_000  # documents that a model is fitted and calibrated on, at most
+LANGUAGE_ROWS = 100  # of each language at least, beside them
 CALIBRATION = 5  # every so many-th of them sets the temperature instead
 EPOCHS = 3
 RATES = Rates(alpha=0.5, beta=1.0, l1=0.05, l2=0.01)
 HELD_OUT = 2
 UNDETERMINED = "und"
 
+_LETTER = regex.compile(r"\p{L}")
 _BETWEEN = regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -58,6 +60,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     one array of ``DIMS`` numbers.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen = np.zeros(DIMS, dtype=np.int64)
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
@@ -114,14 +117,19 @@ class Model:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS, rates: Rates = RATES) -> Model:
-    """Fit on at most ``rows`` documents outside the held-out part; document frequencies come from all of them.
+    """Fit on at most ``rows`` documents outside the held-out part, and ``LANGUAGE_ROWS`` of each language, so that no
+    language is left out; document frequencies come from all of them.
 
     The sample's texts are read whole and pass through one task in a fixed order; four of five update the model, the
     fifth sets the temperature.  The model holds ``DIMS`` weights per language.
     """
     allowed = learnable(docs)
     idf = inverse_frequencies(document_frequencies(allowed))
-    chosen = bounded_sample(allowed.dropDuplicates(["doc_id"]).select("doc_id", "lang"), [F.col("lang")], rows, "language-sample")
+    said = allowed.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    common = bounded_sample(said, [F.col("lang")], rows, "language-sample")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # Spark limits it before the shuffle, too
+    rare = said.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= LANGUAGE_ROWS).select("doc_id", "lang")
+    chosen = stored(common.unionByName(rare).distinct(), "language-sample")
     languages = sorted(r[0] for r in chosen.select("lang").distinct().collect())  # of the bounded sample
     if not languages:
         return Model([], idf, np.zeros((DIMS, 0)), 1.0)
@@ -161,7 +169,7 @@ def _judge(texts: list[str | None], model: tuple) -> tuple[list[str], list[float
     names, scores = [], []
     for text in texts:
         at, x = weighted(text or "", idf)
-        if len(at) < 2 or not languages:
+        if len(at) < 2 or not languages or not _LETTER.search(text):
             names.append(UNDETERMINED)
             scores.append(0.0)
             continue
@@ -181,6 +189,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             names, scores = _judge(batch.column("text").to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
@@ -192,13 +201,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The documents, all columns, whose language can be told with a score of ``least`` or more."""
-    shared = _shared(docs, model)
+    """The documents, all columns, whose language can be told with a score of ``least`` or more.
+
+    Where nothing may be learned from, those with a letter.
+    """
+    shared, model_known = _shared(docs, model), bool(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
-            names, scores = _judge(batch.column("text").to_pylist(), shared.value)
-            yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores)], pa.bool_()))
+            texts = batch.column("text").to_pylist()
+            if not model_known:
+                stays = [bool(t) and _LETTER.search(t) is not None for t in texts]
+            else:
+                stays = [n != UNDETERMINED and s >= least for n, s in zip(*_judge(texts, shared.value))]
+            yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import bare, slices, stored
+from cuelake.llm.common import bare, forget, slices, stored
 
 SHINGLE, SIMILARITY = 5, 75  # words; per cent
 BANDS, ROWS = 32, 4  # a pair at 75 % misses all bands once in 200,000
@@ -130,6 +130,7 @@ def _text_key():
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """``doc_id, place, text_key, n_shingles, set_key, buckets``; ``set_key`` is 128 bits of the whole set, null if it is empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), shingle)
             keys = band_keys(superminhash(sets, bands * rows), bands, rows)
@@ -145,6 +146,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """``node, shingles`` of the classes ``node, place, text_key, set_key`` that are wanted, from the text each of them names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), shingle)
             ok = [xxhash.xxh3_128_digest(s.tobytes()) == key for s, key in zip(sets, batch.column("set_key").to_pylist())]
@@ -222,6 +224,7 @@ def block_links(rows: DataFrame, similarity: int) -> DataFrame:
     Rows are dealt out by that key and sorted, and pass by as a stream; a task holds the sets of two blocks.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         key, nodes, sets = None, [], []
 
         def found() -> pa.RecordBatch:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm import bpe
-from cuelake.llm.common import bare, fresh_path, slices, worker_cache
+from cuelake.llm.common import bare, forget, fresh_path, slices, worker_cache
 
 LIMIT = 2048  # tokens of a context
 END_ID = 0  # closes each document in a token file
@@ -163,7 +163,7 @@ def token_file_report(docs: DataFrame, tokenizer: str, path: str | None = None)
     write_token_files(docs, path, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe.forget()
+        forget()
         for batch in batches:
             tokens = batch.column("tokens")
             ends = tokens.offsets.to_numpy()

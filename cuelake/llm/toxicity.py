@@ -87,7 +87,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
     pass through one task in a fixed order.
     """
     allowed = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (hashed_part(F.col("doc_id").cast("bigint")) != HELD_OUT))
-    chosen = bounded_sample(allowed.dropDuplicates(["doc_id"]), [F.col("toxic").cast("double").alias("label")], rows, "toxic-sample")
+    said = allowed.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = bounded_sample(said, [F.col("toxic").cast("double").alias("label")], rows, "toxic-sample")
     texts = bare(docs, doc_id=F.col("doc_id").cast("bigint"), text=F.coalesce(F.col("text"), F.lit("")))
     sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     sample = stored(sample.mapInArrow(_extract, "doc_id bigint, label double, features array<int>"), "toxic-features")
@@ -110,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], names=["feature", "weight"])
 
-    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "features")
     return stored(ordered.mapInArrow(fit, "feature int, weight double"), "toxic-model")
 
 
@@ -143,7 +144,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled documents outside the held-out part and score every document.
 
     Null and empty texts get the score of the bias alone.  A null id is not held out and never learned from; a
-    document with several labels counts with one of them.  Without any label every score is 0.5.  An empty table
+    document with several labels counts as toxic if one of them says so.  Without any label every score is 0.5.  An empty table
     gives no rows.
     """
     return score(docs, train(docs, labels))
