@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import numbered_line, sha_head
-from cuelake.operators.ordered import interval_lookup, neighbours, ordinal, running_sum, sorted_fold
+from cuelake.operators.ordered import RANGES, interval_lookup, neighbours, ordinal, running_sum, sorted_fold
 from cuelake.session import cut
 
 # ---- fixed values -------------------------------------------------------------------------------
@@ -195,26 +195,40 @@ def excerpt_sections(hits: DataFrame, videos: DataFrame, budget: int = EXCERPT_B
 
 
 def _still_possible(rows: DataFrame, budget: int) -> DataFrame:
-    """Drops videos that cannot get a section whatever the fold decides, so it reads few rows per topic.
+    """Drops videos that cannot get a section whatever the fold decides, until it reads few rows of any topic.
 
-    As long as the sections of a topic's first videos fit together, all are quoted whole.  The video
-    that overflows takes what lines fit, and the room left behind it only shrinks: a later video
-    whose heading and first line exceed that room is out.
+    As long as the sections of a topic's next videos fit together, all are quoted whole.  The video that overflows takes
+    what lines fit; the room left behind it is known and only shrinks, so a later video whose heading and first line
+    exceed it is out, and so is one whose subtitle is quoted by then.  The same holds behind that video, with that room:
+    a pass is one scan, and passes end when no topic keeps more undecided videos than the budget has bytes, or none
+    overflows any more.
     """
-    first = rows.groupBy("topic", "srt_id").agg(F.min("seq").alias("__first"))
-    sized = rows.join(first, ["topic", "srt_id"])
-    full = F.when(F.col("seq") == F.col("__first"), F.col("head") + F.element_at("upto", -1)).otherwise(F.lit(0))
-    summed = running_sum(sized.select("topic", "seq", full.cast("bigint").alias("full")), ["topic"], ["seq"], "full", "total")
-    over = summed.where(F.col("total") > budget).groupBy("topic").agg(
-        F.min(F.struct("seq", (F.lit(budget) - F.col("total") + F.col("full")).alias("room"))).alias("o"))
-    over = over.select("topic", F.col("o.seq").alias("__stop"), F.col("o.room").alias("__room"))
-    edge = rows.join(over, "topic").where(F.col("seq") == F.col("__stop"))
-    fits = F.filter("upto", lambda u: u <= F.col("__room") - F.col("head"))
-    taken = F.when(F.size(fits) > 0, F.col("head") + F.element_at(fits, F.greatest(F.size(fits), F.lit(1)))).otherwise(F.lit(0))
-    left = edge.select("topic", "__stop", (F.col("__room") - taken).alias("__left"))  # one row per topic
     need = F.col("head") + F.get("upto", F.lit(0))
-    return rows.join(left, "topic", "left").where(
-        F.col("__stop").isNull() | (F.col("seq") <= F.col("__stop")) | (need <= F.col("__left"))).drop("__stop", "__left")
+    known = rows.select("topic").distinct().select("topic", F.lit(-1).cast("bigint").alias("__from"), F.lit(budget).cast("bigint").alias("__room"))
+    while True:
+        open_ = rows.join(known, "topic").where(F.col("seq") > F.col("__from"))
+        first = open_.groupBy("topic", "srt_id").agg(F.min("seq").alias("__first"))
+        full = F.when(F.col("seq") == F.col("__first"), F.col("head") + F.element_at("upto", -1)).otherwise(F.lit(0))
+        sized = open_.join(first, ["topic", "srt_id"]).select("topic", "seq", full.cast("bigint").alias("full"))
+        summed = running_sum(sized, ["topic"], ["seq"], "full", "total", RANGES).join(known, "topic")
+        over = summed.where(F.col("total") > F.col("__room")).groupBy("topic").agg(
+            F.min(F.struct("seq", (F.col("__room") - F.col("total") + F.col("full")).alias("room"))).alias("o"))
+        over = over.select("topic", F.col("o.seq").alias("__stop"), F.col("o.room").alias("__left"))
+        edge = rows.join(over, "topic").where(F.col("seq") == F.col("__stop"))
+        fits = F.filter("upto", lambda u: u <= F.col("__left") - F.col("head"))
+        taken = F.when(F.size(fits) > 0, F.col("head") + F.element_at(fits, F.greatest(F.size(fits), F.lit(1)))).otherwise(F.lit(0))
+        left = cut(edge.select("topic", "__stop", (F.col("__left") - taken).alias("__room"), (taken > 0).alias("__quoted")))  # a row per topic
+        quoted = rows.join(left, "topic").where((F.col("seq") < F.col("__stop")) | ((F.col("seq") == F.col("__stop")) & F.col("__quoted"))).select(
+            "topic", "srt_id", F.lit(True).alias("__gone")).distinct()
+        later = F.col("seq") > F.col("__stop")
+        rest = rows.join(left, "topic", "left").join(quoted, ["topic", "srt_id"], "left").where(
+            F.col("__stop").isNull() | ~later | ((need <= F.col("__room")) & F.col("__gone").isNull()))
+        rows = cut(rest.select("topic", "seq", "video_id", "srt_id", "head", "upto", F.coalesce(later, F.lit(False)).alias("__open")))
+        crowded = rows.where("__open").groupBy("topic").count().where(F.col("count") > budget).select("topic")
+        rows = rows.drop("__open")
+        known = cut(left.join(crowded, "topic", "left_semi").select("topic", F.col("__stop").alias("__from"), "__room"))
+        if known.isEmpty():
+            return rows
 
 
 def excerpt_text(hits: DataFrame, sections: DataFrame, videos: DataFrame) -> DataFrame:
