@@ -7,6 +7,8 @@ dies before that leaves folders that nobody refers to, and the next one reads th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,11 +41,34 @@ def _version(name: Column | None) -> Column:
     return F.struct((F.col("path") if name is None else name).alias("name"), "path", "length", F.col("modificationTime").alias("modified")).alias("file")
 
 
+@contextmanager
+def _many_small_files(spark: SparkSession) -> Iterator[None]:
+    """Files are listed by a few tasks per core, and packed by what they hold.
+
+    Else Spark lists in up to 10,000 tasks each time, and counts every file as 4 MiB, so that a task reads a handful.
+    """
+    wanted = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism),
+              "spark.sql.files.openCostInBytes": str(64 << 10)}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def ingest_changes(spark: SparkSession, folder: str, root: str, glob: str = "*.srt", name: Column | None = None, most_files: int = MOST_FILES) -> int:
     """Read what is new or changed under ``folder`` into ``root``; returns how many versions were looked at.
 
     ``name`` tells what a file is called (its path, if not given); a newer version of a name replaces the older one.
     """
+    with _many_small_files(spark):
+        return _ingest_changes(spark, folder, root, glob, name, most_files)
+
+
+def _ingest_changes(spark: SparkSession, folder: str, root: str, glob: str, name: Column | None, most_files: int) -> int:
     source = spark.read.format("binaryFile").schema(schemas.BINARY_FILE).option("pathGlobFilter", glob)
     listed = source.option("recursiveFileLookup", "true").load(folder).select(_version(name))
     todo = cut(listed.join(_read(spark, root, "versions").select("file"), "file", "left_anti"))

@@ -20,3 +20,21 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
     assert entry.queries()["incremental_ingest"](spark, sf).count() == b.lines(spark, SF).count() > 0
     states = lambda at: sorted(map(tuple, entry.queries()["task_state_stream"](spark, at).collect()))
     assert states(sf) == states(SF) != []
+
+
+def test_words_of_a_text_are_cut_once(spark):
+    from cuelake.operators import catalog
+    patterns = b.doc_patterns(spark, SF)
+    plan = patterns.where(catalog.hygienic(F.col("pattern")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_many_small_files_are_read_in_few_tasks(spark, tmp_path):
+    from cuelake.sources import versions
+    for i in range(200):
+        (tmp_path / f"{i}.srt").write_text("x")
+    read = lambda: spark.read.format("binaryFile").load(str(tmp_path)).rdd.getNumPartitions()
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    with versions._many_small_files(spark):
+        assert read() <= spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
