@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import uuid
 from collections.abc import Iterator
@@ -64,6 +65,10 @@ def forget() -> None:
     for held in worker_cache().values():
         if hasattr(held, "clear") and not isinstance(held, dict):
             held.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # what was freed in small pieces goes back too
+    if trim is not None:
+        trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

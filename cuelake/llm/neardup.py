@@ -27,6 +27,7 @@ COLUMNS = 1 << 14  # shingles of a comparison that are laid out at once
 
 _BASE = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1  # the place of a document without id: after all others
+_SLICE = 1 << 20  # bytes of text at once: the permutations of their shingles take some sixty times that
 _LAZY = 4  # steps of the permutations that are replayed before they are written out
 
 
@@ -127,18 +128,22 @@ def _text_key():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def _signed(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, most_bytes=_SLICE):
+        sets = shingle_sets(batch.column("text").to_pylist(), shingle)
+        keys = band_keys(superminhash(sets, bands * rows), bands, rows)
+        yield pa.RecordBatch.from_arrays([
+            batch.column("doc_id"), batch.column("place"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+            pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))],
+            names=["doc_id", "place", "text_key", "n_shingles", "set_key", "buckets"])
+
+
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """``doc_id, place, text_key, n_shingles, set_key, buckets``; ``set_key`` is 128 bits of the whole set, null if it is empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for batch in slices(batches):
-            sets = shingle_sets(batch.column("text").to_pylist(), shingle)
-            keys = band_keys(superminhash(sets, bands * rows), bands, rows)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("place"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))],
-                names=["doc_id", "place", "text_key", "n_shingles", "set_key", "buckets"])
+        return _signed(batches, shingle, bands, rows)
 
     return _placed(docs).mapInArrow(run, "doc_id bigint, place bigint, text_key bigint, n_shingles bigint, set_key binary, buckets array<bigint>")
 
@@ -147,7 +152,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """``node, shingles`` of the classes ``node, place, text_key, set_key`` that are wanted, from the text each of them names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=_SLICE):
             sets = shingle_sets(batch.column("text").to_pylist(), shingle)
             ok = [xxhash.xxh3_128_digest(s.tobytes()) == key for s, key in zip(sets, batch.column("set_key").to_pylist())]
             node = batch.column("node").filter(pa.array(ok, pa.bool_()))

@@ -38,3 +38,21 @@ def test_many_small_files_are_read_in_few_tasks(spark, tmp_path):
     with versions._many_small_files(spark):
         assert read() <= spark.sparkContext.defaultParallelism
     assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+
+
+def test_signatures_hold_little_at_once():
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from cuelake.llm import neardup
+    rng, n = random.Random(1), 4500
+    texts = [" ".join(str(rng.randrange(10**5)) for _ in range(150)) for _ in range(n)]
+    batch = pa.RecordBatch.from_pydict({"text": texts} | {c: list(range(n)) for c in ("doc_id", "place", "text_key")})
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in neardup._signed(iter([batch]), 5, 32, 4))
+        assert rows == n and tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
