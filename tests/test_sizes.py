@@ -56,3 +56,11 @@ def test_signatures_hold_little_at_once():
         assert rows == n and tracemalloc.get_traced_memory()[1] < 80e6
     finally:
         tracemalloc.stop()
+
+
+def test_few_scans_with_many_keys_form_few_pairs(spark):
+    """A thousand keys of sixty scans each are 1,770,000 pairs; in cells they are 60,000 listed keys."""
+    from cuelake.operators import chunking
+    sizes = spark.range(1000).select(F.col("id").alias("key"), F.lit(60).cast("bigint").alias("n"))
+    assert chunking._rare_limit(sizes, 100, 64) < 60
+    assert chunking._rare_limit(sizes.select("key", F.lit(2).cast("bigint").alias("n")), 100_000, 64) >= 2
