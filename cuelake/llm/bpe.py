@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from cuelake.llm.common import worker_cache
 
 MEMO = 200_000  # pieces that a worker remembers; the memo starts anew beyond that
 LEAF = 64  # bytes of an unsplit run that are encoded in one go
+TREE_MEMO = 120_000  # as many of them, and of their pre-tokens, with ids
 RUN = 100  # pieces that the library encodes in one call
 WINDOW = 4  # tokens on each side of a join that are encoded again at first
 
@@ -81,10 +83,11 @@ class Memo:
         return found
 
 
-def memo_for(name: str, path: str, fill: Callable[[], Callable[[list], list]]) -> Memo:
+def memo_for(name: str, path: str, fill: Callable[[], Callable[[list], list]], most: int = MEMO) -> Memo:
+    """The worker's memo of that name; like every memo in the cache it is emptied by ``forget``."""
     cache = worker_cache()
     if (name, path) not in cache:
-        cache[name, path] = Memo(fill())
+        cache[name, path] = Memo(fill(), most)
     return cache[name, path]
 
 
@@ -299,7 +302,7 @@ class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
-        self.tokenizer = tokenizer_at(path)
+        self.path, self.tokenizer = path, tokenizer_at(path)
         self.vocab, self.end = said["model"]["vocab"], said["model"]["end_of_word_suffix"]
         self.merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in said["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
@@ -329,18 +332,31 @@ class WordBpe:
                 found += [bytes(map(self.bytes_of.__getitem__, p)) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
         return found
 
+    @cached_property
+    def decoded(self) -> list[bytes]:
+        """What the library's decode shows of each id; the file names no decoder, so it joins these with blanks."""
+        if self.tokenizer.decoder is not None:
+            raise ValueError("a decoder may show tokens in another way when they stand together")
+        shown = [b""] * (max(i for i in self.tokenizer.get_vocab().values()) + 1)
+        for token, i in self.tokenizer.get_vocab().items():
+            shown[i] = token.encode()
+        return shown
+
     def shown(self, run: bytes) -> str:
         return "".join(map(self.symbols.__getitem__, run))
 
     def filler(self, encode: Callable[[list[bytes]], list[np.ndarray]], result: Callable[[np.ndarray], object],
-               combine: Callable[[list], object]) -> Callable[[list], list]:
-        """Fill for a memo over pieces: new pre-tokens are encoded together, and pieces put together from them."""
+               combine: Callable[[list], object], name: str | None = None, most: int = MEMO) -> Callable[[list], list]:
+        """Fill for a memo over pieces: new pre-tokens are encoded together, and pieces put together from them.
+
+        Pre-tokens are remembered too, under ``name`` in the worker's cache, where ``forget`` finds them.
+        """
         def values(parts: list) -> list:
             runs = [x for x in parts if isinstance(x, bytes)]
             ids = iter(encode(runs))
             return [result(next(ids) if isinstance(x, bytes) else np.array([x], "<u4")) for x in parts]
 
-        known = Memo(values)
+        known = Memo(values) if name is None else memo_for(f"{name}, pre-tokens", self.path, lambda: values, most)
 
         def fill(pieces: list) -> list:
             parts = [self.parts(p) if isinstance(p, str) else [p] for p in pieces]

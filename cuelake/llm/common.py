@@ -65,6 +65,11 @@ def forget() -> None:
     for held in worker_cache().values():
         if hasattr(held, "clear") and not isinstance(held, dict):
             held.clear()
+    release()
+
+
+def release() -> None:
+    """Give memory that is free to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # what was freed in small pieces goes back too
     if trim is not None:

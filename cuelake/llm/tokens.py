@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm import bpe
-from cuelake.llm.common import bare, forget, fresh_path, slices, worker_cache
+from cuelake.llm.common import bare, forget, fresh_path, release, slices, worker_cache
 
 LIMIT = 2048  # tokens of a context
 END_ID = 0  # closes each document in a token file
@@ -31,7 +31,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bpe.word_bpe(path)
-        memo = bpe.memo_for("rank counts", path, lambda: words.filler(bpe.RankMerger(words), len, sum))
+        memo = bpe.memo_for("rank counts", path, lambda: words.filler(bpe.RankMerger(words), len, sum, "rank counts"))
         for batch in slices(batches):
             pieces = bpe.word_pieces(batch.column("text"), words)
             counts = pieces.sums(np.array(memo.get(pieces.distinct), dtype=np.int64))
@@ -56,11 +56,11 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = True, decoded: bool =
             columns = {
                 "doc_id": doc_id, "n_tokens": pa.array(sizes),
                 "ids_sha256": pa.array([hashlib.sha256(all_ids[b - n:b]).hexdigest() for b, n in zip(ends, sizes)], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in shown], pa.string())}
+                "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in shown], pa.string())}
             if ids:
                 columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(all_ids.astype(np.int32)))
             if decoded:
-                columns["decoded"] = pa.array([x[:-1].decode() for x in shown], pa.string())
+                columns["decoded"] = pa.array([x.decode() for x in shown], pa.string())
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -68,23 +68,19 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = True, decoded: bool =
 
 
 def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[bytes]]]:
-    """Ids of all texts in one array, how many each has, and its decoded text with one blank too many at the end."""
-    words = bpe.word_bpe(path)
-
-    def result(ids: np.ndarray) -> tuple[bytes, bytes]:
-        # Decoding puts a blank between tokens, so that the decoded text of a piece ends with one here.
-        return ids.tobytes(), (words.tokenizer.decode(ids.tolist(), skip_special_tokens=False) + " ").encode() if len(ids) else b""
-
-    def both(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
-        return b"".join([x[0] for x in parts]), b"".join([x[1] for x in parts])
+    """Ids of all texts in one array, how many each has, and the text they decode to.
 
-    memo = bpe.memo_for("tree ids", path, lambda: words.filler(bpe.TreeEncoder(words), result, both))
-    for batch in slices(batches):
+    The memos hold ids alone: an id decodes to the same bytes wherever it stands, so decoded texts are put together per document.
+    """
+    words = bpe.word_bpe(path)
+    most = bpe.TREE_MEMO
+    memo = bpe.memo_for("tree ids", path, lambda: words.filler(bpe.TreeEncoder(words), np.ndarray.tobytes, b"".join, "tree ids", most), most)
+    table = words.decoded
+    release()
+    for batch in slices(batches, most_bytes=1 << 20):
         pieces = bpe.word_pieces(batch.column("text"), words)
-        found = memo.get(pieces.distinct)
-        ids, sizes = pieces.joined([x[0] for x in found])
-        shown = [x[1] for x in found]
-        decoded = [b"".join([shown[i] for i in run.tolist()]) for run in np.split(pieces.numbers, pieces.ends[:-1])]
+        ids, sizes = pieces.joined(memo.get(pieces.distinct))
+        decoded = [b" ".join([table[i] for i in run.tolist()]) for run in np.split(ids, np.cumsum(sizes)[:-1])]
         yield batch.column("doc_id"), ids, sizes, decoded
 
 

@@ -548,3 +548,18 @@ def test_ftrl_drops_useless_features():
         model.step(at, np.ones(len(at)), np.array([1 / (1 + np.exp(-w.sum())) - y]), w)
     w = model.weights(slice(None))[:, 0]
     assert w[1] > 1 > -1 > w[2] and (w[3:] == 0).mean() > 0.8
+
+
+def test_forget_empties_every_memo_of_an_encoder():
+    import gc
+
+    import pyarrow as pa
+
+    from cuelake.llm.common import forget
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["(words), that's all; words <|endoftext|>"]})
+    (_, ids, sizes, shown), = tokens._coded(iter([batch]), WORD)
+    library = bpe.tokenizer_at(WORD)
+    assert shown == [library.decode(ids.tolist(), skip_special_tokens=False).encode()] and sizes.tolist() == [len(ids)]
+    forget()
+    gc.collect()
+    assert not [m for m in gc.get_objects() if isinstance(m, bpe.Memo) and (m.young or m.old)]
