@@ -79,3 +79,18 @@ def test_context_needs_one_shuffle_and_meets_lines_across_blocks(spark):
         (v, n, say(v, n - 1), say(v, n), say(v, n + 1)) for v, n in known if v == 1 or n == 0} | {(None, 1, None, "lost", None)}
     plan = context._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_utf16_reaches_python_only_with_surrogates(spark):
+    from cuelake.sources import srt
+    texts = {"plain": "Ø a\nß Ü", "wide": "\u4e2d\ud7ff\ue000", "pair": "x\U0001f600", "long": "Øß" * 50_000}
+    marks = {"utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff"}
+    rows = [(f"{k} {c}", bytearray(m + t.encode(c)), t) for k, t in texts.items() for c, m in marks.items()]
+    rows += [(f"stray {c}", bytearray(m + "a\ud800b".encode(c, "surrogatepass")), "a\ufffdb") for c, m in marks.items()]
+    rows += [(f"odd {c}", bytearray(m + "ab".encode(c) + b"\xd8"), "ab") for c, m in marks.items()]
+    files = spark.createDataFrame(rows, "name string, content binary, said string")
+    read = srt.decode_text(files)
+    assert [r.name for r in read.collect() if r.text != r.said] == []
+    little = F.col("name").endswith("le")
+    asked = files.where(F.when(little, srt._needs_python(F.col("content"), True)).otherwise(srt._needs_python(F.col("content"), False)))
+    assert {r.name.split()[0] for r in asked.collect()} == {"pair", "stray", "odd"}
