@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ INSTRUCTIONS = {
     "probe": "Name the search that would connect both sides as one line REGEX: <pattern>, or answer NONE.",
     "terms": "List named terms as TERM, KIND, MEANS, GLOSS, SEEN and CUES lines, blocks apart by a blank line, or NONE.",
 }
+ASKED = 64  # requests that are strings at once
 JOINT = "\n---\n"  # fixed value: between sections
 
 
@@ -33,12 +34,18 @@ def build_requests(tasks: DataFrame, max_tokens: int = 1024, temperature: float
 
 
 def ask_model(requests: DataFrame, answer: Callable[[str], str]) -> DataFrame:
-    """(id, text) by a caller-supplied function; its concurrency is the number of partitions."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, text) by a caller-supplied function; its concurrency is the number of partitions.
+
+    Requests become Python strings ``ASKED`` at a time, so that a worker holds one Arrow batch and little else.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "text": batch["request"].map(answer)})
+            for at in range(0, batch.num_rows, ASKED):
+                part = batch.slice(at, ASKED)
+                said = [None if r is None else answer(r) for r in part.column("request").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(said, pa.string())], names=["id", "text"])
 
-    return requests.select("id", "request").mapInPandas(run, "id STRING, text STRING")
+    return requests.select("id", "request").mapInArrow(run, "id STRING, text STRING")
 
 
 def head_lines(tasks: DataFrame) -> DataFrame:

@@ -94,3 +94,11 @@ def test_utf16_reaches_python_only_with_surrogates(spark):
     little = F.col("name").endswith("le")
     asked = files.where(F.when(little, srt._needs_python(F.col("content"), True)).otherwise(srt._needs_python(F.col("content"), False)))
     assert {r.name.split()[0] for r in asked.collect()} == {"pair", "stray", "odd"}
+
+
+def test_requests_are_strings_a_few_at_a_time(spark):
+    from cuelake.operators import requests
+    asked = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 10 != 3, F.concat(F.lit("q"), "id")).alias("request"))
+    got = {r.id: r.text for r in requests.ask_model(asked.coalesce(1), str.upper).collect()}
+    assert got == {str(i): None if i % 10 == 3 else f"Q{i}" for i in range(1000)}
+    assert "MapInArrow" in requests.ask_model(asked, str.upper)._jdf.queryExecution().executedPlan().toString()
