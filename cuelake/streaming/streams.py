@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from cuelake import schemas
 from cuelake.operators.ordered import file_intervals
@@ -36,6 +36,7 @@ def _struct(**fields) -> StructType:
 
 
 DELAY, IDLE_MS = "10 minutes", 30 * 86_400_000  # how late a row may be; when a silent key is forgotten
+HEAT_BUCKETS = 1 << 12  # fixed for the life of a stream; a million videos are 250 a bucket
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -281,45 +282,62 @@ def debounced_pattern(searches: DataFrame, quiet: str = "300 milliseconds", dela
 
 
 class _Heat(_Keyed):
-    state_schema = _struct(heat="double", n="long", at="long")
+    """Heat of the videos of one bucket: a call per bucket and micro-batch instead of several per video."""
+
+    columns = ["video_id", "heat", "n"]
 
     def __init__(self, idle_ms: int, keep: float):
         self.idle_ms, self.keep = idle_ms, keep
+        self.state_schema = StructType([StructField(n, ArrayType(kind)) for n, kind in (
+            ("video_id", LongType()), ("heat", DoubleType()), ("n", LongType()), ("at", LongType()))])
 
-    def handleInputRows(self, key, rows, timerValues):
-        rows, state = _in_order(rows, ["n"]), self.read()
-        heat, at, last = state if state is not None else (0.0, int(rows["n"].iloc[0]), 0)
-        first = int(rows["ms"].min())
-        if state is not None and first - last > self.idle_ms:
-            heat = 0.0
-        for n, add in zip(rows["n"], rows["add"]):
-            n = int(n)
-            # One that comes late has faded by now; what is there does not grow from it.
-            heat = heat * self.keep ** max(n - at, 0) + float(add) * self.keep ** max(at - n, 0)
-            at = max(at, n)
+    def held(self) -> dict[int, tuple[float, int, int]]:
+        state = self.read()
+        return {} if state is None else {video: rest for video, *rest in zip(*state)}
+
+    def hold(self, held: dict[int, tuple[float, int, int]]) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if heat < COLD_FLOOR:
-            heat = 0.0
-            self.state.clear()
+        if held:
+            self.handle.registerTimer(min(last for _, _, last in held.values()) + self.idle_ms)
+            self.state.update((list(held), *map(list, zip(*held.values()))))
         else:
-            last = max(last, int(rows["ms"].max()))
-            self.handle.registerTimer(last + self.idle_ms)
-            self.state.update((heat, at, last))
-        yield pd.DataFrame([(key[0], heat, at)], columns=["video_id", "heat", "n"])
+            self.state.clear()
+
+    def handleInputRows(self, key, rows, timerValues):
+        rows, held, met = _in_order(rows, ["n"]), self.held(), {}
+        for video, *row in zip(*[rows[c].tolist() for c in ("video_id", "n", "add", "ms")]):
+            met.setdefault(video, []).append(row)
+        for video, added in met.items():
+            heat, at, last = held.get(video, (0.0, added[0][0], 0))
+            times = [ms for _, _, ms in added]
+            if video in held and min(times) - last > self.idle_ms:
+                heat = 0.0
+            for n, add, _ in added:
+                # One that comes late has faded by now; what is there does not grow from it.
+                heat = heat * self.keep ** max(n - at, 0) + add * self.keep ** max(at - n, 0)
+                at = max(at, n)
+            held[video] = met[video] = (heat if heat >= COLD_FLOOR else 0.0, at, max(last, *times))
+        self.hold({video: state for video, state in held.items() if state[0] > 0})
+        out = pd.DataFrame([(video, heat, at) for video, (heat, at, _) in met.items()], columns=self.columns)
+        yield out if key[0] >= 0 else out.assign(video_id=None)  # bucket -1: rows without a video
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
-        yield pd.DataFrame([], columns=["video_id", "heat", "n"])
+        now = timerValues.getCurrentWatermarkInMs()
+        self.hold({video: state for video, state in self.held().items() if state[2] + self.idle_ms > now})
+        yield pd.DataFrame([], columns=self.columns)
 
 
 def heat_stream(contributions: DataFrame, keep: float = HEAT_KEEP, delay: str = DELAY, idle_ms: int = IDLE_MS) -> DataFrame:
     """Interest per video as of its latest contribution (ts, video_id, n, add); it fades by n when read.
 
     A contribution that comes out of order has faded by its distance.  A video whose heat falls below the floor is
-    cold: heat 0, and forgotten; so is one without a contribution for ``idle_ms``.
+    cold: heat 0, and forgotten; so is one without a contribution for ``idle_ms``.  State is kept by ``HEAT_BUCKETS``
+    buckets of videos: most of what a key costs is the calls for its state and timer, whatever it holds.
     """
-    return _keyed(_timed(contributions, delay, "video_id", "n", "add"), ["video_id"], _Heat(idle_ms, keep),
+    bucket = F.when(F.col("video_id").isNotNull(), F.pmod(F.xxhash64("video_id"), F.lit(HEAT_BUCKETS))).otherwise(F.lit(-1)).alias("bucket")
+    video = F.coalesce("video_id", F.lit(0)).alias("video_id")  # a null would turn the ids of a batch into floats
+    return _keyed(_timed(contributions, delay, bucket, video, "n", "add"), ["bucket"], _Heat(idle_ms, keep),
                   _struct(video_id="long", heat="double", n="long"), mode="update", time="eventtime")
 
 

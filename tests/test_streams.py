@@ -72,3 +72,15 @@ def test_heat_fades_and_ends(spark, tmp_path):
     assert said["n_state"] == 2
     gone = S.drained(S.heat_stream(fed(spark, tmp_path / "b", [[(10, 1, 1, 1.0)], [(9 * DAY, 2, 2, 1e-9)]], HEAT), idle_ms=DAY * 1000), "update")[1]
     assert gone["n_state"] == 0
+
+
+def test_heat_is_kept_by_buckets(spark, tmp_path, monkeypatch):
+    """Videos of a bucket fade, end and are forgotten each on its own; the calls of a micro-batch are as many as buckets."""
+    monkeypatch.setattr(S, "HEAT_BUCKETS", 2)
+    big = 1 << 60
+    batches = [[(10, v, 1, 1.0) for v in range(40)] + [(10, None, 1, 1.0), (10, big + 1, 1, 1.0)],
+               [(DAY, 0, 3, 1.0), (DAY, 1, 30, 1e-9), (DAY, None, 2, 1.0)], [(4 * DAY, 2, 4, 1.0), (4 * DAY, 0, 4, 1.0)]]
+    out, said = S.drained(S.heat_stream(fed(spark, tmp_path, batches, HEAT), idle_ms=2 * DAY * 1000), "update")
+    last = {r.video_id: (r.heat, r.n) for r in out.orderBy("n").collect()}
+    assert last == {0: (1.0, 4), 1: (0.0, 30), 2: (1.0, 4), None: (1.5, 2), big + 1: (1.0, 1)} | {v: (1.0, 1) for v in range(3, 40)}
+    assert said == {"n_late": 0, "n_state": len({r[0] % 2 for r in spark.sql("select xxhash64(v) from values (0L), (2L) t(v)").collect()})}
