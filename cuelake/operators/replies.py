@@ -227,8 +227,9 @@ def harvest_focus_replies(replies: DataFrame, covered: DataFrame, waiting_window
                                r"[\x00-\x20]+$", "")
     opened = text.startswith(MARK)
     pattern = F.when(opened, F.when(~body.startswith("NONE") & (payload != ""), payload)).otherwise(regex_line(text))
-    found = replies.where(~text.startswith("NONE")).select("seq", pattern.alias("pattern")).where("pattern is not null")
-    valid = pattern_guard(found).where("problem is null or problem <> 'invalid syntax'").select("seq", "pattern")
+    # Written once: the texts are not read again for the patterns to which the adopted branches go back.
+    found = cut(replies.where(~text.startswith("NONE")).select("seq", pattern.alias("pattern")).where("pattern is not null"))
+    valid = pattern_guard(found).where("coalesce(problem, '') <> 'invalid syntax'").select("seq", "pattern")
     gate = waiting_windows.limit(1).agg(F.count("*").alias("__open"))  # one row
     ripe = valid.join(F.broadcast(gate)).where("__open = 0").drop("__open")
-    return catalog.adopt_novel(ripe, covered)
+    return catalog.adopt_novel(cut(ripe), covered)

@@ -179,7 +179,7 @@ def harvest_focus_replies(spark, sf):
             .when(k == 1, F.concat(F.lit("REGEX: "), "w1", F.lit("\n\nNONE")))
             .when(k == 2, F.concat(F.lit("prose\nREGEX: "), "w1"))
             .when(k == 3, F.lit("NONE")).otherwise(F.lit("REGEX: (open\n\nprose")))
-    replies = b.doc_words(spark, sf).select(F.col("doc_id").alias("seq"), text.alias("text"))
+    replies = b.doc_words(spark, sf, k == 0).select(F.col("doc_id").alias("seq"), text.alias("text"))  # others name the first word or none
     waiting = b.table(spark, sf, "labels").where("quality < 0")
     return R.harvest_focus_replies(replies, catalog.corpus_keys(_catalogue(spark)), waiting)
 

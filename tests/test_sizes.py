@@ -102,3 +102,13 @@ def test_requests_are_strings_a_few_at_a_time(spark):
     got = {r.id: r.text for r in requests.ask_model(asked.coalesce(1), str.upper).collect()}
     assert got == {str(i): None if i % 10 == 3 else f"Q{i}" for i in range(1000)}
     assert "MapInArrow" in requests.ask_model(asked, str.upper)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replies_of_a_focus_read_the_texts_once(spark):
+    """What is adopted goes back to patterns that were written down, not to the texts; only replies that name two words cut a text."""
+    out = entry.queries()["harvest_focus_replies"](spark, SF)
+    assert out.count() > 0 and "documents" not in out._jdf.queryExecution().optimizedPlan().toString()
+    named = F.col("doc_id") % 5 == 0
+    whole, some = b.doc_words(spark, SF), b.doc_words(spark, SF, named)
+    wanted = whole.select("doc_id", "w1", *[F.when(named, F.col(c)).alias(c) for c in ("w2", "w3")])
+    assert sorted(map(tuple, some.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
