@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.operators.ordered import interval_lookup, neighbours
+from cuelake.operators.ordered import interval_lookup
+from cuelake.session import cut
 
 
 def _without_extension(path: Column) -> Column:
@@ -74,9 +75,9 @@ def line_to_time(requests: DataFrame, stamps: DataFrame) -> DataFrame:
     ``requests`` is (request_id, video_id, top, zero_based, preroll_ms); ``stamps`` is
     :func:`cuelake.sources.srt.line_times`.  Lookup bucket: 4096 file lines.
     """
-    nxt = neighbours(stamps, ["video_id"], ["line_no"], F.col("line_no"), nxt="until")
-    spans = nxt.select("video_id", (F.col("line_no") * 16).alias("lo"),
-                       F.coalesce(F.col("until") * 16, F.col("line_no") * 16 + F.lit(1 << 57)).alias("hi"), "t_ms")
+    stamps = cut(stamps)  # read for short and for long spans; the files are cut into lines once
+    spans = stamps.select("video_id", (F.col("line_no") * 16).alias("lo"),
+                          F.coalesce(F.col("until") * 16, F.col("line_no") * 16 + F.lit(1 << 57)).alias("hi"), "t_ms")
     top = F.col("top") + F.when(F.col("zero_based"), F.lit(1)).otherwise(F.lit(0))
     points = requests.withColumn("__p", (top * 16).cast("bigint"))
     found = interval_lookup(points, spans, ["video_id"], "__p", "lo", "hi")

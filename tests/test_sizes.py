@@ -112,3 +112,17 @@ def test_replies_of_a_focus_read_the_texts_once(spark):
     whole, some = b.doc_words(spark, SF), b.doc_words(spark, SF, named)
     wanted = whole.select("doc_id", "w1", *[F.when(named, F.col(c)).alias(c) for c in ("w2", "w3")])
     assert sorted(map(tuple, some.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+
+
+def test_next_stamp_is_found_inside_its_file(spark):
+    """No window over the stamps of a video: a file is one row, and tells each stamp where the next one is."""
+    from cuelake.sources import media, srt
+    files = spark.createDataFrame([(1, "x\n00:00:01,000 --> a\ny\n00:00:02,500 --> b\nz"), (2, "no stamp"), (3, ""), (4, None)], "video_id long, text string")
+    stamps = srt.line_times(files)
+    assert sorted(map(tuple, stamps.collect())) == [(1, 2, 1000, 4), (1, 4, 2500, None)]
+    assert "Exchange" not in stamps._jdf.queryExecution().executedPlan().toString()
+    asked = [(0, 1, 1), (1, 1, 2), (2, 1, 3), (3, 1, 4), (4, 1, 10**7), (5, 2, 1), (6, 9, 1)]
+    requests = spark.createDataFrame(asked, "request_id long, video_id long, top long").selectExpr("*", "false as zero_based", "500 as preroll_ms")
+    found = media.line_to_time(requests, stamps)
+    assert {r.request_id: r.seek_ms for r in found.collect()} == {0: 0, 1: 500, 2: 500, 3: 2000, 4: 2000, 5: 0, 6: 0}
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
