@@ -13,7 +13,7 @@ from cuelake.plans.catalogue import _catalogue
 from cuelake.plans.matching import plan
 from cuelake.plans.oracle import EXCERPT
 from cuelake.plans.registry import query
-from cuelake.plans.worklist import WINDOWS, windows
+from cuelake.plans.worklist import WINDOWS, window_spans, windows
 
 _REPLIES = WINDOWS + """
 , told AS MATERIALIZED (
@@ -25,7 +25,7 @@ _REPLIES = WINDOWS + """
 
 def term_replies(spark, sf):
     """A reply per window, in five shapes: none, sound, wrong cue, unsaid spelling, one sound of two."""
-    w = windows(spark, sf)
+    w = window_spans(spark, sf)
     first = b.lines(spark, sf).select("video_id", F.col("cue_no").cast("bigint").alias("first_cue"), "line")
     w = w.join(first, ["video_id", "first_cue"]).withColumn("word", F.regexp_extract("line", "[a-z]+", 0))
     c = lambda *p: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in p])
@@ -79,7 +79,7 @@ e AS MATERIALIZED (SELECT n, 'T' || said[1][1:2] AS term, lower('T' || said[1][1
 
 def told_words(spark, sf):
     """Replies to all windows: a term block over the words of its lines, behind it one that fails; every fifth says NONE."""
-    w = windows(spark, sf).select("id", "seq", "window_no", "video_id", "first_cue", "last_cue")
+    w = window_spans(spark, sf).select("id", "seq", "window_no", "video_id", "first_cue", "last_cue")
     lines = b.lines(spark, sf).where("cue_no % 8 = 0").select("video_id", "cue_no", F.regexp_extract("line", "[a-z]{2,}", 0).alias("word")).where("word <> ''")
     said = w.join(lines, "video_id").where("cue_no between first_cue and last_cue").groupBy(*w.columns).agg(
         F.array_sort(F.collect_list(F.struct("cue_no", "word"))).alias("said"))
@@ -135,7 +135,7 @@ def consolidate_terms(spark, sf):
 , missing AS (SELECT min(seq * 100000 + window_no) AS stop FROM told WHERE seq % 400 = 399)
 SELECT id, seq, window_no FROM told, missing WHERE stop IS NULL OR seq * 100000 + window_no < stop""")
 def prefix_replay(spark, sf):
-    w = windows(spark, sf)
+    w = window_spans(spark, sf)
     return R.prefix_replay(w, w.where("seq % 400 <> 399"), ["seq", "window_no"]).select("id", "seq", "window_no")
 
 

@@ -126,3 +126,15 @@ def test_next_stamp_is_found_inside_its_file(spark):
     found = media.line_to_time(requests, stamps)
     assert {r.request_id: r.seek_ms for r in found.collect()} == {0: 0, 1: 500, 2: 500, 3: 2000, 4: 2000, 5: 0, 6: 0}
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_without_text_shuffle_it_no_third_time(spark):
+    from cuelake.operators import chunking
+    cues = spark.createDataFrame([(v, n, n * 3000, f"line {n}") for v in range(6) for n in range(9)], "video_id long, cue_no int, start_ms long, line string")
+    sources = spark.createDataFrame([(v, v + 1, f"s{v // 3}") for v in range(6)], "video_id long, seq long, srt_id string")
+    staged = chunking.term_windows(cues, sources, 60)
+    bare = staged.drop("text")
+    assert sorted(map(tuple, bare.collect())) == sorted(tuple(r)[:-1] for r in staged.collect())
+    assert {(r.video_id, r.seq) for r in staged.collect()} == {(0, 1), (3, 4)} and all(r.text.startswith("#") for r in staged.collect())
+    top = next(line for line in bare._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [id" in line)
+    assert "first(text" not in top and ", text#" not in top
