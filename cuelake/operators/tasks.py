@@ -157,21 +157,33 @@ def own_score(tasks: DataFrame, heat: str = "heat") -> Column:
 def inherited_score(tasks: DataFrame, deps: DataFrame, passes: int = LIFT_PASSES) -> DataFrame:
     """Adds ``eff``: a pending task lifts each pending dependency to at least its own score, transitively.
 
-    Only scores that rose travel on, and a pass that raises nothing ends the loop.
+    Only scores that rose travel on, and a pass that raises nothing ends the loop.  An edge carries the own scores of both
+    its tasks and what rose is kept apart, so a pass reads the edges and writes no more than it raised.
     """
-    pending = tasks.where("state = 'pending'").select("id", F.col("own").alias("eff"))
-    edges = cut(deps.join(pending.select("id"), "id", "left_semi").join(
-        pending.select(F.col("id").alias("dep")), "dep", "left_semi"))
-    scores = cut(pending)
-    rising = scores
-    for _ in range(passes):
-        offers = edges.join(rising, "id").groupBy(F.col("dep").alias("id")).agg(F.max("eff").alias("offer"))
-        rising, seen = cut_counted(offers.join(scores, "id").where("offer > eff").select("id", F.col("offer").alias("eff")))
+    pending = tasks.where("state = 'pending'").select("id", "own")
+    edges = cut(deps.join(pending, "id").select("id", "dep", "own").join(
+        pending.select(F.col("id").alias("dep"), F.col("own").alias("had")), "dep"))
+    raised, handed = None, edges.select("dep", "had", F.col("own").alias("eff"))
+    for n in range(1, passes + 1):
+        offers = handed.where("eff > had").groupBy(F.col("dep").alias("id")).agg(F.max("eff").alias("eff"))
+        if raised is not None:
+            offers = offers.join(_highest(raised, "__up"), "id", "left").where("__up is null or eff > __up").select("id", "eff")
+        rising, seen = cut_counted(offers)
         if not seen.n:
             break
-        raised = rising.withColumnRenamed("eff", "__up")
-        scores = cut(scores.join(raised, "id", "left").select("id", F.coalesce("__up", "eff").alias("eff")))
-    return tasks.join(scores, "id", "left")
+        raised = rising if raised is None else raised.unionByName(rising)
+        if n % 16 == 0:
+            raised = cut(_highest(raised, "eff"))
+        handed = edges.select("id", "dep", "had").join(rising, "id")
+    own = F.when(F.col("state") == "pending", F.col("own"))
+    if raised is None:
+        return tasks.withColumn("eff", own)
+    return tasks.join(_highest(raised, "__up"), "id", "left").withColumn("eff", F.coalesce("__up", own)).drop("__up")
+
+
+def _highest(raised: DataFrame, out: str) -> DataFrame:
+    """The last score each task rose to."""
+    return raised.groupBy("id").agg(F.max("eff").alias(out))
 
 
 def ready_ranking(tasks: DataFrame, deps: DataFrame) -> DataFrame:

@@ -152,6 +152,29 @@ def test_scores_gate_and_inherit(spark):
     assert [(r.id, r.eff) for r in rows] == [("l1", 9.0), ("d", 1.0)]
 
 
+def test_lift_against_walk_writes_only_what_rose(spark, monkeypatch):
+    r = random.Random(7)
+    n, passes = 400, 5
+    rows = [(f"i{i}", r.choice(["pending", "pending", "pending", "done"]), float(r.randrange(9))) for i in range(n)]
+    edges = [(f"i{i}", f"i{r.randrange(i)}") for i in range(1, 60) for _ in range(2)] + [("i5", "nobody")]
+    own = {i: score for i, state, score in rows if state == "pending"}
+    eff, rose = dict(own), 0
+    for _ in range(passes):
+        offers = {}
+        for a, b in edges:
+            if a in eff and b in eff and eff[a] > eff[b]:
+                offers[b] = max(offers.get(b, 0.0), eff[a])
+        eff |= offers
+        rose += len(offers)
+    frame = type(spark.range(1))
+    write, written = frame.checkpoint, []
+    monkeypatch.setattr(frame, "checkpoint", lambda df, *a, **k: written.append(write(df, *a, **k)) or written[-1])
+    t = spark.createDataFrame(rows, "id STRING, state STRING, own DOUBLE")
+    got = tasks.inherited_score(t, spark.createDataFrame(edges, "id STRING, dep STRING"), passes)
+    assert {x.id: x.eff for x in got.collect()} == {i: eff.get(i) for i, _, _ in rows}
+    assert sum(df.count() for df in written) <= len(edges) + rose
+
+
 def test_chain_pair_order_and_loops(spark):
     t = spark.createDataFrame([("a", "leaf", "w1"), ("b", "leaf", "w2"), ("m", "leaf", None), ("f", "focus", None), ("g", "focus", None),
                                ("n", "node", None), ("p", "node", None), ("q", "node", None), ("r", "node", None)],
