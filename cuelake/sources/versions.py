@@ -19,7 +19,7 @@ from cuelake import schemas
 from cuelake.session import cut
 from cuelake.sources.srt import decode_text, quarantine_split, srt_scan
 
-MOST_FILES = 10_000  # of one slice; their paths are all that the driver sees
+MOST_FILES = 20_000  # of one slice; their paths are all that the driver sees
 
 _FILE = "file STRUCT<name: STRING, path: STRING, length: BIGINT, modified: TIMESTAMP>"
 _SINKS = {"versions": f"{_FILE}, batch STRING", "quarantine": f"{_FILE}, reason STRING, batch STRING",
@@ -27,14 +27,11 @@ _SINKS = {"versions": f"{_FILE}, batch STRING", "quarantine": f"{_FILE}, reason
 
 
 def _read(spark: SparkSession, root: str, sink: str) -> DataFrame:
-    """What lies in a sink; nothing before the first run."""
-    empty = spark.createDataFrame([], _SINKS[sink])
-    if sink == "versions":
-        empty.limit(0).write.mode("append").parquet(f"{root}/versions")
-        return spark.read.schema(_SINKS[sink]).parquet(f"{root}/versions")
-    schema = _SINKS[sink].rsplit(", batch", 1)[0]
-    empty.drop("batch").write.mode("append").parquet(f"{root}/{sink}/batch=none")
-    return spark.read.schema(f"{schema}, batch STRING").parquet(f"{root}/{sink}")
+    """What lies in a sink; nothing before the first run.  Readers write nothing: a writer beside them would lose its files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{sink}")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], _SINKS[sink])
+    return spark.read.schema(_SINKS[sink]).parquet(f"{root}/{sink}")
 
 
 def _version(name: Column | None) -> Column:
@@ -75,14 +72,18 @@ def _ingest_changes(spark: SparkSession, folder: str, root: str, glob: str, name
     n = todo.count()
     slices = -(-n // most_files)
     for i in range(slices):
-        paths = [r.path for r in todo.where(F.pmod(F.xxhash64("file.path"), F.lit(slices)) == i).select("file.path").collect()]
+        part = todo.where(F.pmod(F.xxhash64("file.path"), F.lit(slices)) == i)
+        paths = [r.path for r in part.select("file.path").collect()]
         if not paths:
             continue
         batch = uuid4().hex
-        held = decode_text(source.load(paths).select(_version(name), "content"))
-        srt_scan(held, "file").write.parquet(f"{root}/cues/batch={batch}")
-        quarantine_split(held, "file").write.parquet(f"{root}/quarantine/batch={batch}")
-        good = spark.read.parquet(f"{root}/cues/batch={batch}").select("file").distinct()
+        held = lambda paths: decode_text(source.load(paths).select(_version(name), "content"))
+        srt_scan(held(paths), "file").write.parquet(f"{root}/cues/batch={batch}")
+        good = cut(spark.read.schema(_FILE).parquet(f"{root}/cues/batch={batch}").distinct())
+        # Only files that gave no cue are read once more, to say why.
+        rest = [r.path for r in part.join(good, "file", "left_anti").select("file.path").collect()]
+        if rest:
+            quarantine_split(held(rest), "file").write.parquet(f"{root}/quarantine/batch={batch}")
         good.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{root}/versions")
     return n
 

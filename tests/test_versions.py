@@ -82,3 +82,17 @@ def test_incomplete_versions_are_not_read(spark, tmp_path):
     assert sinks.write_version(spark.range(5), root) == 3
     got = {r.version: r.n for r in sinks.read_versions(spark, root, "id BIGINT").groupBy("version").agg(F.count("*").alias("n")).collect()}
     assert got == {1: 3, 3: 5}
+
+
+def test_readers_write_nothing(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    assert state(spark, root) == ({}, []) and not os.path.exists(root)
+
+
+def test_a_file_per_row(spark, tmp_path):
+    uri = sinks.arrow_uri(spark, f"{tmp_path}/out")
+    rows = spark.createDataFrame([(str(i % 3), f"{i}.txt", None if i == 5 else f"é{i}\n") for i in range(20)], "folder STRING, name STRING, content STRING")
+    assert sinks.write_files(rows, uri) == 20
+    assert sinks.write_files(rows.where("name = '7.txt'").withColumn("content", F.lit("new")), uri) == 1
+    got = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*.txt")}
+    assert got == {f"{i % 3}/{i}.txt": "" if i == 5 else "new" if i == 7 else f"é{i}\n" for i in range(20)}
