@@ -43,3 +43,21 @@ def test_a_thousand_groupings(spark):
     assert len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()) < 40
     got = {(r.topic, r.part) for r in df.collect()}
     assert got == {(f"t{i + d}", f"{'p' if d == 0 else 'q'}{i + d}") for i in range(0, 990, 7) for d in (0, 1, 2)} and len(lines) * 3 == len(got)
+
+
+def test_hits_of_a_topic_stay_where_they_are(spark):
+    """One topic with all the hits is no one task's: the plan goes to the hits, and no line is matched twice."""
+    plan = spark.createDataFrame([(0, "a", "(?<g0>x*)y|z", [("p", 1)])], PLAN)
+    hits = spark.range(100).selectExpr("'a' AS topic", "id AS video_id", "0 AS cue_no", "'xy' AS line")
+    df = match.attribute_components(hits, plan)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text and text.count("regexp_replace") == 1
+    assert df.count() == 100
+
+
+def test_lines_that_hold_the_marks(spark):
+    plan = [(0, "a", "(?<g0>x*)y|(?<g1>\x03)|z", [("p", 1), ("three", 2)]), (1, "b", "(?<g0>q?)(?<g1>r?)|(s)", [("q", 1), ("r", 2)])]
+    lines = ["\x010\x02x\x03z", "\x010\x02\x03 y", "z\x03", "\x011\x02z", "z", "xy\x01"]
+    want = brute(plan, lines)
+    assert ("a", 2, "three") in want and ("a", 3, "p") not in want
+    assert found(spark, plan, lines) == want
