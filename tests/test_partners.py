@@ -49,3 +49,15 @@ def test_one_key_of_many(spark):
                                 spark.createDataFrame([(f"s{i}", "k") for i in range(3000)], "name STRING, key STRING")).collect()
     assert Counter(r.nth for r in got) == {1: 2999, 2: 2998, 3: 2997}
     assert all(r.earlier == r.later - r.nth and r.overlap == 1 for r in got)
+
+
+def test_words_are_shuffled_as_one_row_a_video(spark, monkeypatch):
+    """The keys of the scans are made once, and scans of ordinary number go to them instead of meeting them by name."""
+    from cuelake.operators import chunking
+    from cuelake.plans import worklist
+    seen = []
+    monkeypatch.setattr(chunking, "pair_overlap", lambda scans, keys: seen.append(keys) or keys)
+    worklist.pair_overlap_words(spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" in plan and plan.count("regexp_extract_all") == 1
+    assert "Exchange hashpartitioning(name" not in seen[0]._jdf.queryExecution().executedPlan().toString()
