@@ -61,3 +61,13 @@ def test_words_are_shuffled_as_one_row_a_video(spark, monkeypatch):
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" in plan and plan.count("regexp_extract_all") == 1
     assert "Exchange hashpartitioning(name" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_of_keys_are_packed(spark):
+    """Ten thousand frequent keys in order take little more than a byte each on their way to a cell, and come back whole."""
+    from cuelake.operators.chunking import _by_key, _packed
+    lists = [list(range(3 * i, 30000, 3)) for i in range(2)]
+    rows = spark.createDataFrame([(x,) for x in lists], "often ARRAY<BIGINT>").select(_packed("often").alias("often")).toPandas()
+    assert rows["often"].map(len).max() < 2 * 10000
+    flat, owner = _by_key(rows["often"])
+    assert sorted(zip(flat.tolist(), owner.tolist())) == sorted((k, i) for i, x in enumerate(lists) for k in x)
